@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, line_dedup, near_dup, packing, token_counts, tokens
+from . import common, line_dedup, near_dup, packing, quality, token_counts, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -24,6 +24,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(common.read(spark, sf_dir, "documents"), tokens.vocabulary(VOCABULARY))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.rules(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "_quality.*")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_lines.n_lines"), F.col("_lines.n_dropped"), F.sha2(F.col("_lines.kept"), 256).alias("kept_sha256"))
@@ -48,7 +53,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_ngram_jaccard_join, op5_token_counts, op8_line_dedup)}
+    return {f.__name__: f for f in (op3_packing, op4_ngram_jaccard_join, op5_token_counts, op6_quality_rules, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
