@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, line_dedup, near_dup, packing, quality, token_counts, tokens
+from . import common, decontaminate, line_dedup, near_dup, packing, quality, substring_dedup, token_counts, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(common.read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "benchmark"))
 
@@ -57,7 +61,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_packing, op4_ngram_jaccard_join, op5_token_counts, op6_quality_rules, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_packing, op4_ngram_jaccard_join, op5_token_counts, op6_quality_rules, op8_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
