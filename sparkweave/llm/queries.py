@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, line_dedup, near_dup, packing, quality, substring_dedup, token_counts, tokens
+from . import common, decontaminate, html_text, licenses, line_dedup, near_dup, packing, quality, substring_dedup, token_counts, tokens, toxicity
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -37,11 +37,55 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "_quality.*")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.read(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(common.read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_lines.n_lines"), F.col("_lines.n_dropped"), F.sha2(F.col("_lines.kept"), 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(common.read(spark, sf_dir, "pages")).select("page_id", "url", F.col("_main").alias("text"), F.length("_main").cast("long").alias("n_chars"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def op7_sql() -> str:
+    """The same rules in SQL; the known texts are canonicalised there too."""
+    x = "lower(line)"
+    for a, b in licenses.SPELLINGS:
+        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})" if a != b else x
+    known = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(licenses.KNOWN))
+    return rf"""
+WITH known(id, license, text) AS (VALUES {known}),
+texts AS (SELECT 'k' AS kind, id, coalesce(text, '') AS text FROM known UNION ALL SELECT 'd', doc_id, coalesce(text, '') FROM documents),
+lines AS (
+  SELECT kind, id, u.i AS i, string_split(text, chr(10))[u.i] AS line
+  FROM texts, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) u
+),
+spelt AS (SELECT kind, id, i, {x} AS x FROM lines),
+canon AS (
+  SELECT kind, id, i, CASE WHEN regexp_matches(x, {_quoted(licenses.HOLDER)}) THEN '' ELSE trim(regexp_replace(x, {_quoted(licenses.OTHER)}, ' ', 'g')) END AS c FROM spelt
+),
+whole AS (SELECT kind, id, sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> ''), '')) AS digest FROM canon GROUP BY kind, id),
+tab AS (SELECT digest, min(license) AS license FROM whole JOIN known USING (id) WHERE kind = 'k' GROUP BY digest),
+noted AS (
+  SELECT id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
+  FROM canon JOIN tab ON tab.digest = sha256(c) WHERE kind = 'd' AND c <> '' GROUP BY id
+)
+SELECT w.id AS doc_id, w.digest, t.license AS license_id, coalesce(n.notices, '') AS notices
+FROM whole w LEFT JOIN tab t ON t.digest = w.digest LEFT JOIN noted n ON n.id = w.id WHERE w.kind = 'd'
+"""
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, u.i AS i, string_split(coalesce(text, ''), chr(10))[u.i] AS line
@@ -61,8 +105,8 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_packing, op4_ngram_jaccard_join, op5_token_counts, op6_quality_rules, op8_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_packing, op4_ngram_jaccard_join, op5_token_counts, op6_quality_rules, op7_license_scan, op8_line_dedup, op9_html_extraction, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op7_license_scan": op7_sql(), "op8_line_dedup": OP8_SQL}
