@@ -102,7 +102,7 @@ def drops_space(data: bytes) -> bool:
 
     t = json.loads(data)
     rules, split = t.get("normalizer") or {}, t.get("pre_tokenizer") or {}
-    kinds = {x["type"] for x in rules.get("normalizers", [rules])}
+    kinds = {x.get("type") for x in rules.get("normalizers", [rules])}
     first = split.get("pretokenizers", [split])[0]
     return kinds <= {"NFC", "Replace", "Lowercase"} and first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert")) and "[^\\s" in (first.get("pattern") or {}).get("Regex", "") and not any(re.search(r"\s", x["content"]) or x["lstrip"] or x["rstrip"] or x["single_word"] for x in t.get("added_tokens", []))
 
