@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,14 +98,14 @@ def trace(graph: Graph, match: Column, depth: int = 2, limit: int | None = None)
     """entity_id, depth: entities within `depth` undirected steps of the entities that match.
 
     A frontier a step: only nodes reached by the last step are joined with the edges, and nodes known before are
-    dropped by an anti-join. With a limit, nodes beyond the seeds are admitted by depth, then by id, while there is room.
+    dropped by an anti-join. The edges are persisted for the steps, and each step's nodes, so that no step is run again. With a limit, nodes beyond the seeds are admitted by depth, then by id, while there is room.
     """
     ends = graph.edges.select(F.col("from_entity").alias("a"), F.col("to_entity").alias("b"))
-    both = ends.union(ends.select("b", "a"))
-    known = frontier = graph.entities.filter(match).select("entity_id", F.lit(0).alias("depth"))
+    both = ends.union(ends.select("b", "a")).persist(StorageLevel.MEMORY_AND_DISK)
+    known = frontier = graph.entities.filter(match).select("entity_id", F.lit(0).alias("depth")).persist(StorageLevel.MEMORY_AND_DISK)
     for step in range(1, max(0, depth) + 1):
         reached = both.join(frontier.select(F.col("entity_id").alias("a")), "a", "left_semi").select(F.col("b").alias("entity_id")).distinct()
-        frontier = reached.join(known, "entity_id", "left_anti").select("entity_id", F.lit(step).alias("depth"))
+        frontier = reached.join(known, "entity_id", "left_anti").select("entity_id", F.lit(step).alias("depth")).persist(StorageLevel.MEMORY_AND_DISK)
         known = known.union(frontier)
     if limit is not None:
         seeds = known.filter("depth = 0")

@@ -287,11 +287,11 @@ def _scored_sql(kind: str, columns: str, only: str = "") -> str:
 _best = lambda n: f"QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, id) <= {n}"
 RESOLVE_SQL = G + f""", en AS (SELECT * FROM ({_scored_sql('entity', ', source_ids')}) WHERE score > 0 {_best(20)}),
 eh AS (SELECT * FROM ({_scored_sql('edge', ', source_id')}) WHERE score > 0), et AS (SELECT DISTINCT target, edge_id AS id, source_id FROM en JOIN edges_ ON en.id IN (from_entity, to_entity)),
-ed AS (SELECT target, id, max(source_id) AS source_id, sum(score) AS score FROM (SELECT target, id, source_id, score FROM eh UNION ALL SELECT target, id, source_id, 50 FROM et) GROUP BY target, id {_best(40)}),
+ed AS (SELECT * FROM (SELECT target, id, max(source_id) AS source_id, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT target, id, source_id, score FROM eh UNION ALL SELECT target, id, source_id, 50 FROM et)) GROUP BY target, id) {_best(40)}),
 c1 AS (SELECT target, unnest(source_ids) AS source_id FROM en UNION SELECT target, source_id FROM ed),
-so AS (SELECT target, id, sum(score) AS score FROM (SELECT * FROM ({_scored_sql('source', '')}) WHERE score > 0 UNION ALL SELECT target, source_id, 70 FROM c1) GROUP BY target, id {_best(20)}),
+so AS (SELECT * FROM (SELECT target, id, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT * FROM ({_scored_sql('source', '')}) WHERE score > 0 UNION ALL SELECT target, source_id, 70 FROM c1)) GROUP BY target, id) {_best(20)}),
 c2 AS (SELECT * FROM c1 UNION SELECT target, id FROM so),
-co AS (SELECT target, id, max(severity) AS severity, sum(score) AS score FROM (SELECT * FROM ({_scored_sql('conflict', ', severity')}) WHERE score > 0 UNION ALL SELECT target, conflict_id, CASE severity WHEN 'error' THEN 90 WHEN 'warning' THEN 60 ELSE 20 END, severity FROM c2 JOIN conflicts_ USING (source_id)) GROUP BY target, id {_best(20)})
+co AS (SELECT * FROM (SELECT target, id, max(severity) AS severity, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT * FROM ({_scored_sql('conflict', ', severity')}) WHERE score > 0 UNION ALL SELECT target, conflict_id, CASE severity WHEN 'error' THEN 90 WHEN 'warning' THEN 60 ELSE 20 END, severity FROM c2 JOIN conflicts_ USING (source_id))) GROUP BY target, id) {_best(20)})
 """
 
 
