@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.functions import text as tx
-from sparkweave.operators import assess, gates, graph, model, pack, presets, resolve
+from sparkweave.operators import assess, audits, gates, graph, model, pack, presets, resolve
 from sparkweave.plans import testbed
 
 TARGETS = ["NATION_7", "customer/12", "Brand#2.ECONOMY", "claim_id:77", "unheard-of"]
@@ -410,6 +410,57 @@ def json_walk(spark, d):
     return walk(_table(spark, d, "events").select("event_id", "props"), "props").select("event_id", "json_path", "key", "scalar")
 
 
+# --- audits -----------------------------------------------------------------------------------------------------
+
+_ARTIFACTS = """WITH a AS (SELECT 'c' || CAST(conv_id AS VARCHAR) AS path, CASE WHEN conv_id % 10 = 0 THEN 'read_first' WHEN conv_id % 10 = 1 THEN 'read_next_if_gate_passes' WHEN conv_id % 10 = 2 THEN 'baseline' ELSE 'available_output' END AS role, sum(greatest(1, (length(coalesce(text, '')) + 3) // 4)) AS tokens FROM conversations GROUP BY conv_id),
+r AS (SELECT coalesce(sum(tokens) FILTER (role = 'read_first'), 0) AS rf, coalesce(sum(tokens) FILTER (role = 'read_next_if_gate_passes'), 0) AS rn, coalesce(sum(tokens) FILTER (role = 'available_output'), 0) AS av, coalesce(arg_min(tokens, path) FILTER (role = 'baseline'), 0) AS full_ FROM a),
+b AS (SELECT *, CASE WHEN full_ > 0 THEN full_ ELSE av END AS base FROM r)
+"""
+
+
+def _artifacts(spark, d):
+    """Conversations as artifacts, with roles by their number."""
+    n = F.col("conv_id") % 10
+    role = F.when(n == 0, "read_first").when(n == 1, "read_next_if_gate_passes").when(n == 2, "baseline").otherwise("available_output")
+    t = _table(spark, d, "conversations").groupBy("conv_id").agg(F.sum(tx.estimate_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
+    return t.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), F.array(role).alias("roles"), "tokens", F.lit(True).alias("exists"), F.lit(False).alias("required"))
+
+
+@query(_ARTIFACTS + "SELECT CAST(rf AS BIGINT) AS read_first, CAST(rf + rn AS BIGINT) AS gate_pass, CAST(base AS BIGINT) AS baseline, greatest(0, base - rf) > 0 AS saves, CASE WHEN full_ = 0 OR rf = 0 THEN 'warn' ELSE 'pass' END AS status FROM b")
+def efficiency_report(spark, d):
+    r = audits.efficiency(_artifacts(spark, d))
+    return r.select("read_first", "gate_pass", "baseline", (F.col("baseline") > F.col("read_first")).alias("saves"), "status")
+
+
+@query(_ARTIFACTS + """SELECT * FROM (VALUES ('policy_authority_effect_none', true), ('policy_no_apply_true', true), ('policy_unknown_keys_absent', true), ('policy_validation_errors_absent', true), ('report_ok', true), ('missing_required_within_limit', true), ('required_artifact_role_present:read_first', true), ('required_artifact_role_present:baseline', true)) t(id, passed)
+UNION ALL SELECT 'warnings_within_limit', full_ > 0 AND rf > 0 FROM b UNION ALL SELECT 'baseline_tokens_minimum', base >= 1 FROM b UNION ALL SELECT 'read_first_ratio_within_limit', rf <= 0.5 * base FROM b UNION ALL SELECT 'gate_pass_ratio_within_limit', rf + rn <= base FROM b UNION ALL SELECT 'read_first_savings_minimum', base - rf >= 0.5 * base FROM b""")
+def efficiency_gate(spark, d):
+    rows = _artifacts(spark, d)
+    roles = {r[0] for r in rows.select(F.explode("roles")).distinct().collect()}
+    return audits.efficiency_gate(spark, audits.efficiency(rows).first().asDict(), roles, gates.Policy.of({}, audits.EFFICIENCY_POLICY)).select("id", "passed")
+
+
+@query("SELECT event_id, p.pos AS pos, p.json_path AS json_path FROM events, (VALUES (0, '$.rows[0].source_id'), (1, '$.rows[1].deep.sources')) p(pos, json_path) WHERE event_type = 'error'")
+def identity_paths(spark, d):
+    """Artifacts made of events: those of errors carry identity in a public section, all carry some outside of it."""
+    e = _table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", F.format_string('{"rows": [{"source_id": %d}, {"deep": {"sources": []}}], "source_id": 1}', "user_id")).otherwise('{"rows": [], "source_id": 1}').alias("raw"))
+    return audits.identity_paths(e, "raw", sections=audits.PUBLIC_SECTIONS)
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'view' ELSE '' END AS artifact_kind, CASE event_type WHEN 'click' THEN '' WHEN 'view' THEN '$.user:type' ELSE 'artifact_kind_inferred' END AS errors FROM events")
+def contract_validation(spark, d):
+    contract = lambda v: {"type": "object", "required": ["user"], "properties": {"schema_version": {"const": v}, "user": {"type": "integer"}}}
+    e = _table(spark, d, "events").select("event_id", F.format_string('{"schema_version": "%s", "user": %s}', "event_type", F.when(F.col("event_type") == "view", F.lit("true")).otherwise(F.col("user_id").cast("string"))).alias("raw"))
+    return audits.validate(e, "raw", {k: contract(k) for k in ("click", "view")}).select("event_id", "artifact_kind", F.array_join("errors", ",").alias("errors"))
+
+
+@query("""SELECT 'handoff' AS artifact_kind, 'e' || event_id AS path, CAST(user_id AS VARCHAR) AS task, value >= 10 AS reusable, sha256('{"fingerprint": null, "prompt": ' || CASE WHEN value >= 10 THEN '"p"' ELSE 'null' END || ', "targets": null, "task": "' || user_id || '"}') AS reuse_key FROM events WHERE event_type = 'click'""")
+def memory_ledger(spark, d):
+    raw = F.concat(F.lit('{"schema_version": "'), F.col("event_type"), F.lit('", "ok": true, "task": "'), F.col("user_id").cast("string"), F.lit('"'), F.when(F.col("value") >= 10, ', "model_prompt_source": "p"').otherwise(""), F.lit("}"))
+    e = _table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), raw.alias("raw"))
+    return audits.ledger(e, "path", "raw", {"click": ("handoff", "model_handoff")}).drop("memory_role")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

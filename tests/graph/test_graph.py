@@ -162,3 +162,20 @@ def test_tree(spark, tmp_path):
     assert {(r.target, r.resolved) for r in tree.imports(found, inventory).collect()} == {("os", None), (".util", "src/pkg/util.py"), ("./lib/y", "src/lib/y.ts")}
     assert {r.surface: r.files for r in tree.rollup(inventory, "surface").collect()} == {"source_code": 6, "documentation": 1}
     assert {r.m for r in inventory.select(tree.module(F.col("path")).alias("m")).collect()} >= {"pkg.mod", "pkg", "app"}
+
+
+def test_audits(spark):
+    from sparkweave.operators import audits
+
+    rows = spark.createDataFrame([("a", ["read_first"], 10, True, True), ("b", ["baseline"], 100, True, False), ("c", ["available_output", "read_next_if_gate_passes"], 30, True, False), ("d", ["baseline"], 999, True, False)], "path string, roles array<string>, tokens long, exists boolean, required boolean")
+    r = audits.efficiency(rows).first()
+    assert (r.read_first, r.gate_pass, r.baseline, r.read_first_ratio, r.read_first_savings, r.status) == (10, 40, 100, 0.1, 90.0, "pass")
+    assert audits.efficiency(rows.filter("path = 'c'")).first().status == "warn" and audits.efficiency(rows.filter("path = 'z'")).first().read_first_ratio is None
+    gate = audits.efficiency_gate(spark, r.asDict(), {"read_first", "baseline"}, gates.Policy.of({"min_read_first_savings_percent": 95.0}, audits.EFFICIENCY_POLICY))
+    assert [x.id for x in gate.collect() if not x.passed] == ["read_first_savings_minimum"]
+    context = {"context_ok": True, "source_contract_ok": True, "token_budget": 100, "prompt_estimated_tokens": 90, "selected_estimated_tokens": 66}
+    assert [x.id for x in audits.context_gate(spark, context, gates.Policy.of({}, audits.CONTEXT_POLICY)).collect() if not x.passed] == ["selected_within_content_budget"]
+    assert audits.is_a(1, "integer") and not audits.is_a(True, "number") and audits.is_a(None, ["string", "null"])
+    assert dict(audits.contract_checks({"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"y": {"enum": [1]}}}, {"y": 2, "z": 0})) == {"$:type": True, "$.x:required": False, "$.y:enum": False, "$:additionalProperties": False}
+    assert list(audits.leaks({"a": [{"source_id": {"sources": 1}}]})) == ["$.a[0].source_id", "$.a[0].source_id.sources"]
+    assert spark.range(1).select(audits.advantage(F.lit(100), F.lit(90.0), F.lit(0), F.lit(1)).alias("x")).first().x == 86
