@@ -179,3 +179,22 @@ def test_audits(spark):
     assert dict(audits.contract_checks({"type": "object", "required": ["x"], "additionalProperties": False, "properties": {"y": {"enum": [1]}}}, {"y": 2, "z": 0})) == {"$:type": True, "$.x:required": False, "$.y:enum": False, "$:additionalProperties": False}
     assert list(audits.leaks({"a": [{"source_id": {"sources": 1}}]})) == ["$.a[0].source_id", "$.a[0].source_id.sources"]
     assert spark.range(1).select(audits.advantage(F.lit(100), F.lit(90.0), F.lit(0), F.lit(1)).alias("x")).first().x == 86
+
+
+def test_prompts_and_working_sets(spark, g):
+    from sparkweave.__main__ import parser
+    from sparkweave.plans import prompts
+
+    for budget in (80, 200, 4000):
+        text, n, rows = prompts.pack_prompt(pack.pack(g, "dashboard claim zebra", 4000), "dashboard claim zebra", budget)
+        assert (n <= budget or rows == 0) and "zebra" in text
+    assert prompts.review_prompt(resolve.adjudicate(spark, g, ["C1", "zzzz"]), 1000)[1] == 2
+    found = {k: [{"id": f"{k}{i}", "score": i} for i in range(9)] for k in ("entity", "source", "edge", "conflict")}
+    assert prompts.target_prompt(found, "t", 10)[1] == {"entity": 1, "source": 1, "edge": 0, "conflict": 0} and prompts.target_prompt(found, "t", 9999)[1]["edge"] == 9
+    index = graph.entity_facets(g, None)
+    whole = prompts.working_set(index, 10, None, 3)
+    assert whole["status"] == "pass" and [r["facet"] for r in whole["rows"]][:3] == ["claim", "surface", "symbol"] and len(whole["rows"]) == 5
+    small = prompts.working_set(index, 10, 100, 3)
+    assert small["warnings"] and len(small["rows"]) < 5 and (small["estimated_tokens"] <= 100 or len(small["rows"]) == 1)
+    for step in prompts.task_plan("operator dashboard evidence", "model"):
+        parser().parse_args(step["argv"])
