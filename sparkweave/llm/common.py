@@ -25,12 +25,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; only where the session names none, a temporary one."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    at = lambda: sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (at().get() if at().isDefined() else None)
     if not named:
-        made = tempfile.mkdtemp(prefix="sparkweave-")
-        atexit.register(shutil.rmtree, made, ignore_errors=True)
-        sc.setCheckpointDir(made)
-        named = sc._jsc.sc().getCheckpointDir().get()
+        named = tempfile.mkdtemp(prefix="sparkweave-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if not at().isDefined():
+        sc.setCheckpointDir(named)
+        return shared_dir(spark) if not spark.conf.get("spark.checkpoint.dir", None) else named.rstrip("/")
     return named.rstrip("/")
 
 

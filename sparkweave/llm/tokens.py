@@ -8,7 +8,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from functools import cache
 
 import numpy as np
 
@@ -95,7 +94,6 @@ class Table(dict):
         return found
 
 
-@cache
 def drops_space(data: bytes) -> bool:
     """Whether the file's own rules keep no white space and never look across it."""
     import json
