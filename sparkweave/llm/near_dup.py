@@ -106,6 +106,7 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
     sets = signed.filter("_set is not null and _id is not null").groupBy("_set").agg(F.min("_id").alias("_least"), F.count("*").alias("_copies"), F.first("_bands").alias("_bands"), F.first("_grams").alias("_grams"))
     banded = sets.select("_set", F.explode("_bands").alias("_band"))
     shared = banded.groupBy("_band").agg(F.min("_set").alias("_low"), F.count("*").alias("_n")).filter("_n > 1").select("_band", "_low")
+    shared = common.checkpointed(shared)  # both sides are plain tables then, so Spark splits the rows of a hot band
     stars = banded.join(shared, "_band").filter("_set > _low").select(F.col("_set").alias("a"), F.col("_low").alias("b"))
     groups = common.components(stars)
     nodes = groups.join(sets.select("_set", "_least", "_copies", "_grams"), F.col("node") == F.col("_set"))
@@ -183,6 +184,7 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
     least = classes.join(nodes.select("node", "_least"), "node").groupBy("root").agg(F.min("_least").alias("_class"))
     classes = classes.join(least, "root").select(F.col("node").alias("_node"), "_class").join(counts, "_node")
     per_set = sets.select("_set", "_least", "_copies").join(classes, F.col("_set") == F.col("_node"), "left").select("_set", F.coalesce("_class", "_least").alias("class_id"), (F.col("_copies") - 1 + F.coalesce("_w", F.lit(0))).alias("n_links"))
+    per_set = common.checkpointed(per_set)  # so that Spark splits the rows of a large group of copies
     out = signed.withColumn("_key", F.when(F.col("_id").isNotNull(), F.col("_set"))).join(per_set.withColumnRenamed("_set", "_s"), F.col("_key") == F.col("_s"), "left")
     return out.select(F.col("_id").alias(id_col), F.coalesce("class_id", F.col("_id")).cast(id_type).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("_grams").alias("n_grams"))
 
