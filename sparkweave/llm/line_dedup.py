@@ -12,11 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
+from .bloom import MAX_BITS, SEGMENT, bits_for, holds, places, put, unpacked, whole
 
 SPACE = " \t\n\x0b\x0c\r"
-#: Filters have 8 to 16 bits a line up to this many bits (32 MB), which bounds what is broadcast. Beyond it more lines
-#: are suspected in vain, and results stay exact.
-MAX_BITS, SEGMENT, PROBES = 1 << 28, 1 << 20, 3
 
 
 def keys(text: str, min_chars: int) -> list[bytes | None]:
@@ -28,20 +26,6 @@ def keys(text: str, min_chars: int) -> list[bytes | None]:
     return out
 
 
-def places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """PROBES bit numbers of each hash."""
-    step = common.mixed(hashes) | np.uint64(1)
-    return np.stack([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(PROBES)]).astype(np.int64)
-
-
-def holds(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.logical_and.reduce((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-
-
-def put(bitmap: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bitmap, (at >> 3).ravel(), (1 << (at & 7)).astype(np.uint8).ravel())
-
-
 def hashes_of(ids: list, texts: list, min_chars: int) -> np.ndarray:
     """Hashes of each document's distinct keys. A row without an id takes no part."""
     return np.array([xxhash.xxh3_64_intdigest(k) for i, t in zip(ids, texts, strict=True) if i is not None and t for k in {*keys(t, min_chars)} if k is not None], np.uint64)
@@ -67,7 +51,7 @@ def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> bytes:
         met: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for s, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+                a, b = (unpacked(x) for x in (a, b))
                 if s in met:
                     met[s][1] |= b | (met[s][0] & a)
                     met[s][0] |= a
@@ -77,11 +61,7 @@ def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([zlib.compress(b.tobytes(), 1)])], ["_at", "_twice"])
 
     filled = common.per_batch(rows, fill, "_at bigint, _once binary, _twice binary").repartition("_at")
-    whole = np.zeros(bits // 8, np.uint8)
-    for r in common.per_batch(filled, meet, "_at bigint, _twice binary").collect():  # MAX_BITS / 8 bytes at most
-        part = np.frombuffer(zlib.decompress(r[1]), np.uint8)
-        whole[r[0] : r[0] + len(part)] = part
-    return whole.tobytes()
+    return whole(common.per_batch(filled, meet, "_at bigint, _twice binary"), bits)
 
 
 def dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", into: str = "_lines", max_bits: int = MAX_BITS) -> DataFrame:
@@ -94,7 +74,7 @@ def dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col
     spark = docs.sparkSession
     rows = common.keyed(docs, id_col, text_col)
     n = rows.agg(F.sum(F.length("_text") - F.length(F.replace("_text", F.lit("\n"))) + 1)).first()[0] or 0
-    bits = min(max_bits, max(SEGMENT, 1 << (8 * int(n)).bit_length()))
+    bits = bits_for(int(n), max_bits)
     suspects_of = spark.sparkContext.broadcast(twice_seen(rows, bits, min_chars))
     id_type = rows.schema["_id"].dataType.simpleString()
 
