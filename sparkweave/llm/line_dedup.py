@@ -92,6 +92,7 @@ def dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col
 
     suspects = common.written(common.per_batch(rows, probe, f"_key binary, _id {id_type}"), "line-suspects")
     repeats = suspects.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).filter("_first < _last").select("_key", "_first")
+    repeats = common.written(repeats, "line-repeats")  # both sides are plain tables then, so Spark splits the rows of a hot line
     drops = suspects.join(repeats, "_key").filter("_id > _first").groupBy(F.col("_id").alias("__sw_drop_id")).agg(F.collect_set("_key").alias("__sw_drops"))
 
     @F.arrow_udf(T.StructType([T.StructField("kept", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]))
