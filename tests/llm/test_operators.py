@@ -91,6 +91,38 @@ def test_fuzzy_passages(spark):
     assert abs(got[0].start - 70) <= 3 and abs(got[0].end - 169) <= 3 and abs(got[0].ref_start - 200) <= 3 and got[0].identity > 0.88
 
 
+def test_a_gap_parts_passages_and_loses_none(spark):
+    rng = random.Random(6)
+    new = lambda n: [f"n{rng.getrandbits(60)}" for _ in range(n)]
+    rows, wanted = [], []
+    for k, (first, gap_x, gap_y, last) in enumerate([(60, 0, 60, 60), (100, 200, 200, 100), (100, 450, 450, 100), (400, 500, 500, 50)]):
+        a, b, x, y = new(first), new(last), 2 * k, 2 * k + 1
+        rows += [(x, " ".join(a + new(gap_x) + b)), (y, " ".join(new(7) + a + new(gap_y) + b))]
+        wanted += [(y, 7, 7 + first, x, 0, first, 1.0), (y, 7 + first + gap_y, 7 + first + gap_y + last, x, first + gap_x, first + gap_x + last, 1.0)]
+    got = substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.ref_doc_id, r.ref_start, r.ref_end, r.identity) for r in got) == wanted
+
+
+def test_stretches_cover_all_that_reach_the_identity():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        m, x, y = [], [], []
+        for k in range(rng.integers(1, 9)):
+            gap, n = int(rng.integers(0, 60)) if k else 0, int(rng.integers(6, 70))
+            x += [-1 - len(x) - i for i in range(gap)]
+            y += [10**6 + len(y) + i for i in range(gap)]
+            m.append((len(x), len(y), n))
+            x += range(len(x), len(x) + n)
+            y += range(len(x) - n, len(x))
+        got = substring_dedup.aligned(np.array(x), np.array(y), np.array(m), 50, 0.8)
+        assert all(e - s >= 50 and matches >= 0.8 * columns for _, _, s, e, matches, columns in got)
+        covered = {w for _, _, s, e, _, _ in got for w in range(s, e)}
+        for i in range(len(m)):
+            for j in range(i, len(m)):
+                s, e, same = m[i][1], m[j][1] + m[j][2], sum(n for _, _, n in m[i : j + 1])
+                assert e - s < 50 or same < 0.8 * (e - s) or set(range(s, e)) <= covered
+
+
 def test_edit_is_the_edit_distance():
     rng = np.random.default_rng(1)
 
