@@ -103,6 +103,19 @@ def test_a_gap_parts_passages_and_loses_none(spark):
     assert sorted((r.doc_id, r.start, r.end, r.ref_doc_id, r.ref_start, r.ref_end, r.identity) for r in got) == wanted
 
 
+def test_a_passage_whose_parts_come_earlier(spark):
+    rng = random.Random(8)
+    new = lambda n: [f"n{rng.getrandbits(60)}" for _ in range(n)]
+    a, b = new(30), new(30)
+    parts = [a + new(80), new(9) + b, new(4) + a + b + new(5), new(70) + a + b]
+    pieces = [new(10) for _ in range(9)]  # of stock phrases only
+    whole = sum(pieces, [])
+    parts += [new(3) + x + new(3) for x in pieces] + [new(2) + whole, whole + new(8), new(1) + whole + new(4) + whole]
+    got = spark.createDataFrame(list(enumerate(map(" ".join, parts), 1)), "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.start, r.end, r.ref_doc_id, r.ref_start, r.ref_end) for r in substring_dedup.passages(got).collect()}
+    assert got == {(4, 70, 130, 3, 4, 64), (15, 0, 90, 14, 2, 92), (16, 1, 91, 14, 2, 92), (16, 95, 185, 14, 2, 92)}
+
+
 def test_stretches_cover_all_that_reach_the_identity():
     rng = np.random.default_rng(4)
     for _ in range(200):
