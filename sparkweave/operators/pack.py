@@ -6,14 +6,12 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.functions import text as tx
 from sparkweave.operators.model import PACK_EDGE_SCORES, Graph, chosen, score_or
 
-#: Candidates that a fold sees at most: each takes a token or more, so no more can fit a budget of so many tokens.
-FOLD_MOST = 100_000
 # Words that lead to a preset.
 PRESET_WORDS = {
     "surface-splits": ["surface", "split", "fragment", "fragmentation", "entrypoint", "入口", "表面", "分裂"], "claim-lineage": ["claim", "lineage", "evidence", "authority", "verifier", "readiness", "權威", "證據"],
@@ -79,14 +77,14 @@ def candidates(graph: Graph, task: str) -> DataFrame:
     return rows.select("kind", "id", "score", "matched_terms", "row", tx.estimate_tokens(line).alias("estimated_tokens"), "a", "b")
 
 
-def fold(items: list[dict], budget: int, most: int, used: int = 0, min_score: int = 0) -> list[int]:
+def fold(items: list[dict], budget: int, most: int, used: int = 0, min_score: int = 0, passes: int = 2) -> list[int]:
     """Two passes of skip-and-continue choice. Between them, edges that touch a chosen entity gain 25 points. Returns the
     positions chosen, in order; a (kind, id) is chosen once."""
     chosen_keys: set[tuple[str, str]] = set()
     out: list[int] = []
     order = list(range(len(items)))
     rank = lambda i: (-items[i]["score"], items[i]["estimated_tokens"], items[i]["kind"], items[i]["id"], items[i]["row"])
-    for second in (False, True):
+    for second in (False, True)[:passes]:
         if second:
             ids = {items[i]["a"] for i in out if items[i]["kind"] == "entity"}
             for x in items:
@@ -112,22 +110,44 @@ def header_tokens(task: str, schema: str = "context_pack_v1") -> int:
     return max(1, (len(text) + 3) // 4)
 
 
+def choosable(rows: DataFrame, budget: int, most: int) -> DataFrame:
+    """Of candidates with one order, those that a fold can choose; exact, and at most `most` for each number of tokens.
+
+    Of rows with the same kind, id and tokens only the first can be chosen: where it doesn't fit, the others don't. Of
+    rows with the same tokens the ones after `most` others of as many (kind, id) can't be: either one of those didn't
+    fit, or a row of each of them has been chosen.
+    """
+    key = ("kind", "id", "estimated_tokens")
+    first = rows.filter(F.col("estimated_tokens") <= budget).groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("less"), "row", "a", "b")).alias("x"))
+    order = Window.partitionBy("estimated_tokens").orderBy("x.less", "kind", "id")
+    kept = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    return kept.select("kind", "id", (-F.col("x.less")).alias("score"), "estimated_tokens", "x.row", "x.a", "x.b")
+
+
 def pack(graph: Graph, task: str, budget: int = 4000, most: int = 80, min_score: int = 0) -> DataFrame:
     """The rows of a context pack, in order: position, kind, id, score, estimated_tokens, row.
 
-    The choice depends on its own order, so it is a fold; its input is cut to the best FOLD_MOST candidates by Spark's
-    top-k first. Of rows that share a kind and id only the best can ever be chosen, unless it doesn't fit.
+    The choice depends on its own order, so it is a fold, over the candidates that can be chosen. The edges that gain
+    points for the second pass are an order of their own; which they are is known after a first fold, run here.
     """
     budget, most = max(200, budget), max(1, most)
-    rows = candidates(graph, task).orderBy(F.desc("score"), "estimated_tokens", "kind", "id", "row").limit(min(FOLD_MOST, 50 * most + budget))
+    used = header_tokens(task)
+    rows = candidates(graph, task)
+    columns = ["position", "kind", "id", "score", "estimated_tokens", "row"]
 
-    def run(batches):
+    def run(batches, passes=2):
         items = [r for pdf in batches for r in pdf.to_dict("records")]
         if items:
-            at = fold(items, budget, most, header_tokens(task), min_score)
-            yield pd.DataFrame([{"position": n, **{k: items[i][k] for k in ("kind", "id", "score", "estimated_tokens", "row")}} for n, i in enumerate(at)], columns=["position", "kind", "id", "score", "estimated_tokens", "row"])
-
-    return rows.coalesce(1).mapInPandas(run, "position long, kind string, id string, score long, estimated_tokens long, row string")
+            at = fold(items, budget, most, used, min_score, passes)
+            yield pd.DataFrame([{"position": n, **{k: items[i][k] for k in columns[1:]}} for n, i in enumerate(at)], columns=columns)
+
+    folded = "position long, kind string, id string, score long, estimated_tokens long, row string"
+    open_rows = choosable(rows, budget - used, most)
+    entities = [r.id for r in open_rows.coalesce(1).mapInPandas(lambda batches: run(batches, 1), folded).filter("kind = 'entity'").select("id").collect()]
+    if entities:
+        gaining = rows.filter((F.col("kind") == "edge") & (F.col("a").isin(entities) | F.col("b").isin(entities)))
+        open_rows = open_rows.union(choosable(gaining, budget - used, most))
+    return open_rows.coalesce(1).mapInPandas(run, folded)
 
 
 def greedy(rows: DataFrame, budget: int, order: list[Column], weight: str) -> DataFrame:

@@ -115,6 +115,19 @@ def test_pack_keeps_its_budget(g):
     assert len(pack.pack(g, "x", 4000, 2).collect()) == 2
 
 
+def test_pack_chooses_as_a_fold_over_all_candidates(spark, g):
+    many = spark.range(1500).select(F.concat(F.lit("no_lines:"), "id").alias("conflict_id"), F.lit("dashboard").alias("conflict_type"), F.lit("error").alias("severity"), F.lit("truth").alias("source_id"), F.lit("{}").alias("detail"))
+    more = g.edges.limit(1).drop("edge_id", "from_entity", "to_entity").crossJoin(spark.range(1500).select(F.concat(F.lit("e"), "id").alias("edge_id"), F.lit("p").alias("from_entity"), F.concat(F.lit("q"), "id").alias("to_entity")))
+    flooded = Graph(g.sources, g.entities, g.edges.unionByName(more), g.conflicts.unionByName(many.select(*g.conflicts.columns) if set(g.conflicts.columns) <= set(many.columns) else many, allowMissingColumns=True))
+    task = "dashboard claim evidence"
+    items = [r.asDict() for r in pack.candidates(flooded, task).collect()]
+    for budget, most in ((200, 5), (300, 80), (700, 3), (1000, 20)):
+        want = [dict(x) for x in items]
+        want = [(want[i]["kind"], want[i]["id"], want[i]["score"], want[i]["row"]) for i in pack.fold(want, budget, most, pack.header_tokens(task))]
+        got = [(r.kind, r.id, r.score, r.row) for r in pack.pack(flooded, task, budget, most).orderBy("position").collect()]
+        assert got == want and len({k for k, *_ in got}) > 1
+
+
 def test_greedy_skips_and_goes_on(spark):
     df = spark.createDataFrame([(1, 5), (2, 4), (3, 9), (4, 1), (5, 2)], "i long, w long")
     assert [r.w for r in pack.greedy(df, 10, [F.col("i")], "w").collect()] == [5, 4, 1]
