@@ -35,23 +35,27 @@ MARKS = frozenset(
 SECTIONS = frozenset("article main section div body html td center".split())
 
 
-def marked(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element's name or its class, id or role says that it isn't content."""
+def marked(tag: str, attributes: str, inside_article: bool) -> int:
+    """2 if an element's tag says that it isn't content or it is hidden, 1 if only its class, id or role says so, or 0."""
     if tag in NOT_CONTENT or tag == "header" and not inside_article:
-        return True
+        return 2
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    out = 0
     for name, *values in NAMED.findall(attributes):
-        name, value = name.lower(), next(filter(None, values), "").lower()
+        name, written = name.lower(), next(filter(None, values), "")
+        value = written.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id", "role") and any(w in MARKS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))):
-            return True
-    return False
+            return 2
+        if name in ("class", "id", "role") and any(w in MARKS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", written).lower())):
+            out = 1
+    return out
 
 
-def nodes(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]:
-    """(text, tag path, elements around it, block) of each text node that may be content, in page order."""
+def nodes(page: str, pardoned: set[int] | None = None) -> tuple[list[tuple[str, tuple[str, ...], tuple[int, ...], int]], set[int]]:
+    """(text, tag path, elements around it, block) of each text node that may be content, in page order; and the elements
+    whose class, id or role marks them. What these hold is left out but for pardoned ones; None pardons all."""
+    named: set[int] = set()
     out, stack, at, block, number = [], [], 0, 0, 0  # stack: tag, element, marked
 
     def text(upto: int) -> None:
@@ -100,7 +104,10 @@ def nodes(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]:
             continue
         number += 1
         inside = any(s[0] in ("article", "main") for s in stack)
-        bad = bool(stack and stack[-1][2]) or marked(tag, m[3], inside)
+        mark = marked(tag, m[3], inside)
+        if mark == 1:
+            named.add(number)
+        bad = bool(stack and stack[-1][2]) or mark == 2 or mark == 1 and pardoned is not None and number not in pardoned
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
             if not (bad or tag in NOT_CONTENT or tag == "title"):
@@ -111,7 +118,7 @@ def nodes(page: str) -> list[tuple[str, tuple[str, ...], tuple[int, ...], int]]:
         elif not m[3].endswith("/") or tag in BLOCK:
             stack.append((tag, number, bad))
     text(len(page))
-    return out
+    return out, named
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
@@ -121,11 +128,8 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(pad, kernel / kernel.sum(), mode="valid")
 
 
-def extract(page: str | None) -> str:
-    """The main text of a page: blocks in page order, one to a line. A null or empty page has an empty one."""
-    found = nodes(page or "")
-    if not found:
-        return ""
+def selected(found: list) -> tuple[list, np.ndarray]:
+    """Text nodes without spacers, and which of them the path ratios select."""
     length, points, count = {}, {}, {}
     for t, path, _, _ in found:
         if t != " ":
@@ -135,17 +139,50 @@ def extract(page: str | None) -> str:
     real = [x for x in found if x[0] != " "]
     by_length, by_points = (smooth(np.array([d[x[1]] / count[x[1]] for x in real], float)) for d in (length, points))
     fused = by_length * (1 + by_points)
-    content = fused >= 0.5 * np.average(fused)
+    return real, fused >= 0.5 * np.average(fused)
+
+
+def wrappers(found: list, named: set[int]) -> set[int]:
+    """Named elements that hold most of the selected text, in blocks of their own, and all that articles hold: the page's
+    layout and no part of it."""
+    real, content = selected(found)
+    total, chars = 0, dict.fromkeys(named, 0)
+    for x, good in zip(real, content, strict=True):
+        if good:
+            total += len(x[0])
+            for i, element in enumerate(x[2]):
+                if element in chars and any(tag in BLOCK for tag in x[1][i + 1 :]):
+                    chars[element] += len(x[0])
+    out = {e for e, n in chars.items() if 2 * n > total}
+    for x in real:
+        if out and ("article" in x[1] or "main" in x[1]):
+            if named.isdisjoint(set(x[2]) - out):
+                out.intersection_update(x[2])
+    return out
+
+
+def extract(page: str | None) -> str:
+    """The main text of a page: blocks in page order, one to a line. A null or empty page has an empty one."""
+    found, named = nodes(page or "")
+    if found and named:
+        found, _ = nodes(page, wrappers(found, named))
+    if not found:
+        return ""
+    real, content = selected(found)
     chars: dict[int, int] = {}
-    total, tags = 0, {}
+    total, tags, tops = 0, {}, {}
     for x, good in zip(real, content, strict=True):
         if good:
             total += len(x[0])
             for tag, element in zip(x[1], x[2], strict=True):
                 chars[element] = chars.get(element, 0) + len(x[0])
                 tags[element] = tag
-    root = next((e for e in sorted(chars) if tags[e] in ("article", "main") and 2 * chars[e] >= total), None)
-    if root is None:  # the innermost section that holds all of it
+            top = next((i for i, tag in enumerate(x[1]) if tag in ("article", "main")), None)
+            if top is not None:
+                tops[x[2][top]] = x[2][: top + 1]
+    if tops and 2 * sum(chars[e] for e in tops) >= total:  # the one article, or what holds all of them
+        root = max(set.intersection(*map(set, tops.values())), default=None)
+    else:  # the innermost section that holds all of it
         root = max((e for e in chars if chars[e] == total and tags[e] in SECTIONS), default=None)
     blocks: dict[int, list[str]] = {}
     for t, _, elements, block in found:

@@ -469,6 +469,19 @@ def test_html():
     assert html_text.extract("<p>" + "x " * 200_000).count("x") == 200_000
 
 
+def test_html_marks_on_wrappers_and_several_articles():
+    article = "<article><h1>Title</h1><p>First text, quite long; with points.</p><div class='ad'>Buy, buy, buy!</div><p>Second text, which is long too.</p></article>"
+    text = "Title\nFirst text, quite long; with points.\nSecond text, which is long too."
+    for name in ("site has-sidebar", "no-header", "noHeader"):
+        assert html_text.extract(f"<body><div class='{name}'><div class='menu'><p>Home, and more.</p></div>{article}</div><footer>c</footer></body>") == text
+        assert html_text.extract(f"<body><div class='{name}'>{article.replace('article>', 'div>')}</div></body>") == text
+    comments = "".join(f"<p>Comment {i}, and a long one; quite long, in fact.</p>" for i in range(9))
+    for name in ("readerComments", "comments"):
+        assert html_text.extract(f"<body>{article}<div id='{name}'>{comments}</div></body>") == text
+    assert html_text.extract(f"<body><nav>x</nav><div>{article}{article}</div></body>") == text + "\n" + text
+    assert html_text.extract(f"<body><div style='display:none'>{article}</div><p>Seen.</p></body>") == "Seen."
+
+
 def test_html_keeps_articles_of_pages_whole(spark):
     import html
 
