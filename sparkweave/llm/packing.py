@@ -143,7 +143,11 @@ def pack(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: int = 1,
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), source.alias("_source"))
     n_sources = rows.select("_source").distinct().limit(MAX_QUEUES + 1).count()
     if n_sources > MAX_QUEUES:
-        rows = rows.withColumn("_source", F.concat(F.lit("queue-"), F.pmod(F.xxhash64("_source"), F.lit(MAX_QUEUES))))
+        prefix = "queue-"
+        while any(s.startswith(prefix) for s in shares or ()):
+            prefix = "_" + prefix
+        own = F.coalesce("_source", F.lit("")).isin(list(shares or ()))  # sources with a share keep a queue of their own
+        rows = rows.withColumn("_source", F.when(own, F.col("_source")).otherwise(F.concat(F.lit(prefix), F.pmod(F.xxhash64("_source"), F.lit(MAX_QUEUES)))))
     id_type = rows.schema["_id"].dataType
 
     def encode(batches):
@@ -163,7 +167,7 @@ def pack(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: int = 1,
 
     made = common.written(common.per_batch(rows, encode, f"_id {id_type.simpleString()}, _source string, _part int, _start bigint, _n bigint, _width int, _ids binary"), "pack-ids")
     parts = common.checkpointed(made.groupBy("_part", "_source").agg(F.sum("_n").alias("n")))
-    totals = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.sum("n")).collect()}  # MAX_QUEUES + 1 rows at most
+    totals = {r[0]: r[1] for r in parts.groupBy("_source").agg(F.sum("n")).collect()}  # MAX_QUEUES + 1 rows at most, and one for each share
     names = sorted(totals, key=lambda s: (s is None, s or ""))
     named = [Fraction(shares.get(s or "", 0)).limit_denominator(10**6) for s in names] if shares else None
     plan = Schedule([totals[s] for s in names], named, seq_len)

@@ -283,6 +283,20 @@ def test_pack_with_shares_and_shared_queues(spark, monkeypatch):
     check_pack(packing.pack(docs, VOCABULARY).collect(), {i: t for i, t, _ in rows})
 
 
+def test_shares_hold_beyond_the_most_queues(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, rng_text(rng, 60), f"s{i % 7}" if i % 7 else None) for i in range(140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    monkeypatch.setattr(packing, "MAX_QUEUES", 3)
+    got = packing.pack(docs, VOCABULARY, shares={"s1": 0.75, "": 0.25}).collect()
+    check_pack(got, {i: t for i, t, _ in rows})
+    first = Counter()
+    for r in got:
+        if r.sequence_id == 0:
+            first[r.queue] += r.length
+    assert set(first) == {"s1", None} and abs(first["s1"] - 3 * first[None]) < 0.05 * sum(first.values())
+
+
 def test_encoder_gives_the_librarys_ids(texts):
     data, kind = tokens.load(VOCABULARY)
     encoder = tokens.Encoder(data, kind, words=50)
