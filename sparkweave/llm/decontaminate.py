@@ -1,16 +1,19 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried with every training passage.
 
-The index is block-max: postings are in item order and cut into blocks, and each block knows its largest impact.
-Impacts are divided by the item's score for its own text, so one threshold means the same share of any item. A passage
-is a pair of neighbouring chunks of words. Whole batches of passages are first held against the block maxima (an upper
-bound of what any item of a block can score); only passages and blocks whose bound reaches the threshold are
-walked document at a time with WAND pivots, and what they retrieve is verified on the words themselves.
+The index is block-max: postings are in item order and cut into blocks, and each block of a term's postings knows its
+largest impact. Impacts are divided by the item's score for its own text, so one threshold means the same share of any
+item. A passage is a pair of neighbouring chunks of words. Whole batches of passages are first held against the block
+maxima (an upper bound of what any item of a block can score); only passages and blocks whose bound reaches the
+threshold are walked document at a time with WAND pivots, and what they retrieve is verified on the words themselves.
+
+An index is a dict of plain values, so executors need nothing but this module's pickled functions to read it.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,11 @@ from pyspark.sql import functions as F
 from . import common
 
 K1, B = 0.9, 0.4
-#: Items of a block, and UTF-8 bytes of the item texts that one broadcast index holds: larger benchmarks are indexed in
-#: shards, each with a scan of its own.
-BLOCK_ITEMS, SHARD_BYTES = 8, 16 << 20
+#: Items of a block, and UTF-8 bytes of the item texts that one broadcast index holds (each word makes a posting of 12
+#: bytes and a block entry of 8 at most): larger benchmarks are indexed in shards, each with a scan of its own.
+BLOCK_ITEMS, SHARD_BYTES = 8, 8 << 20
+#: Bounds (passage and block) that are held at once.
+BOUNDS = 4_000_000
 ANSWER = re.compile(r"(?:^|\n)\s*(?:answer|a)\s*[:.]\s*", re.I)
 
 
@@ -36,84 +41,92 @@ def split_item(words: list[str], text: str) -> tuple[list[str], list[str]]:
     return words[:cut], words[cut:] or words
 
 
-@dataclass
-class Index:
-    """ids: items; terms: word to number; postings of term t lie at first[t]:first[t + 1]; block_max[t, b]."""
-
-    ids: list
-    words: list[list[str]]
-    parts: list[tuple[list[str], list[str]]]
-    terms: dict[str, int]
-    first: np.ndarray
-    items: np.ndarray
-    impacts: np.ndarray
-    block_max: np.ndarray
-    chunk: int
-
-    @classmethod
-    def of(cls, rows: list[tuple]) -> Index:
-        rows = sorted(((i, t) for i, t in rows if t and t.split()), key=lambda r: str(r[0]))
-        words = [t.lower().split() for _, t in rows]
-        df: dict[str, int] = {}
+def index_of(rows: list[tuple], corpus: tuple[int, int, int] | None = None, df: dict[str, int] | None = None) -> dict:
+    """The index of rows (id, text): ids and texts of items, `terms` from word to number, postings of term t at
+    first[t]:first[t + 1] of items and impacts, its blocks at bfirst[t]:bfirst[t + 1] of blocks and tops.
+
+    corpus: items, words, and words of the longest item of the whole benchmark, and df: how many of its items have each
+    word. By default the rows are all of it.
+    """
+    rows = sorted(((i, t) for i, t in rows if t and t.split()), key=lambda r: str(r[0]))
+    words = [t.lower().split() for _, t in rows]
+    if df is None:
+        df = {}
         for w in words:
             for x in set(w):
                 df[x] = df.get(x, 0) + 1
-        terms = {x: i for i, x in enumerate(sorted(df))}
-        n, mean = len(words), sum(map(len, words)) / max(1, len(words))
-        lists: list[list[tuple[int, float]]] = [[] for _ in terms]
-        for i, w in enumerate(words):
-            own = {}
-            for x in set(w):
-                tf, idf = w.count(x), np.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5))
-                own[x] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-            whole = sum(own.values())
-            for x, v in own.items():
-                lists[terms[x]].append((i, v / whole))
-        first = np.cumsum([0, *map(len, lists)])
-        items = np.array([i for p in lists for i, _ in p], np.int64)
-        impacts = np.array([v for p in lists for _, v in p], np.float64)
-        block_max = np.zeros((len(terms) + 1, max(1, -(-n // BLOCK_ITEMS))), np.float32)
-        for t, p in enumerate(lists):
-            for i, v in p:
-                block_max[t, i // BLOCK_ITEMS] = max(block_max[t, i // BLOCK_ITEMS], np.nextafter(np.float32(v), np.float32(9)))
-        return cls([i for i, _ in rows], words, [split_item(w, t) for w, (_, t) in zip(words, rows, strict=True)], terms, first, items, impacts, block_max, max(map(len, words), default=1))
-
-    def retrieve(self, query: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-        """Block-max WAND: every item of these blocks whose score for the distinct terms is the threshold or more."""
-        out = []
-        for block in blocks:
-            low, high = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
-            cursors = []  # item, end, position, block maximum
-            for t, top in zip(query, self.block_max[query, block], strict=True):
-                if top > 0:
-                    a, b = self.first[t], self.first[t + 1]
-                    p = a + np.searchsorted(self.items[a:b], low)
-                    e = a + np.searchsorted(self.items[a:b], high)
-                    if p < e:
-                        cursors.append([int(self.items[p]), int(e), int(p), float(top)])
-            while cursors:
-                cursors.sort()
-                bound, pivot = 0.0, None
-                for c in cursors:
-                    bound += c[3]
-                    if bound >= threshold:
-                        pivot = c[0]
-                        break
-                if pivot is None:
+    n, total, longest = corpus or (len(words), sum(map(len, words)), max(map(len, words), default=1))
+    mean = total / max(1, n)
+    terms = {x: i for i, x in enumerate(sorted({x for w in words for x in w}))}
+    idf = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) for x in terms}
+    term, item, impact = [], [], []
+    for i, w in enumerate(words):
+        count: dict[str, int] = {}
+        for x in w:
+            count[x] = count.get(x, 0) + 1
+        own = {x: idf[x] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean)) for x, tf in count.items()}
+        whole = sum(own.values())
+        for x, v in own.items():
+            term.append(terms[x])
+            item.append(i)
+            impact.append(v / whole)
+    term, item, impact = np.array(term, np.int64), np.array(item, np.int32), np.array(impact, np.float64)
+    order = np.lexsort((item, term))
+    term, item, impact = term[order], item[order], impact[order]
+    key = term * (len(words) // BLOCK_ITEMS + 1) + item // BLOCK_ITEMS
+    at = np.nonzero(np.append(True, key[1:] != key[:-1]))[0] if len(key) else np.zeros(0, np.int64)
+    tops = np.maximum.reduceat(impact, at) if len(at) else impact
+    numbers = np.arange(len(terms) + 1)
+    return {
+        "ids": [i for i, _ in rows], "texts": [t for _, t in rows], "terms": terms, "first": np.searchsorted(term, numbers), "items": item, "impacts": impact,
+        "bfirst": np.searchsorted(term[at], numbers), "blocks": item[at] // BLOCK_ITEMS, "tops": np.nextafter(tops.astype(np.float32), np.float32(9)), "chunk": longest, "n_blocks": -(-len(words) // BLOCK_ITEMS),
+    }
+
+
+def bounds(index: dict, row: np.ndarray, term: np.ndarray, rows: int) -> np.ndarray:
+    """[row, block]: the sum of the block maxima of each row's terms."""
+    a, n = index["bfirst"][term], index["bfirst"][term + 1] - index["bfirst"][term]
+    at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+    key = np.repeat(row, n) * index["n_blocks"] + index["blocks"][at]
+    return np.bincount(key, index["tops"][at], rows * index["n_blocks"]).reshape(rows, index["n_blocks"])
+
+
+def retrieve(index: dict, query: np.ndarray, blocks: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+    """Block-max WAND: every item of these blocks whose score for the distinct terms is the threshold or more."""
+    out, first, items, impacts = [], index["first"], index["items"], index["impacts"]
+    for block in blocks:
+        low, high = block * BLOCK_ITEMS, (block + 1) * BLOCK_ITEMS
+        cursors = []  # item, end, position, block maximum
+        for t in query:
+            c, d = index["bfirst"][t], index["bfirst"][t + 1]
+            k = c + np.searchsorted(index["blocks"][c:d], block)
+            if k < d and index["blocks"][k] == block:
+                a, b = first[t], first[t + 1]
+                p, e = a + np.searchsorted(items[a:b], low), a + np.searchsorted(items[a:b], high)
+                cursors.append([int(items[p]), int(e), int(p), float(index["tops"][k])])
+        while cursors:
+            cursors.sort()
+            bound, pivot = 0.0, None
+            for c in cursors:
+                bound += c[3]
+                if bound >= threshold:
+                    pivot = c[0]
                     break
-                if cursors[0][0] == pivot:
-                    score = sum(float(self.impacts[c[2]]) for c in cursors if c[0] == pivot)
-                    if score >= threshold:
-                        out.append((pivot, score))
-                    goal = pivot + 1
-                else:
-                    goal = pivot
-                for c in cursors:
-                    while c[2] < c[1] and self.items[c[2]] < goal:
-                        c[2] += 1
-                    c[0] = int(self.items[c[2]]) if c[2] < c[1] else -1
-                cursors = [c for c in cursors if c[0] >= 0]
-        return out
+            if pivot is None:
+                break
+            if cursors[0][0] == pivot:
+                score = sum(float(impacts[c[2]]) for c in cursors if c[0] == pivot)
+                if score >= threshold:
+                    out.append((pivot, score))
+                goal = pivot + 1
+            else:
+                goal = pivot
+            for c in cursors:
+                while c[2] < c[1] and items[c[2]] < goal:
+                    c[2] += 1
+                c[0] = int(items[c[2]]) if c[2] < c[1] else -1
+            cursors = [c for c in cursors if c[0] >= 0]
+    return out
 
 
 def overlap(part: list[str], passage: list[str], n: int = 2) -> float:
@@ -128,42 +141,66 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question
     """One row per document id and item that it leaks: id, item_id, the best passage's score (share of the item's own
     BM25 score), question_overlap and answer_overlap (shares of word pairs that a passage has).
 
-    Words are runs without white space, in lower case. A chunk is as long as the shard's longest item, so that any item
-    lies within some passage whole. Items and texts that are null, empty or without words, and rows with a null id,
+    Words are runs without white space, in lower case. A chunk is as long as the benchmark's longest item, so that any
+    item lies within some passage whole. Scores don't depend on shards: document frequencies, lengths and chunks are
+    the whole benchmark's. Items and texts that are null, empty or without words, and rows with a null id,
     leak nothing; rows that share an id are one document; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     rows = common.keyed(docs, id_col, text_col).filter("_id is not null and _text is not null")
-    items = benchmark.select(F.col(f"`{item_col}`").alias("_item"), F.col(f"`{item_text}`").cast("string").alias("_text")).filter("_item is not null and _text is not null")
+    items = benchmark.select(F.col(common.quoted(item_col)).alias("_item"), F.col(common.quoted(item_text)).cast("string").alias("_text")).filter("_item is not null and _text is not null")
     size = items.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     shards = -(-int(size) // SHARD_BYTES) or 1
     id_type, item_type = rows.schema["_id"].dataType.simpleString(), items.schema["_item"].dataType.simpleString()
-    out = None
+    corpus = dfs = out = None
+    if shards > 1:
+        corpus, dfs = _statistics(items)
     for shard in range(shards):  # one for any benchmark of up to SHARD_BYTES
-        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("_item"), F.lit(shards)) == shard)
-        index = spark.sparkContext.broadcast(Index.of([tuple(r) for r in part.collect()]))
-        found = common.per_batch(rows, _searcher(index, threshold, question_overlap, answer_overlap), f"_id {id_type}, _item {item_type}, _score double, _q double, _a double")
+        part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(shards)) == shard)
+        texts = [tuple(r) for r in part.collect()]
+        index = index_of(texts, corpus, dfs and _frequencies(dfs, texts))
+        found = common.per_batch(rows, _searcher(spark.sparkContext.broadcast(index), threshold, question_overlap, answer_overlap), f"_id {id_type}, _item {item_type}, _score double, _q double, _a double")
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("_id", "_item").agg(F.max("_score").alias("score"), F.max("_q").alias("question_overlap"), F.max("_a").alias("answer_overlap"))
     return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "score", "question_overlap", "answer_overlap")
 
 
-def _searcher(index, threshold: float, least_q: float, least_a: float):
+def _statistics(items: DataFrame) -> tuple[tuple[int, int, int], DataFrame]:
+    """(items, words, words of the longest item), and a table of how many items have each word."""
+
+    def count(batches):
+        for batch in batches:
+            words = [t.lower().split() for t in batch.column(0).to_pylist()]
+            for w in filter(None, words):
+                own = sorted(set(w))
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([len(w)] + [None] * (len(own) - 1), pa.int64())], ["word", "n"])
+
+    seen = common.written(common.per_batch(items.select("_text"), count, "word string, n bigint"), "benchmark-words")
+    n, total, longest = seen.agg(F.count("n"), F.sum("n"), F.max("n")).first()
+    return (n, total or 0, longest or 1), common.checkpointed(seen.groupBy("word").agg(F.count("*").alias("df")))
+
+
+def _frequencies(dfs: DataFrame, texts: list[tuple]) -> dict[str, int]:
+    """df of a shard's own words: no more than the shard has."""
+    own = dfs.sparkSession.createDataFrame([(x,) for x in sorted({x for _, t in texts for x in t.lower().split()})], "word string")
+    return {r.word: r.df for r in dfs.join(own, "word").collect()}
+
+
+def _searcher(held, threshold: float, least_q: float, least_a: float):
     def search(batches):
-        x = index.value
-        none = len(x.terms)
-        number = dict(x.terms)
+        index = held.value
+        number, none, size_of = index["terms"], len(index["terms"]), index["chunk"]
+        parts: dict[int, tuple] = {}
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             out, at = [], 0
-            while at < len(texts) and x.ids:
-                terms, doc_of, chunk_of, n_chunks, size = [], [], [], 0, 0
+            while at < len(texts) and none:
+                terms, chunk_of, doc_of, n_chunks, size = [], [], [], 0, 0
                 while at < len(texts) and size < common.FLAT_WORDS:
                     w = texts[at].lower().split()
                     if w:
-                        t = np.fromiter((number.get(y, none) for y in w), np.int64, len(w))
-                        chunks = np.arange(len(w)) // x.chunk
-                        terms.append(t)
+                        chunks = np.arange(len(w)) // size_of
+                        terms.append(np.fromiter(map(number.get, w, repeat(none)), np.int64, len(w)))
                         chunk_of.append(chunks + n_chunks)
                         doc_of += [at] * (int(chunks[-1]) + 1)
                         n_chunks += int(chunks[-1]) + 1
@@ -175,30 +212,31 @@ def _searcher(index, threshold: float, least_q: float, least_a: float):
                 pair = np.unique(chunk_of[known] * none + terms[known])  # distinct terms of each chunk
                 chunk, term = pair // none, pair % none
                 firsts = np.searchsorted(chunk, np.arange(n_chunks + 1))
-                bound = np.zeros((n_chunks + 1, x.block_max.shape[1]), np.float32)
-                full = np.nonzero(firsts[1:] > firsts[:-1])[0]
-                if len(full):
-                    for lo in range(0, len(full), 4096):  # by runs of chunks, to bound memory
-                        some = full[lo : lo + 4096]
-                        a, b = firsts[some[0]], firsts[some[-1] + 1]
-                        bound[some] = np.add.reduceat(x.block_max[term[a:b]], firsts[some] - a, axis=0)
                 joined = np.append(doc_of[1:] == doc_of[:-1], False)
-                passage = bound[:-1] + np.where(joined[:, None], bound[1:], 0)
-                for c in np.nonzero((passage >= threshold).any(axis=1))[0]:
-                    query = np.unique(term[firsts[c] : firsts[c + 2] if joined[c] else firsts[c + 1]])
-                    exact = x.block_max[query].sum(axis=0)
-                    blocks = np.nonzero(exact >= threshold)[0]
-                    if len(blocks):
-                        d = int(doc_of[c])
-                        own = c - int(np.searchsorted(doc_of, d))
-                        found = x.retrieve(query, blocks, threshold)
+                step = max(2, BOUNDS // index["n_blocks"])
+                for lo in range(0, n_chunks, step - 1):  # by runs of chunks that share one, to bound memory
+                    hi = min(n_chunks, lo + step)
+                    own = slice(firsts[lo], firsts[hi])
+                    bound = bounds(index, chunk[own] - lo, term[own], hi - lo)
+                    last = hi if hi == n_chunks else hi - 1
+                    passage = bound[: last - lo].copy()
+                    more = np.nonzero(joined[lo:last])[0]
+                    passage[more] += bound[more + 1]
+                    for c in lo + np.nonzero(passage.max(axis=1) >= threshold)[0]:
+                        query = np.unique(term[firsts[c] : firsts[c + 2] if joined[c] else firsts[c + 1]])
+                        exact = bounds(index, np.zeros(len(query), np.int64), query, 1)[0]
+                        found = retrieve(index, query, np.nonzero(exact >= threshold)[0], threshold)
                         if found:
-                            words = texts[d].lower().split()[own * x.chunk : (own + 2) * x.chunk]
+                            d = int(doc_of[c])
+                            k = int(c) - int(np.searchsorted(doc_of, d))
+                            words = texts[d].lower().split()[k * size_of : (k + 2) * size_of]
                             for i, score in found:
-                                q, a = (overlap(p, words) for p in x.parts[i])
+                                if i not in parts:
+                                    parts[i] = split_item(index["texts"][i].lower().split(), index["texts"][i])
+                                q, a = (overlap(p, words) for p in parts[i])
                                 if q >= least_q and a >= least_a:
                                     out.append((d, i, min(1.0, score), q, a))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([o[0] for o in out], pa.int64())), _items([x.ids[o[1]] for o in out], x.ids), *(pa.array([o[k] for o in out], pa.float64()) for k in (2, 3, 4))], ["_id", "_item", "_score", "_q", "_a"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([o[0] for o in out], pa.int64())), _items([index["ids"][o[1]] for o in out], index["ids"]), *(pa.array([o[k] for o in out], pa.float64()) for k in (2, 3, 4))], ["_id", "_item", "_score", "_q", "_a"])
 
     return search
 
@@ -209,5 +247,5 @@ def _items(values: list, like: list) -> pa.Array:
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that leak an item. Rows with a null id stay."""
-    leaks = hits(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__sw_leak")).distinct()
-    return docs.join(leaks, docs[id_col] == F.col("__sw_leak"), "left_anti")
+    leaks = hits(docs, benchmark, id_col=id_col, **options).select(F.col(common.quoted(id_col)).alias("__sw_leak")).distinct()
+    return docs.join(leaks, docs[common.quoted(id_col)] == F.col("__sw_leak"), "left_anti")

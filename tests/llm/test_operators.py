@@ -188,16 +188,18 @@ def test_hits_are_the_verbatim_leaks(spark, docs, texts):
 def test_wand_retrieves_all_above_the_threshold():
     rng = random.Random(4)
     items = [(i, rng_text(rng, rng.randint(5, 40))) for i in range(60)]
-    index = decontaminate.Index.of(items)
+    index = decontaminate.index_of(items)
     for _ in range(40):
         base = rng.choice(items)[1].split()
         query = {*base[: rng.randint(1, len(base))], *rng_text(rng, 20).split()}
-        terms = np.array(sorted(index.terms[w] for w in query if w in index.terms))
-        got = dict(index.retrieve(terms, np.arange(index.block_max.shape[1]), 0.4))
-        scores = np.zeros(len(index.ids))
+        terms = np.array(sorted(index["terms"][w] for w in query if w in index["terms"]))
+        got = dict(decontaminate.retrieve(index, terms, np.arange(index["n_blocks"]), 0.4))
+        scores = np.zeros(len(index["ids"]))
         for t in terms:
-            a, b = index.first[t], index.first[t + 1]
-            scores[index.items[a:b]] += index.impacts[a:b]
+            a, b = index["first"][t], index["first"][t + 1]
+            scores[index["items"][a:b]] += index["impacts"][a:b]
+        top = scores[: len(scores) // decontaminate.BLOCK_ITEMS * decontaminate.BLOCK_ITEMS].reshape(-1, decontaminate.BLOCK_ITEMS).max(axis=1)
+        assert (decontaminate.bounds(index, np.zeros(len(terms), np.int64), terms, 1)[0][: len(top)] >= top).all()
         assert set(got) == set(np.nonzero(scores >= 0.4)[0].tolist())
         assert all(got[i] == pytest.approx(scores[i]) for i in got)
 
