@@ -23,11 +23,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only where the session names none, a temporary one."""
+    """The folder that driver and executors share, as the session or its context names it. Where neither does, a
+    temporary one if all runs on this machine; on a cluster that is an error, as executors couldn't read it."""
     sc = spark.sparkContext
     at = lambda: sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (at().get() if at().isDefined() else None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="sparkweave-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
     if not at().isDefined():
@@ -51,7 +54,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under names of our own, so that no other column can clash."""
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    return docs.select(F.col(quoted(id_col)).alias("_id"), F.col(quoted(text_col)).cast("string").alias("_text"))
 
 
 def per_batch(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -99,8 +102,18 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def named(*columns: str) -> list[Column]:
+    """Columns by their whole names, dots included."""
+    return [F.col(quoted(c)) for c in columns]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b), as (node, root); root is the component's least node.
+    """Connected components of edges (a, b), as (node, root); root is the component's least node. Rounds grow with the
+    logarithm of a component's size; should they run out, that is an error and not a result.
 
     Alternates large-star and small-star steps. Each step reduces every node's neighbours to their minimum
     (partial aggregates before the shuffle) and joins it back, so no neighbourhood is gathered in one row or task.
@@ -126,6 +139,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = tuple(now)
         e = checkpointed(star(star(e, True), False))
+    else:
+        raise RuntimeError(f"components are unfinished after {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
