@@ -138,9 +138,9 @@ def pack(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: int = 1,
     """
     spark = docs.sparkSession
     data, kind = tokens.load(vocabulary)
-    blob = spark.sparkContext.broadcast(data)
-    source = F.col(f"`{source_col}`").cast("string")
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"), source.alias("_source"))
+    blob = spark.sparkContext.broadcast({"data": data, "kind": kind})
+    source = F.col(common.quoted(source_col)).cast("string")
+    rows = docs.select(F.col(common.quoted(id_col)).alias("_id"), F.col(common.quoted(text_col)).cast("string").alias("_text"), source.alias("_source"))
     n_sources = rows.select("_source").distinct().limit(MAX_QUEUES + 1).count()
     if n_sources > MAX_QUEUES:
         prefix = "queue-"
@@ -153,17 +153,18 @@ def pack(docs: DataFrame, vocabulary: str, seq_len: int = 2048, end_id: int = 1,
     def encode(batches):
         from pyspark import TaskContext
 
-        part, encoder, seen = TaskContext.get().partitionId(), tokens.Encoder(blob.value, kind), {}
+        part, encoder, seen = TaskContext.get().partitionId(), tokens.encoder_of(blob.value), {}
         for batch in batches:
-            texts, sources = [x or "" for x in batch.column(1).to_pylist()], batch.column(2).to_pylist()
-            for at in range(0, len(texts), 256):
-                ids = [np.append(x, np.uint32(end_id)) for x in encoder.encode(texts[at : at + 256])]
+            for lo, hi, flat, at in encoder.slices(batch.column(1)):
+                flat, n = np.insert(flat, at[1:], np.uint32(end_id)), (np.diff(at) + 1).astype(np.int64)
                 starts = []
-                for s, x in zip(sources[at : at + 256], ids, strict=True):
+                for s, k in zip(batch.column(2).slice(lo, hi - lo).to_pylist(), n.tolist(), strict=True):
                     starts.append(seen.get(s, 0))
-                    seen[s] = starts[-1] + len(x)
-                small = all(int(x.max()) < 1 << 16 for x in ids)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), batch.column(2).slice(at, 256), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([2 if small else 4] * len(ids), pa.int32()), pa.array([x.astype("<u2" if small else "<u4").tobytes() for x in ids], pa.binary())], ["_id", "_source", "_part", "_start", "_n", "_width", "_ids"])
+                    seen[s] = starts[-1] + k
+                width = 2 if int(flat.max()) < 1 << 16 else 4
+                ends = np.append(0, np.cumsum(n)).astype(np.int32) * width
+                ids = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(flat.astype(f"<u{width}"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([part] * (hi - lo), pa.int32()), pa.array(starts, pa.int64()), pa.array(n), pa.array([width] * (hi - lo), pa.int32()), ids], ["_id", "_source", "_part", "_start", "_n", "_width", "_ids"])
 
     made = common.written(common.per_batch(rows, encode, f"_id {id_type.simpleString()}, _source string, _part int, _start bigint, _n bigint, _width int, _ids binary"), "pack-ids")
     parts = common.checkpointed(made.groupBy("_part", "_source").agg(F.sum("_n").alias("n")))

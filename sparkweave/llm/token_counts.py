@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def count(docs: DataFrame, vocabulary: str, cache: str | None = None, limit: int
     """
     spark = docs.sparkSession
     data, kind = tokens.load(vocabulary)
-    version, blob = tokens.version(data, kind), spark.sparkContext.broadcast(data)
+    version, blob = tokens.version(data, kind), spark.sparkContext.broadcast({"data": data, "kind": kind})
     cache = cache or f"{common.shared_dir(spark)}/sparkweave/token-cache-{uuid.uuid4().hex}"
     text = F.coalesce(F.col("_text"), F.lit(""))
     content = F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " ")) if kind == "json" and tokens.drops_space(data) else text
@@ -47,15 +48,15 @@ def count(docs: DataFrame, vocabulary: str, cache: str | None = None, limit: int
                 yield batch.take(pa.array(keep, pa.int64()))
 
     def encode(batches):
-        encoder, seen = tokens.Encoder(blob.value, kind), set()
+        encoder, seen = tokens.encoder_of(blob.value), set()
         for batch in batches:
             at = [i for i, d in enumerate(batch.column(0).to_pylist()) if not (d in seen or seen.add(d))]
-            for k in range(0, len(at), 256):
-                part = batch.take(pa.array(at[k : k + 256], pa.int64()))
-                n = [len(x) for x in encoder.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([version] * len(n)), pa.array(n, pa.int64())], ["digest", "tokenizer", "n_tokens"])
+            part = batch.take(pa.array(at, pa.int64()))
+            for lo, hi, _, starts in encoder.slices(part.column(1)):
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(lo, hi - lo), pa.array([version] * (hi - lo)), pa.array(np.diff(starts).astype(np.int64))], ["digest", "tokenizer", "n_tokens"])
 
     firsts = common.per_batch(rows.select(F.col("_digest").alias("digest"), F.col("_content").alias("content")), once, "digest binary, content string")
     misses = firsts.join(known(), "digest", "left_anti").repartition("digest")
     common.per_batch(misses, encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
-    return rows.select("_id", "n_bytes", "_digest").join(known(), F.col("_digest") == F.col("digest"), "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    counts = common.checkpointed(known())  # a plain table, so that Spark splits the rows of a text with many copies
+    return rows.select("_id", "n_bytes", "_digest").join(counts, F.col("_digest") == F.col("digest"), "left").select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
