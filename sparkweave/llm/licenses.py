@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 # Spellings that count as equal (the public matching guidelines for license texts), in lower case.
-SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("sub license", "sublicense"), ("https://", "http://"), ("©", "(c)"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("centre", "center"), ("copyright holder", "copyright owner"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("merchantability", "merchantability"), ("noncommercial", "non-commercial"), ("organisation", "organization"), ("per cent", "percent"), ("programme", "program"), ("recognise", "recognize"), ("utilise", "utilize"), ("whilst", "while"), ("wilful", "willful"), ("&", " and ")]
-#: Lines that name a holder and not a license.
-HOLDER = r"^[^\p{L}\p{N}]*(copyright|\(c\)|all rights reserved)([^\p{L}\p{N}]|$)"
-OTHER = r"[^\p{L}\p{N}]+"
+SPELLINGS = [("licence", "license"), ("https://", "http://"), ("©", "(c)"), ("acknowledgement", "acknowledgment"), ("analogue", "analog"), ("artefact", "artifact"), ("authorisation", "authorization"), ("authorised", "authorized"), ("centre", "center"), ("favour", "favor"), ("fulfilment", "fulfillment"), ("initialise", "initialize"), ("judgement", "judgment"), ("labour", "labor"), ("organisation", "organization"), ("programme", "program"), ("recognise", "recognize"), ("utilise", "utilize"), ("whilst", "while"), ("wilful", "willful"), ("&", " and "), ("\r", " ")]
+# The same for spellings of several words, which may lie on two lines: they are replaced in whole canonical texts.
+PHRASES = [("copyright holder", "copyright owner"), ("non commercial", "noncommercial"), ("per cent", "percent"), ("sub license", "sublicense")]
+# Words that follow "copyright" in a license's own sentences, where no holder is named.
+PROSE = "act and as disclaimer doctrine for holder holders in infringement interest interests is laws law license licenses notice notices of or owner owners ownership permission protection right rights statement statements that the this to treaty".split()
+WORD, NO_WORD = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\n]"
+#: Lines that name a holder and not a license: "copyright" and a name, a year or a sign; "(c)" and a year; rights reserved.
+HOLDER = rf"(?md)^{NO_WORD}*(?:copyright{NO_WORD}++(?={WORD})(?!(?:{'|'.join(PROSE)})(?:(?!{WORD})|$))[^\n]*|\(c\){NO_WORD}*[0-9]{{4}}[^\n]*|all rights reserved{NO_WORD}*)$"
+#: Marks of list items, and what else is no word.
+BULLET = r"(^|[ \t])\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)]([ \t]|$)"
+OTHER = rf"{NO_WORD}+"
+# Lines that are a license's title, in their canonical spelling; they say no more than the text below them.
+TITLES = ["mit license", "the mit license", "mit license mit", "the mit license mit", "mit", "isc license", "the isc license", "bsd license", "the bsd license", "new bsd license", "bsd 2 clause license", "bsd 3 clause license", "bsd 2 clause simplified license", "the 2 clause bsd license", "the 3 clause bsd license", "simplified bsd license"]
 
 _WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -28,29 +39,77 @@ KNOWN = [
 ]
 
 
-def canonical(line: Column) -> Column:
-    """A line in its one spelling; empty if it names a holder. Of a whole text: its lines' joined by spaces."""
-    x = F.lower(line)
+# SHA-256 of the canonical form (`digest_of`) of public license texts that are too long to write out here.
+# Each whole, and up to its last terms where it has an appendix.
+DIGESTS = [
+    ("Apache-2.0", "023f96fb12fb40659102f1ac5a680488648a960e4b5fe82f9f7e5c9a7e835af2"),
+    ("Apache-2.0", "3242e686ae9106b8db245670f30a1f0b8000adf8e210f19d9ca88349cc4132c2"),
+    ("Apache-2.0", "3744efb92633500841034a4b7c7e50eafa7143121049894051ac9faf36eac690"),
+    ("Artistic-1.0-Perl", "13caa6a0bc52f01d305d07b8139a4750d73ad358309326b68cc4acee2a5d977f"),
+    ("CC0-1.0", "b786e4dcc533745dd6e8c7df7360071e558b3cc45fb201b53e8afb199f1cd374"),
+    ("GFDL-1.2", "889ddd6810f912c1d7b6d221cabbbf9102c3e45db73689025f26a8dc1db86f60"),
+    ("GFDL-1.3", "4764573dab2d2f4bf244b73da67cc96f8cfd5aae4a64af236a5f43fd67301366"),
+    ("GPL-1.0", "7113e749dfdf7506dd47dd53bfdc6a4276b20a4e35c37a09136486cecc3e2253"),
+    ("GPL-1.0", "48622df62f9a8678fb96977afc92830fb2bd8660858438e12f0a5d8748dadfa2"),
+    ("GPL-1.0", "39610b981c1211866e87fed9f40729390949d1eb6c6b76ad8b70f483446e3a4b"),
+    ("GPL-2.0", "801f098cc8257d272b15f8278794c04ee1ee99710438336011e4892b66c1ae8f"),
+    ("GPL-2.0", "a3b0b0c6162d238e8826619c16a10b0dc315598144f5e74cb63e252037b2024a"),
+    ("GPL-2.0", "8a41ab472ec908365052deb93b8f764d46bcb4bc82554290ed45766830b2acf3"),
+    ("GPL-3.0", "750a198f7306c1d77f53ac2f9320c50494e59085a3f25593c3ca0c31ef976446"),
+    ("GPL-3.0", "f4679fe6922e45d6dfacf5a0923b133eb6d46b230d1b5a6206513d4647004533"),
+    ("GPL-3.0", "c59b6f54b83209207f2445b9b717031f1a1f855d63e8aba6a9c906700a9810de"),
+    ("LGPL-2.0", "a14daff4ce5e1e369b114a13538899b82fe3d21fcc16ce8056f4e90215efa1db"),
+    ("LGPL-2.0", "059f0e6df498352903d2adcb697f879a7940e1e1cea1979c9945bbe82da596e5"),
+    ("LGPL-2.0", "b5d82e1dbd2030aee409d55e9f39b988c91fdf37d8e96508bbf314859b765ff1"),
+    ("LGPL-2.1", "9a351d855f01170d1839724c9c99a7cb8552965a3a157ae134cd9ddb9d62c35a"),
+    ("LGPL-2.1", "ccc65075fbb1c50fefe12c30606961c4af28987ced3af31b8ef8282cde7e7053"),
+    ("LGPL-2.1", "cba27486fe484c786e116b622af41529523ebc3ed762b0b3569067da445de26a"),
+    ("LGPL-3.0", "6a1e21cb1f0adda77c68071a8eeadb804a92ffdcaa150c17f976711652333fa0"),
+    ("MPL-1.1", "859c11e6852c7be156c7a4e01d4e1cdf09a1f8c7342ccdb0df67cb116192a4a3"),
+    ("MPL-2.0", "5c0269a4931aac7ea7207dd7fd6733bf93886ff2f920b9e801acb3b6e0d15f0a"),
+]
+
+
+def spelt(text: Column) -> Column:
+    """A text in its one spelling, line by line: what is left of a line that names a holder is empty."""
+    x = F.lower(F.coalesce(text, F.lit("")))
     for a, b in SPELLINGS:
-        x = F.replace(x, F.lit(a), F.lit(b)) if a != b else x
-    return F.when(x.rlike(HOLDER), F.lit("")).otherwise(F.trim(F.regexp_replace(x, OTHER, " ")))
+        x = F.replace(x, F.lit(a), F.lit(b))
+    x = F.regexp_replace(F.regexp_replace(x, HOLDER, ""), f"(?md){BULLET}", " ")
+    return F.regexp_replace(x, OTHER, " ")
+
+
+def lines_of(text: Column) -> Column:
+    """The canonical lines that say something."""
+    lines = F.transform(F.split(spelt(text), "\n"), lambda x: F.trim(x))
+    return F.filter(lines, lambda x: x != "")
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest_of(lines: Column) -> Column:
+    """Digest of a whole text by its canonical lines; titles don't count, nor does where lines end."""
+    x = F.array_join(F.filter(lines, lambda x: ~x.isin(TITLES)), " ")
+    for a, b in PHRASES:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return F.sha2(x, 256)
+
+
+def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = DIGESTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, digest (of the whole canonical text), license_id (the known license that the whole
     text is, else null), notices (the known ones that whole lines are, sorted and joined by commas; empty if none).
 
-    The known texts are a fixed list, canonicalised by the same expressions and broadcast. A text is canonicalised line
-    by line, once. Null and empty texts have the digest of an empty text and no license; rows that share an id share
-    their notices (null ids too); an empty table gives no rows.
+    known: licenses and texts, digested by the same expressions; digests: licenses and digests. Both are fixed lists, so
+    the joined table is small and broadcast, and each text is canonicalised once, where it lies: nothing is shuffled.
+    Null and empty texts, and texts of titles and holders alone, have the digest of an empty text and no license. Rows
+    that share an id, and rows with a null id, are scanned each for itself; an empty table gives no rows; other columns
+    play no part.
     """
     spark = docs.sparkSession
-
-    def lines_of(text: Column) -> Column:
-        return F.array_remove(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), canonical), "")
-
-    table = spark.createDataFrame(known, "_license string, _known string").select("_license", F.sha2(F.concat_ws(" ", lines_of(F.col("_known"))), 256).alias("_k")).groupBy("_k").agg(F.min("_license").alias("_license"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), lines_of(docs[text_col].cast("string")).alias("_lines"))
-    noted = rows.select("_id", F.explode(F.array_distinct("_lines")).alias("_line")).select("_id", F.sha2("_line", 256).alias("_d")).join(F.broadcast(table), F.col("_d") == F.col("_k")).groupBy(F.col("_id").alias("_n")).agg(F.array_join(F.array_sort(F.collect_set("_license")), ",").alias("_notices"))
-    whole = rows.select("_id", F.sha2(F.concat_ws(" ", "_lines"), 256).alias("digest")).join(F.broadcast(table), F.col("digest") == F.col("_k"), "left")
-    return whole.join(noted, F.col("_id").eqNullSafe(F.col("_n")), "left").select(F.col("_id").alias(id_col), "digest", F.col("_license").alias("license_id"), F.coalesce("_notices", F.lit("")).alias("notices"))
+    table = spark.createDataFrame(known, "_license string, _known string").select("_license", lines_of(F.col("_known")).alias("_lines")).select("_license", digest_of(F.col("_lines")).alias("_k"), F.array_join("_lines", " ").alias("_line"))
+    line_license = {r[0]: r[1] for r in table.groupBy("_line").agg(F.min("_license")).filter("_line <> ''").collect()}  # no more than `known`
+    whole = table.select("_license", "_k").unionByName(spark.createDataFrame(digests, "_license string, _k string")) if digests else table.select("_license", "_k")
+    whole = whole.filter(F.col("_k") != F.sha2(F.lit(""), 256)).groupBy("_k").agg(F.min("_license").alias("_license"))
+    rows = docs.select(*[c.alias(n) for c, n in zip(named(id_col, text_col), ("_id", "_text"), strict=True)])
+    rows = rows.select("_id", lines_of(F.col("_text").cast("string")).alias("_lines")).select("_id", digest_of(F.col("_lines")).alias("digest"), F.array_intersect("_lines", F.array(*[F.lit(x) for x in line_license])).alias("_hits"))
+    of = F.create_map(*[F.lit(y) for x in line_license.items() for y in x])
+    notices = F.when(F.size("_hits") == 0, "").otherwise(F.array_join(F.array_sort(F.array_distinct(F.transform("_hits", lambda x: of[x]))), ","))
+    return rows.join(F.broadcast(whole), F.col("digest") == F.col("_k"), "left").select(F.col("_id").alias(id_col), "digest", F.col("_license").alias("license_id"), notices.alias("notices"))

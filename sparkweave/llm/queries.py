@@ -59,27 +59,41 @@ def _quoted(x: str) -> str:
 
 
 def op7_sql() -> str:
-    """The same rules in SQL; the known texts are canonicalised there too."""
-    x = "lower(line)"
+    """The same rules in SQL; the known texts are canonicalised there too, line by line."""
+    x = "lower(text)"
     for a, b in licenses.SPELLINGS:
-        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})" if a != b else x
+        x = f"replace({x}, {_quoted(a)}, {_quoted(b)})" if a != "\r" else f"replace({x}, chr(13), ' ')"
     known = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(licenses.KNOWN))
+    digests = ", ".join(f"({_quoted(name)}, {_quoted(digest)})" for name, digest in licenses.DIGESTS)
+    no, word, titles = licenses.NO_WORD, licenses.WORD, ", ".join(map(_quoted, licenses.TITLES))
+    holder = rf"""(regexp_matches(line, '^{no}*copyright{no}+{word}') AND NOT regexp_matches(line, '^{no}*copyright{no}+({'|'.join(licenses.PROSE)})({no}|$)'))
+      OR regexp_matches(line, '^{no}*\(c\){no}*[0-9]{{4}}') OR regexp_matches(line, '^{no}*all rights reserved{no}*$')"""
+    said = f"coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> '' AND c NOT IN ({titles})), '')"
+    for a, b in licenses.PHRASES:
+        said = f"replace({said}, {_quoted(a)}, {_quoted(b)})"
     return rf"""
 WITH known(id, license, text) AS (VALUES {known}),
-texts AS (SELECT 'k' AS kind, id, coalesce(text, '') AS text FROM known UNION ALL SELECT 'd', doc_id, coalesce(text, '') FROM documents),
+texts AS (SELECT 'k' AS kind, id, {x} AS text FROM known UNION ALL SELECT 'd', doc_id, coalesce({x}, '') FROM documents),
 lines AS (
   SELECT kind, id, u.i AS i, string_split(text, chr(10))[u.i] AS line
   FROM texts, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) u
 ),
-spelt AS (SELECT kind, id, i, {x} AS x FROM lines),
 canon AS (
-  SELECT kind, id, i, CASE WHEN regexp_matches(x, {_quoted(licenses.HOLDER)}) THEN '' ELSE trim(regexp_replace(x, {_quoted(licenses.OTHER)}, ' ', 'g')) END AS c FROM spelt
+  SELECT kind, id, i, CASE WHEN {holder} THEN '' ELSE trim(regexp_replace(regexp_replace(line, {_quoted(licenses.BULLET)}, ' ', 'g'), {_quoted(licenses.OTHER)}, ' ', 'g')) END AS c FROM lines
 ),
-whole AS (SELECT kind, id, sha256(coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> ''), '')) AS digest FROM canon GROUP BY kind, id),
-tab AS (SELECT digest, min(license) AS license FROM whole JOIN known USING (id) WHERE kind = 'k' GROUP BY digest),
+whole AS (
+  SELECT kind, id, sha256({said}) AS digest,
+    coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> ''), '') AS said
+  FROM canon GROUP BY kind, id
+),
+tab AS (
+  SELECT digest, min(license) AS license FROM (SELECT digest, license FROM whole JOIN known USING (id) WHERE kind = 'k' UNION ALL SELECT d, n FROM (VALUES {digests}) v(n, d))
+  WHERE digest <> sha256('') GROUP BY digest
+),
+tab_lines AS (SELECT said, min(license) AS license FROM whole JOIN known USING (id) WHERE kind = 'k' AND said <> '' GROUP BY said),
 noted AS (
   SELECT id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices
-  FROM canon JOIN tab ON tab.digest = sha256(c) WHERE kind = 'd' AND c <> '' GROUP BY id
+  FROM canon JOIN tab_lines ON said = c WHERE kind = 'd' GROUP BY id
 )
 SELECT w.id AS doc_id, w.digest, t.license AS license_id, coalesce(n.notices, '') AS notices
 FROM whole w LEFT JOIN tab t ON t.digest = w.digest LEFT JOIN noted n ON n.id = w.id WHERE w.kind = 'd'
