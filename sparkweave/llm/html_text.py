@@ -1,8 +1,9 @@
 """HTML extraction by tag-path ratios.
 
-Text length and punctuation are summed per root-to-leaf tag path; their means a text node, smoothed along the page and
-multiplied, tell content paths from the rest. The element that holds what the paths select is the content, without the
-parts that their own names mark as menus, adverts, notices, forms or comments.
+Text length and punctuation are summed per root-to-leaf tag path; their means a text node are smoothed along the page,
+multiplied, and averaged per path again. Paths that reach half of the page's average are content paths, and their nodes
+the content. The main text is the innermost section that holds these nodes, without the boxes in it that hold none;
+elements whose names mark menus, adverts, notices, forms or comments never take part.
 """
 
 import html
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?'\"()…–—«»¿¡、。]")
@@ -33,6 +36,8 @@ MARKS = frozenset(
     "skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar widget widgets".split()
 )
 SECTIONS = frozenset("article main section div body html td center".split())
+#: Elements that part a page; without a content node such a one isn't part of the main text.
+BOXES = frozenset("article main section div table center".split())
 
 
 def marked(tag: str, attributes: str, inside_article: bool) -> int:
@@ -128,18 +133,26 @@ def smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(pad, kernel / kernel.sum(), mode="valid")
 
 
-def selected(found: list) -> tuple[list, np.ndarray]:
-    """Text nodes without spacers, and which of them the path ratios select."""
-    length, points, count = {}, {}, {}
-    for t, path, _, _ in found:
-        if t != " ":
-            length[path] = length.get(path, 0) + len(t.strip())
-            points[path] = points.get(path, 0) + len(PUNCTUATION.findall(t))
-            count[path] = count.get(path, 0) + 1
+def fused(found: list) -> tuple[list, list[float]]:
+    """Text nodes without spacers, and the ratio of each one's path: mean text length times mean punctuation (and one) of
+    a path's nodes, each smoothed along the page, as a mean over the path's nodes."""
+    length, points, count, total = {}, {}, {}, {}
     real = [x for x in found if x[0] != " "]
+    for t, path, _, _ in real:
+        length[path] = length.get(path, 0) + len(t.strip())
+        points[path] = points.get(path, 0) + len(PUNCTUATION.findall(t))
+        count[path] = count.get(path, 0) + 1
     by_length, by_points = (smooth(np.array([d[x[1]] / count[x[1]] for x in real], float)) for d in (length, points))
-    fused = by_length * (1 + by_points)
-    return real, fused >= 0.5 * np.average(fused)
+    for x, value in zip(real, (by_length * (1 + by_points)).tolist(), strict=True):
+        total[x[1]] = total.get(x[1], 0) + value
+    return real, [total[x[1]] / count[x[1]] for x in real]
+
+
+def selected(found: list) -> tuple[list, list[bool]]:
+    """Text nodes without spacers, and which of them lie on content paths: half the page's mean ratio or more."""
+    real, ratio = fused(found)
+    least = 0.5 * sum(ratio) / len(ratio)
+    return real, [r >= least for r in ratio]
 
 
 def wrappers(found: list, named: set[int]) -> set[int]:
@@ -185,15 +198,31 @@ def extract(page: str | None) -> str:
     else:  # the innermost section that holds all of it
         root = max((e for e in chars if chars[e] == total and tags[e] in SECTIONS), default=None)
     blocks: dict[int, list[str]] = {}
-    for t, _, elements, block in found:
-        if root is None or root in elements:
-            blocks.setdefault(block, []).append(t)
+    for t, path, elements, block in found:
+        if root in elements if root is not None else True:
+            top = elements.index(root) + 1 if root is not None else 0
+            if not boxed_off(path[:top], [*zip(path[top:], elements[top:], strict=True)], chars):
+                blocks.setdefault(block, []).append(t)
     lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 
 
+def boxed_off(above: tuple[str, ...], below: list[tuple[str, int]], chars: dict[int, int]) -> bool:
+    """Whether a text node of the main section lies in a box of its own that holds no content node. What is within an
+    article or main element that holds some is part of it."""
+    if "article" in above or "main" in above:
+        return False
+    for tag, element in below:
+        if element not in chars:
+            return tag in BOXES
+        if tag in ("article", "main"):
+            return False
+    return False
+
+
 def main_text(pages: DataFrame, html_col: str = "html", into: str = "_main") -> DataFrame:
-    """pages with a string column `into`: the main text of the whole html. Null and empty pages, and pages without
+    """pages with a string column `into`: the main text of the whole html; a column of that name gives way, all others,
+    whatever their names, go through. Null and empty pages, and pages without
     content, have an empty text; repeated rows are extracted like others; an empty table gives no rows. Each page is
     worked on where it lies: nothing is shuffled."""
 
@@ -202,4 +231,4 @@ def main_text(pages: DataFrame, html_col: str = "html", into: str = "_main") ->
         for batch in batches:
             yield pa.array([extract(x) for x in batch.to_pylist()], pa.string())
 
-    return pages.select(*[pages[c] for c in pages.columns if c != into], texts(pages[html_col].cast("string")).alias(into))
+    return pages.select(*[pages[common.quoted(c)] for c in pages.columns if c != into], texts(pages[common.quoted(html_col)].cast("string")).alias(into))
