@@ -65,7 +65,8 @@ def twice_seen(rows: DataFrame, bits: int, min_chars: int) -> bytes:
 
 
 def dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col: str = "text", into: str = "_lines", max_bits: int = MAX_BITS) -> DataFrame:
-    """docs with a struct column `into`: kept (the text left), n_lines (before), n_dropped.
+    """docs with a struct column `into`: kept (the text left), n_lines (before), n_dropped. A column of that name gives
+    way; all others, whatever their names, go through.
 
     A key of min_chars code points or more that lies in two documents or more loses all its lines but those in the
     document with the least id. A null or empty text is one empty line. Rows that share an id are one document. A row
@@ -107,5 +108,5 @@ def dedup(docs: DataFrame, min_chars: int = 10, id_col: str = "doc_id", text_col
             dropped.append(len(all_lines) - len(left))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], ["kept", "n_lines", "n_dropped"])
 
-    out = docs.join(drops, docs[id_col] == F.col("__sw_drop_id"), "left")
-    return out.select(*[docs[c] for c in docs.columns if c != into], without(docs[text_col].cast("string"), F.col("__sw_drops")).alias(into))
+    out = docs.join(drops, docs[common.quoted(id_col)] == F.col("__sw_drop_id"), "left")
+    return out.select(*[docs[common.quoted(c)] for c in docs.columns if c != into], without(docs[common.quoted(text_col)].cast("string"), F.col("__sw_drops")).alias(into))

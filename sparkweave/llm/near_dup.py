@@ -192,5 +192,5 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
 def keep_first(docs: DataFrame, n: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose class has a smaller id: one document of each group stays. Rows that share an id stay
     together if one of their texts leads its class; rows with a null id stay."""
-    gone = links(docs, n, threshold, id_col=id_col, text_col=text_col).groupBy(F.col(id_col).alias("__sw_gone")).agg(F.min(F.col("class_id") < F.col(id_col)).alias("_all")).filter("_all").select("__sw_gone")
-    return docs.join(gone, docs[id_col] == F.col("__sw_gone"), "left_anti")
+    gone = links(docs, n, threshold, id_col=id_col, text_col=text_col).groupBy(F.col(common.quoted(id_col)).alias("__sw_gone")).agg(F.min(F.col("class_id") < F.col(common.quoted(id_col))).alias("_all")).filter("_all").select("__sw_gone")
+    return docs.join(gone, docs[common.quoted(id_col)] == F.col("__sw_gone"), "left_anti")

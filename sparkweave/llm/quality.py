@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import keyed, quoted
+
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Buckets of hashed words and word pairs: the model's fixed size.
 BUCKETS = 1 << 14
@@ -64,16 +66,17 @@ def model(rows: DataFrame, trusted: DataFrame, max_target: int = MAX_TARGET) ->
 
 
 def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_target: int = MAX_TARGET, id_col: str = "doc_id", text_col: str = "text", into: str = "_quality") -> DataFrame:
-    """docs with a struct column `into`: the base statistics, base_failed, llr (mean log ratio a n-gram) and kept.
+    """docs with a struct column `into`: the base statistics, base_failed, llr (mean log ratio a n-gram) and kept. A column
+    of that name gives way; all others, whatever their names, go through.
 
     Trusted are labels' rows of quality 1. A null text has no words and fails the base; so do texts of under 50 words
     and texts half of whose words or more lie in repeated windows. With no trusted row every ratio is 0 and the base
     alone decides. Null ids are scored like others; an empty table gives no rows. Rows are scored in place: the only
     shuffle is that of the bucket counts, summed in each task first.
     """
-    weights = model(docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text")), labels.filter("quality = 1").select(F.col(f"`{id_col}`").alias("_id")), max_target)
+    weights = model(keyed(docs, id_col, text_col), labels.filter("quality = 1").select(F.col(quoted(id_col)).alias("_id")), max_target)
     table = F.from_json(F.lit(json.dumps(weights, separators=(",", ":"))), "array<int>")
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    text = F.coalesce(docs[quoted(text_col)].cast("string"), F.lit(""))
 
     def judged(words: Column) -> Column:
         n = F.size(words)
@@ -91,4 +94,4 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
 
         return let(base, verdict)
 
-    return docs.select(*[docs[c] for c in docs.columns if c != into], let(words_of(text), judged).alias(into))
+    return docs.select(*[docs[quoted(c)] for c in docs.columns if c != into], let(words_of(text), judged).alias(into))

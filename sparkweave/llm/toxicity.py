@@ -17,6 +17,8 @@ MAX_POSITIVE, MAX_UNLABELLED = 10_000, 20_000
 #: Buckets of hashed features, and those with weights: a model is at most this large.
 BUCKETS, MAX_FEATURES = 1 << 20, 50_000
 FOLDS = 5
+#: Files that the sample is written to.
+SAMPLE_FILES = 8
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
 
@@ -98,7 +100,7 @@ def learnable(id_col: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> tuple[np.ndarray, np.ndarray, float]:
     """The classifier. Positives: rows that labels mark toxic; unlabelled: any labelled rows, their labels unseen, but for
     their share of toxic ones, which is the class prior. Held-out rows' labels take no part."""
-    marks = labels.select(F.col(f"`{id_col}`").alias("_l"), F.col("toxic").cast("int").alias("_toxic")).filter(F.col("_l").isNotNull() & F.col("_toxic").isNotNull() & learnable(F.col("_l"))).groupBy("_l").agg(F.max("_toxic").alias("_toxic"))
+    marks = labels.select(F.col(common.quoted(id_col)).alias("_l"), F.col("toxic").cast("int").alias("_toxic")).filter(F.col("_l").isNotNull() & F.col("_toxic").isNotNull() & learnable(F.col("_l"))).groupBy("_l").agg(F.max("_toxic").alias("_toxic"))
     prior = marks.agg(F.avg("_toxic")).first()[0] or 0.0
     order = [F.xxhash64("_l"), F.col("_l")]
     sample = marks.filter("_toxic = 1").orderBy(*order).limit(max_positive).select("_l", F.lit(True).alias("_p")).union(marks.orderBy(*order).limit(max_unlabelled).select("_l", F.lit(False).alias("_p")))
@@ -113,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([x.astype("<i4").tobytes() for x in found], pa.binary())], ["_p", "_id", "_x"])
 
     made = common.per_batch(rows, hashed_rows, f"_p boolean, _id {rows.schema['_id'].dataType.simpleString()}, _x binary")
+    made = common.written(made.repartition(SAMPLE_FILES), "toxicity-sample")  # so that the driver reads few files, whatever the corpus has
     positive, unlabelled = [], []
     for r in sorted(made.toLocalIterator(), key=lambda r: (r[0], str(r[1]), bytes(r[2]))):  # max_positive + max_unlabelled rows
         (positive if r[0] else unlabelled).append(np.frombuffer(r[2], "<i4").astype(np.int64))
