@@ -574,3 +574,36 @@ def test_stages_return_the_columns_of_documents(spark, docs):
 
 def test_oracles_name_queries():
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_seeds_are_the_least_of_each_window():
+    rng = np.random.RandomState(3)
+    sizes = rng.randint(0, 30, 60)
+    flat = rng.randint(0, 6, sizes.sum()).astype(np.uint64)
+    k, w = substring_dedup.K, substring_dedup.WINNOW
+    h, text, pos = substring_dedup.seeds_of(flat, sizes)
+    got = list(zip(text.tolist(), pos.tolist(), h.tolist(), strict=True))
+    want, start = [], 0
+    for t, n in enumerate(sizes.tolist()):
+        own = common.shingles(flat[start : start + n], k).tolist() if n >= k else []
+        runs = range(max(1, len(own) - w + 1)) if own else ()
+        places = {min(range(i, min(i + w, len(own))), key=lambda j: (own[j], j)) for i in runs}
+        want += [(t, p, own[p]) for p in sorted(places)]
+        start += n
+    assert got == want
+
+
+def test_fuzzy_passages_are_mostly_found(spark):
+    """Copies of 80 words with 15 % of them replaced at random: at least nine of ten."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = []
+    for d in range(0, 120, 2):
+        passage = text(80)
+        copy = list(passage)
+        for i in rng.sample(range(1, 79), 12):
+            copy[i] = rng.choice(vocabulary)
+        rows += [(d, " ".join(text(60) + passage + text(60))), (d + 1, " ".join(text(50) + copy + text(70)))]
+    got = {(r.ref_doc_id, r.doc_id) for r in substring_dedup.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert len(got) >= 54 and all(y == x + 1 for x, y in got)
