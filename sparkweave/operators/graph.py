@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.functions import text as tx
+from sparkweave.operators import containment
+from sparkweave.sources import shared
 from sparkweave.operators.model import FACETS, INDEX_WEIGHTS, RANK_WEIGHTS, Graph, chosen, score_or, top
 
 
@@ -53,18 +54,23 @@ def source_rank(graph: Graph, limit: int | None = 20) -> DataFrame:
     return top(out, limit, F.desc("risk_score"), F.asc("source_id"))
 
 
-def entity_facets(graph: Graph, limit: int | None = 200) -> DataFrame:
-    """Entities as facet rows: weighted degree x 12 + degree x 4 + sources x 8, + 30 for surfaces, claims and symbols, - 15 a conflict.
-
-    A conflict counts against an entity each time one of its texts has the entity's id or value in it. Substrings aren't
-    equal keys, so texts are cut to their distinct words and ids first, and joined on those: words of the conflict's
-    texts, as runs without quotes, white space, commas, or braces, and their parts at the last colon or slash.
-    """
-    texts = graph.conflicts.select("conflict_id", "severity", F.explode(F.array("conflict_id", "conflict_type", "severity", F.coalesce("entity_id", F.lit("")), F.coalesce("detail", F.lit("")))).alias("t"))
-    words = texts.select("conflict_id", "severity", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("t", F.lit(r'([^\s",{}\[\]]+)'), F.lit(1)), lambda w: F.array(w, F.regexp_extract(w, r"([^:]*)$", 1)))))).alias("word"))
-    keys = graph.entities.select("entity_id", F.explode(F.array_distinct(F.array("entity_id", "value"))).alias("word")).filter("word <> ''")
+def conflict_hits(graph: Graph) -> DataFrame:
+    """entity_id, conflict_count, level: how many texts of conflicts (id, type, severity, entity) have the entity's id or value
+    in them, and their greatest severity."""
     level = chosen(F.col("severity"), {"error": 3, "warning": 2, "info": 1}, 0)
-    hits = keys.join(words, "word").groupBy("entity_id").agg(F.count_distinct("conflict_id").alias("conflict_count"), F.max(level).alias("level"))
+    texts = graph.conflicts.select(F.explode(F.array("conflict_id", "conflict_type", "severity", "entity_id")).alias("text"), level.alias("level")).filter("text is not null").groupBy("text").agg(F.count("*").alias("n"), F.max("level").alias("level"))
+    keys = graph.entities.select("entity_id", F.coalesce(F.nullif("value", F.lit("")), F.col("entity_id")).alias("needle")).filter("entity_id <> ''")
+    hits = keys.join(containment.counts(keys.select("needle"), texts), "needle").select("entity_id", "n", "level")
+    apart = keys.filter(~F.contains("entity_id", F.col("needle")))  # else a text with the id has the value too
+    by_id = containment.pairs(apart.select(F.col("entity_id").alias("needle")), texts).withColumnRenamed("needle", "_id").join(apart, F.col("_id") == F.col("entity_id"))
+    hits = hits.union(by_id.filter(~F.contains("text", F.col("needle"))).select("entity_id", "n", "level"))
+    return hits.groupBy("entity_id").agg(F.sum("n").alias("conflict_count"), F.max("level").alias("level"))
+
+
+def entity_facets(graph: Graph, limit: int | None = 200) -> DataFrame:
+    """Entities as facet rows: weighted degree x 12 + degree x 4 + sources x 8, + 30 for surfaces, claims and symbols, - 15 for
+    each text of a conflict that has the entity's id or value in it."""
+    hits = conflict_hits(graph)
     rows = graph.entities.join(degrees(graph.edges, INDEX_WEIGHTS), "entity_id", "left").join(hits, "entity_id", "left")
     d, w, n = (F.coalesce(c, F.lit(0)).cast("long") for c in ("degree", "weighted_degree", "conflict_count"))
     facet, evidence = chosen(F.col("entity_type"), FACETS, "entity"), F.size("source_ids").cast("long")
@@ -97,15 +103,16 @@ def unified_index(graph: Graph, query: str = "", limit: int = 200) -> DataFrame:
 def trace(graph: Graph, match: Column, depth: int = 2, limit: int | None = None) -> DataFrame:
     """entity_id, depth: entities within `depth` undirected steps of the entities that match.
 
-    A frontier a step: only nodes reached by the last step are joined with the edges, and nodes known before are
-    dropped by an anti-join. The edges are persisted for the steps, and each step's nodes, so that no step is run again. With a limit, nodes beyond the seeds are admitted by depth, then by id, while there is room.
+    A frontier a step: only nodes reached by the last step are joined with the edges, at both ends, and nodes known before
+    are dropped by an anti-join. Each step's nodes are checkpointed, so that no step is run again and a lost executor costs
+    none. With a limit, nodes beyond the seeds are admitted by depth, then by id, while there is room.
     """
     ends = graph.edges.select(F.col("from_entity").alias("a"), F.col("to_entity").alias("b"))
-    both = ends.union(ends.select("b", "a")).persist(StorageLevel.MEMORY_AND_DISK)
-    known = frontier = graph.entities.filter(match).select("entity_id", F.lit(0).alias("depth")).persist(StorageLevel.MEMORY_AND_DISK)
+    known = frontier = shared.checkpointed(graph.entities.filter(match).select("entity_id", F.lit(0).alias("depth")))
     for step in range(1, max(0, depth) + 1):
-        reached = both.join(frontier.select(F.col("entity_id").alias("a")), "a", "left_semi").select(F.col("b").alias("entity_id")).distinct()
-        frontier = reached.join(known, "entity_id", "left_anti").select("entity_id", F.lit(step).alias("depth")).persist(StorageLevel.MEMORY_AND_DISK)
+        last = frontier.select(F.col("entity_id").alias("k"))
+        out, back = (ends.join(last, F.col(x) == F.col("k"), "left_semi").select(F.col(y).alias("entity_id")) for x, y in (("a", "b"), ("b", "a")))
+        frontier = shared.checkpointed(out.union(back).distinct().join(known, "entity_id", "left_anti").select("entity_id", F.lit(step).alias("depth")))
         known = known.union(frontier)
     if limit is not None:
         seeds = known.filter("depth = 0")
@@ -114,6 +121,13 @@ def trace(graph: Graph, match: Column, depth: int = 2, limit: int | None = None)
     return known
 
 
+def trace_edges(graph: Graph, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """The edges between a trace's nodes: two semi-joins. With a limit, the first ones by id."""
+    ids = nodes.select(F.col("entity_id").alias("n"))
+    inside = graph.edges.join(ids, F.col("from_entity") == F.col("n"), "left_semi").join(ids, F.col("to_entity") == F.col("n"), "left_semi")
+    return top(inside, limit, F.asc("edge_id"))
+
+
 def changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """key, change (added, removed, changed), changed_fields. Of rows that share a key one is taken, the greatest."""
     side = lambda df, s: df.filter(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.max(F.struct(*[F.col(f) for f in fields])).alias(s))

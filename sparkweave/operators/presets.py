@@ -122,16 +122,19 @@ SQL_PRESETS = {
 }
 
 
-def sql_preset(spark: SparkSession, g: Graph, name: str, limit: int | None = 50, search: str = "") -> DataFrame:
-    """A preset over the read model. `operator-projection` and `search` look into the search index."""
+def sql_preset(spark: SparkSession, g: Graph, name: str, limit: int | None = 50, search: str = "", index: DataFrame | None = None) -> DataFrame:
+    """A preset over the read model. `operator-projection` and `search` look into the search index, the stored one if it is
+    given. Rows are put in order only to be cut: without a limit they come in any order."""
     if name in ("operator-projection", "search"):
         needles = ["%operator%", "%dashboard%", "%governance%"] if name == "operator-projection" else [f"%{search}%"]
         found = F.lit(False)
         for n in needles:
             found = found | tx.ascii_like(F.col("text"), n)
-        out = search_index(g).filter(found).select("kind", F.col("row_id").alias("id"), "text").orderBy("kind", "id")
+        out = (search_index(g) if index is None else index).filter(found).select("kind", F.col("row_id").alias("id"), "text")
+        out = out if limit is None else out.orderBy("kind", "id")
     elif name in SQL_PRESETS:
-        out = spark.sql(SQL_PRESETS[name], sources=g.sources, entities=g.entities, edges=g.edges, conflicts=g.conflicts)
+        text = SQL_PRESETS[name] if limit is not None else SQL_PRESETS[name].rpartition(" ORDER BY ")[0]
+        out = spark.sql(text, sources=g.sources, entities=g.entities, edges=g.edges, conflicts=g.conflicts)
     else:
         raise ValueError(f"no such preset: {name}")
     return out if limit is None else out.limit(max(1, limit))

@@ -1,7 +1,8 @@
 """Targets: what a graph says about each, how far to trust it, and which to review first.
 
-All targets are handled together: each relation is read once, and each row is scored against the list of targets in
-place, so the work is rows x targets without a join; only rows that score go on, grouped by target.
+All targets are handled together: each row is scored against the list of targets in place, so the work is rows x targets
+without a join; only rows that score go on, grouped by target. What is kept of a relation is at most the limit for each
+target; it is checkpointed, so the relations after it read that and not what it was made of.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from sparkweave.functions import text as tx
 from sparkweave.operators import presets
 from sparkweave.operators.model import Graph, chosen
+from sparkweave.sources import shared
 
 # Bases of related conflicts and of verdicts; words that give a role its tier.
 CONFLICT_BASES = {"error": 90, "warning": 60, "info": 20}
@@ -54,20 +56,23 @@ def matches(graph: Graph, targets: list[str], limit: int = 20) -> dict[str, Data
     """entity, edge, source and conflict rows of each target: (target, id, score, ...), best first, cut per target."""
     limit = max(1, limit)
     entities = _best(scored(graph.entities.select("entity_id", "entity_type", "value", "label", "source_ids", "metadata"), presets.entity_text(), targets).select("target", F.col("entity_id").alias("id"), F.col("match_score").alias("score"), "source_ids"), limit)
+    entities = shared.checkpointed(entities)
     ends = graph.edges.select("edge_id", "source_id", F.explode(F.array_distinct(F.array("from_entity", "to_entity"))).alias("end"))
     touching = ends.join(entities.select("target", F.col("id").alias("end")), "end").select("target", "edge_id", "source_id", F.lit(0).cast("long").alias("match_score"), F.lit(50).alias("base"))
     by_text = scored(graph.edges, presets.edge_text(), targets).select("target", "edge_id", "source_id", "match_score", F.lit(0).alias("base"))
     edges = _best(touching.union(by_text).groupBy("target", F.col("edge_id").alias("id")).agg(F.max("source_id").alias("source_id"), (F.max("match_score") + F.max("base")).alias("score")), 2 * limit)
+    edges = shared.checkpointed(edges)
     cited = entities.select("target", F.explode("source_ids").alias("source_id")).union(edges.select("target", "source_id")).distinct()
     known = graph.sources.select("source_id", "role", "status", "required", "quality_score")
     source_hits = scored(graph.sources, presets.source_text(), targets).select("target", "source_id", "match_score", F.lit(0).alias("base"))
     source_cites = cited.join(known.select("source_id"), "source_id").select("target", "source_id", F.lit(0).cast("long").alias("match_score"), F.lit(70).alias("base"))
     sources = source_hits.union(source_cites).groupBy("target", F.col("source_id").alias("id")).agg((F.max("match_score") + F.max("base")).alias("score"))
-    sources = _best(sources, limit).join(known.withColumnRenamed("source_id", "id"), "id")
+    sources = shared.checkpointed(_best(sources, limit).join(known.withColumnRenamed("source_id", "id"), "id"))
     cited = cited.union(sources.select("target", "id")).distinct()
     conflict_hits = scored(graph.conflicts, presets.conflict_text(), targets).select("target", "conflict_id", "severity", "match_score", F.lit(0).alias("base"))
     conflict_cites = graph.conflicts.select("conflict_id", "source_id", "severity").join(cited, "source_id").select("target", "conflict_id", "severity", F.lit(0).cast("long").alias("match_score"), chosen(F.col("severity"), CONFLICT_BASES, 0).alias("base"))
     conflicts = _best(conflict_hits.union(conflict_cites).groupBy("target", F.col("conflict_id").alias("id")).agg(F.max("severity").alias("severity"), (F.max("match_score") + F.max("base")).alias("score")), limit)
+    conflicts = shared.checkpointed(conflicts)
     return {"entity": entities, "edge": edges, "source": sources, "conflict": conflicts}
 
 

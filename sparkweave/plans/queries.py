@@ -44,12 +44,12 @@ SCORES = "(SELECT entity_id, CAST(round_even(avg(CAST(coalesce(nullif(quality_sc
 
 @query(G + "SELECT entity_id, entity_type, value, array_to_string(source_ids, ',') AS source_ids FROM entities_")
 def entity_build(spark, d):
-    return testbed.graph(spark, d).entities.select("entity_id", "entity_type", "value", F.array_join("source_ids", ",").alias("source_ids"))
+    return testbed.build(spark, d).entities.select("entity_id", "entity_type", "value", F.array_join("source_ids", ",").alias("source_ids"))
 
 
 @query(G + "SELECT edge_id, edge_type, from_entity, to_entity, source_id FROM edges_")
 def edge_build(spark, d):
-    return testbed.graph(spark, d).edges.drop("evidence")
+    return testbed.build(spark, d).edges.drop("evidence")
 
 
 @query(G + "SELECT source_id, role, status, quality_score, CASE left(source_id, 1) WHEN '3' THEN 'stale' WHEN '4' THEN 'missing,required_not_loaded' WHEN '5' THEN 'optional_unavailable,no_verifier' ELSE '' END AS reasons FROM sources_")
@@ -59,7 +59,7 @@ def source_quality(spark, d):
 
 @query(G + "SELECT conflict_id, conflict_type, severity, source_id, entity_id, detail FROM conflicts_")
 def source_conflicts(spark, d):
-    return testbed.graph(spark, d).conflicts
+    return testbed.build(spark, d).conflicts
 
 
 @query("SELECT * FROM (VALUES ('authority_boundary_reviewer', 'pass'), ('source_graph_reviewer', 'pass'), ('evidence_lineage_reviewer', 'blocked'), ('operator_projection_reviewer', 'warn'), ('external_tool_adoption_reviewer', 'pass')) t(role, verdict)")
@@ -110,8 +110,8 @@ def source_rank(spark, d):
 
 
 FACET = "CASE entity_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in model.FACETS.items()) + " ELSE 'entity' END"
-FACET_SQL = f""", words AS (SELECT DISTINCT conflict_id, severity, w FROM (SELECT conflict_id, severity, unnest(regexp_extract_all(concat_ws(' ', conflict_id, conflict_type, severity, entity_id, detail), '[^\\s",{{}}\\[\\]]+')) AS w0 FROM conflicts_), LATERAL (SELECT unnest([w0, regexp_extract(w0, '([^:]*)$', 1)]) AS w)),
-hits AS (SELECT entity_id, count(DISTINCT conflict_id) AS n, max(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END) AS level FROM (SELECT DISTINCT entity_id, unnest([entity_id, value]) AS w FROM entities_) JOIN words USING (w) GROUP BY entity_id),
+FACET_SQL = f""", texts AS (SELECT conflict_id AS t, severity FROM conflicts_ UNION ALL SELECT conflict_type, severity FROM conflicts_ UNION ALL SELECT severity, severity FROM conflicts_ UNION ALL SELECT entity_id, severity FROM conflicts_ WHERE entity_id IS NOT NULL),
+hits AS (SELECT entity_id, count(*) AS n, max(CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 ELSE 0 END) AS level FROM entities_ JOIN texts ON contains(t, entity_id) OR value <> '' AND contains(t, value) GROUP BY entity_id),
 facets AS (SELECT 'urow:' || left(sha256('["' || {FACET} || '","' || entity_type || '","' || value || '","' || entity_id || '"]'), 16) AS row_id, {FACET} AS facet, value AS label, value, entity_type,
 CAST(coalesce(wdegree, 0) * 12 + coalesce(degree, 0) * 4 + len(source_ids) * 8 + CASE WHEN {FACET} IN ('surface', 'claim', 'symbol') THEN 30 ELSE 0 END - coalesce(n, 0) * 15 AS BIGINT) AS score,
 coalesce(degree, 0) AS edge_count, coalesce(wdegree, 0) AS weighted_edge_score, len(source_ids) AS evidence_count, coalesce(n, 0) AS conflict_count, CASE coalesce(level, 0) WHEN 3 THEN 'error' WHEN 2 THEN 'warning' WHEN 1 THEN 'info' ELSE 'none' END AS highest_conflict_severity
@@ -185,7 +185,7 @@ def _view(name):
 
 def _sql(name):
     def run(spark, d):
-        out = presets.sql_preset(spark, testbed.graph(spark, d), name, None, LIKE_NEEDLE)
+        out = presets.sql_preset(spark, *testbed.read_model_of(spark, d)[:1], name, None, LIKE_NEEDLE, testbed.read_model_of(spark, d)[1])
         return out.withColumn("quality_score", F.col("quality_score").cast("long")) if "quality_score" in out.columns else out
 
     return run

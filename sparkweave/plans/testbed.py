@@ -9,6 +9,7 @@ from sparkweave.functions import text as tx
 from sparkweave.functions.ids import edge_id, entity_id
 from sparkweave.operators import assess
 from sparkweave.operators.model import Graph, chosen
+from sparkweave.sources import read_model, shared
 
 ROLES = {"1": "current_truth", "2": "claim_evidence", "3": "advisory_graph", "4": "file_inventory", "5": "operator_context"}
 STATUSES = {"1": "loaded", "2": "loaded", "3": "stale", "4": "missing", "5": "optional_unavailable"}
@@ -27,7 +28,7 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess.with_quality(rows)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
+def build(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders are claims, parts artifacts, customers paths, nations surfaces, regions owners, brands symbols."""
     orders = _read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderpriority").alias("source_id"))
     lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_returnflag") == "R").alias("returned")).distinct()
@@ -66,6 +67,25 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(src, entities, edges, assess.source_conflicts(src).union(claims))
 
 
+#: Read models of this process, by session and tables.
+_MODELS: dict[tuple[str, str], tuple[Graph, DataFrame]] = {}
+
+
+def read_model_of(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
+    """The graph and its search index, read from a read model that is written once for a session and its tables: a build
+    joins and hashes every line item, a query of a stored graph reads the columns and kinds it needs."""
+    key = spark.sparkContext.applicationId, sf_dir.rstrip("/")
+    if key not in _MODELS:
+        path = shared.fresh(spark, "read-model")
+        read_model.write(build(spark, sf_dir), path, fusion=False)
+        _MODELS[key] = read_model.read(spark, path)
+    return _MODELS[key]
+
+
+def graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return read_model_of(spark, sf_dir)[0]
+
+
 # The same graph in SQL, as common table expressions.
 def _id(kind: str, value: str) -> str:
     safe = f"left(coalesce(nullif(trim(regexp_replace({value}, '[^\\p{{L}}\\p{{N}}_.-]', '_', 'g'), '_'), ''), 'item'), 72)"

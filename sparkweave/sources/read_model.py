@@ -10,11 +10,19 @@ from sparkweave.operators.model import Graph
 TABLES = ("sources", "entities", "edges", "conflicts", "search_index")
 
 
-def write(graph: Graph, folder: str) -> None:
-    """All tables anew; entities and edges by kind, so that queries of a kind read no other."""
-    for name, rows, by in (("sources", graph.sources, None), ("entities", graph.entities, "entity_type"), ("edges", graph.edges, "edge_type"), ("conflicts", graph.conflicts, None), ("search_index", presets.search_index(graph, assess.fusion(graph)), "kind")):
-        writer = rows.repartition(by).write if by else rows.write
-        (writer.partitionBy(by) if by else writer).mode("overwrite").parquet(f"{folder}/{name}")
+def write(graph: Graph, folder: str, fusion: bool = True) -> None:
+    """All tables anew; entities and edges by kind, so that queries of a kind read no other. The relations are written first
+    and the search index is made of what was written, so nothing is built twice."""
+    spark = graph.sources.sparkSession
+    for name, rows, by in (("sources", graph.sources, None), ("entities", graph.entities, "entity_type"), ("edges", graph.edges, "edge_type"), ("conflicts", graph.conflicts, None)):
+        _put(rows, f"{folder}/{name}", by)
+    stored = Graph(*(spark.read.parquet(f"{folder}/{name}").select(*rows.columns) for name, rows in (("sources", graph.sources), ("entities", graph.entities), ("edges", graph.edges), ("conflicts", graph.conflicts))))
+    _put(presets.search_index(stored, assess.fusion(stored) if fusion else None), f"{folder}/search_index", "kind")
+
+
+def _put(rows: DataFrame, path: str, by: str | None) -> None:
+    """A folder for each kind; each task writes its own rows, so no kind has to fit one task."""
+    (rows.write.partitionBy(by) if by else rows.write).mode("overwrite").parquet(path)
 
 
 def read(spark: SparkSession, folder: str) -> tuple[Graph, DataFrame]:

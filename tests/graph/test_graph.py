@@ -171,7 +171,7 @@ def test_tree(spark, tmp_path):
     inventory = tree.files(spark, str(tmp_path))
     assert [r.path for r in inventory.orderBy("path").collect()] == ["README.md", "src/app.ts", "src/bad.py", "src/lib/y.ts", "src/pkg/__init__.py", "src/pkg/mod.py", "src/pkg/util.py"]
     found = tree.symbols(inventory)
-    assert {(r.kind, r.name) for r in found.collect()} >= {("class", "A"), ("method", "A.m"), ("function", "f"), ("function", "g"), ("function", "h"), ("class", "Y"), ("failure", "syntax_error")}
+    assert {(r.kind, r.name) for r in found.collect()} >= {("class", "A"), ("method", "A.m"), ("function", "f"), ("function", "g"), ("arrow_function", "h"), ("class", "Y"), ("failure", "syntax_error")}
     assert {(r.target, r.resolved) for r in tree.imports(found, inventory).collect()} == {("os", None), (".util", "src/pkg/util.py"), ("./lib/y", "src/lib/y.ts")}
     assert {r.surface: r.files for r in tree.rollup(inventory, "surface").collect()} == {"source_code": 6, "documentation": 1}
     assert {r.m for r in inventory.select(tree.module(F.col("path")).alias("m")).collect()} >= {"pkg.mod", "pkg", "app"}
