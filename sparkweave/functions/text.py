@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,19 @@ def or_null(rendered: Column) -> Column:
     return F.coalesce(rendered, F.lit("null"))
 
 
-@F.udf(T.StringType())
+def by_batch(kind: T.DataType, arrow: pa.DataType) -> Callable:
+    """A function of one value as a function of a column, which Python sees in Arrow batches."""
+
+    def wrap(f: Callable) -> Callable:
+        def run(column: pa.Array) -> pa.Array:
+            return pa.array([f(x) for x in column.to_pylist()], arrow)
+
+        return F.arrow_udf(run, kind)
+
+    return wrap
+
+
+@by_batch(T.StringType(), pa.string())
 def canonical_json(text):
     """Any JSON text in canonical form (sorted keys, ASCII); text that isn't JSON stays as it is."""
     try:
@@ -89,7 +103,7 @@ def without_identity(value):
     return [without_identity(v) for v in value] if isinstance(value, list) else value
 
 
-@F.udf(T.StringType())
+@by_batch(T.StringType(), pa.string())
 def public_json(text):
     """JSON text without identity keys, at any depth; other text stays as it is."""
     if not text or text.strip()[:1] not in ("{", "["):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,22 +154,53 @@ def validate(df: DataFrame, json_col: str, schemas: dict[str, dict]) -> DataFram
     return df.select(*others, json_col).mapInPandas(run, f"{fields}, artifact_kind string, check_count int, errors array<string>")
 
 
+#: When an artifact of a kind can be used again, beside being ok: what it must have.
+REUSABLE = {"handoff": ("$.decision.handoff_allowed", "$.model_handoff.model_prompt_source"), "ready": ("$.prompt_source",), "onboard": ("$.prompt_source",), "fingerprint": ("$.digest",)}
+
+
 def ledger(df: DataFrame, path_col: str, json_col: str, kinds: dict[str, tuple[str, str]]) -> DataFrame:
-    """Artifacts that can be used again, a row each: artifact_kind, memory_role, path, task, reusable, reuse_key.
+    """Artifacts that can be used again, a row each: artifact_kind, memory_role, path, task, input_fingerprint_digest,
+    model_prompt_source, estimated_token_savings_percent, reusable, reuse_key.
 
-    kinds: (kind, role) by schema_version; others are passed over. Reusable: ok, with a prompt to use.
+    kinds: (kind, role) by schema_version; others are passed over. Reusable: ok, with what its kind needs.
     """
     at = lambda p: F.get_json_object(json_col, p)
     kind = F.create_map(*[F.lit(x) for k, (a, _) in kinds.items() for x in (k, a)])
     role = F.create_map(*[F.lit(x) for k, (_, b) in kinds.items() for x in (k, b)])
     version = at("$.schema_version")
-    prompt = F.coalesce(at("$.model_handoff.model_prompt_source"), at("$.model_prompt_source"))
-    q = lambda x: tx.or_null(tx.quoted(x))
-    key = F.sha2(tx.json_object({"fingerprint": q(at("$.input_fingerprint.digest")), "prompt": q(prompt), "targets": tx.or_null(at("$.targets")), "task": q(at("$.task"))}), 256)
-    out = df.select(kind[version].alias("artifact_kind"), role[version].alias("memory_role"), F.col(path_col).alias("path"), at("$.task").alias("task"), (F.coalesce(at("$.ok") == "true", F.lit(False)) & (F.coalesce(prompt, F.lit("")) != "")).alias("reusable"), key.alias("reuse_key"))
+    prompt = F.coalesce(at("$.model_handoff.model_prompt_source"), at("$.prompt_source"), F.lit(""))
+    digest = F.coalesce(at("$.input_fingerprint.digest"), at("$.input_freshness.current_digest"), at("$.digest"), F.lit(""))
+    has = lambda p: ~F.coalesce(at(p), F.lit("")).isin("", "false", "null")
+    able = F.lit(True)
+    for name, needs in REUSABLE.items():
+        wants = F.lit(True)
+        for p in needs:
+            wants = wants & has(p)
+        able = F.when(kind[version] == name, wants).otherwise(able)
+    ok = F.when(kind[version] == "onboard", at("$.model_input_ready")).otherwise(at("$.ok"))
+    task = F.coalesce(at("$.task"), F.lit(""))
+    q = lambda x: tx.quoted(x)
+    key = F.sha2(tx.json_object({"fingerprint": q(digest), "prompt": q(prompt), "targets": F.coalesce(at("$.targets"), F.lit("[]")), "task": q(task)}), 256)
+    savings = F.coalesce(at("$.model_handoff.token_economics.estimated_token_savings_percent").cast("double"), F.lit(0.0))
+    out = df.select(kind[version].alias("artifact_kind"), role[version].alias("memory_role"), F.col(path_col).alias("path"), task.alias("task"), digest.alias("input_fingerprint_digest"), prompt.alias("model_prompt_source"), savings.alias("estimated_token_savings_percent"), (F.coalesce(ok == "true", F.lit(False)) & able).alias("reusable"), key.alias("reuse_key"))
     return out.filter("artifact_kind is not null")
 
 
+def ledger_summary(rows: DataFrame, scanned: int) -> DataFrame:
+    """One row: scanned, ignored, rows, reusable ones, tasks, distinct digests of inputs, status."""
+    distinct = lambda c: F.count_distinct(F.nullif(F.col(c), F.lit("")))
+    out = rows.agg(F.count("*").alias("memory_row_count"), F.count_if("reusable").alias("reusable_row_count"), distinct("task").alias("task_count"), distinct("input_fingerprint_digest").alias("input_fingerprint_digest_count"))
+    return out.select(F.lit(scanned).cast("long").alias("scanned_json_count"), (F.lit(scanned) - F.col("memory_row_count")).cast("long").alias("ignored_json_count"), "*", F.when(F.col("memory_row_count") > 0, "pass").otherwise("warn").alias("status"))
+
+
+def candidates(folders: list[str], files: list[str], most: int = 500) -> list[str]:
+    """JSON artifacts to look into: named files first, then folders' files in order, each once, at most `most`."""
+    found = [os.path.realpath(f) for f in files if os.path.isfile(f)]
+    for d in folders:
+        found += sorted(os.path.realpath(os.path.join(at, name)) for at, _, names in os.walk(d) for name in names if name.endswith(".json"))
+    return list(dict.fromkeys(found))[: max(1, most)]
+
+
 def advantage(integration: Column, savings: Column, errors: Column, warnings: Column) -> Column:
     """0 to 100: 0.4 of the integration score and 0.6 of the savings, rounded half to even, less 25 an error and 8 a warning."""
     base = F.bround(integration * F.lit(0.4) + F.least(F.lit(100.0), savings) * F.lit(0.6), 0).cast("long")

@@ -454,13 +454,6 @@ def contract_validation(spark, d):
     return audits.validate(e, "raw", {k: contract(k) for k in ("click", "view")}).select("event_id", "artifact_kind", F.array_join("errors", ",").alias("errors"))
 
 
-@query("""SELECT 'handoff' AS artifact_kind, 'e' || event_id AS path, CAST(user_id AS VARCHAR) AS task, value >= 10 AS reusable, sha256('{"fingerprint": null, "prompt": ' || CASE WHEN value >= 10 THEN '"p"' ELSE 'null' END || ', "targets": null, "task": "' || user_id || '"}') AS reuse_key FROM events WHERE event_type = 'click'""")
-def memory_ledger(spark, d):
-    raw = F.concat(F.lit('{"schema_version": "'), F.col("event_type"), F.lit('", "ok": true, "task": "'), F.col("user_id").cast("string"), F.lit('"'), F.when(F.col("value") >= 10, ', "model_prompt_source": "p"').otherwise(""), F.lit("}"))
-    e = _table(spark, d, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("path"), raw.alias("raw"))
-    return audits.ledger(e, "path", "raw", {"click": ("handoff", "model_handoff")}).drop("memory_role")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import posixpath
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkweave.functions import text as tx
 from sparkweave.operators.project import load
 
 MANIFEST = "source_id string, role string, required boolean, path string, verifier string, authority_effect string, no_apply boolean"
@@ -73,16 +76,17 @@ def loaded(sources: DataFrame, files: DataFrame, head: str = "") -> DataFrame:
     """sources with raw, status, source_status, head_commit, stale_for, payload_keys. Status: missing without a file;
     stale if it names another head than `head`; else loaded, even if its JSON is bad. A payload's authority_effect and
     no_apply win over the manifest's."""
-    probe = "struct<status:string,head:string,effect:string,apply:boolean,keys:array<string>>"
+    fields = [("status", T.StringType(), pa.string()), ("head", T.StringType(), pa.string()), ("effect", T.StringType(), pa.string()), ("apply", T.BooleanType(), pa.bool_()), ("keys", T.ArrayType(T.StringType()), pa.list_(pa.string()))]
 
-    @F.udf(probe)
+    @tx.by_batch(T.StructType([T.StructField(n, t) for n, t, _ in fields]), pa.struct([(n, a) for n, _, a in fields]))
     def look(raw):
         p = load(raw)
         summary = p.get("summary") if isinstance(p.get("summary"), dict) else {}
         git = p.get("git") if isinstance(p.get("git"), dict) else {}
         named = [p.get(k) for k in ("head_commit", "git_commit", "commit_sha", "commit")] + [git.get(k) for k in ("head_commit", "commit", "sha")]
         status = p.get("status") or p.get("verdict") or summary.get("status") or summary.get("verdict") or ""
-        return (str(status), next((x for x in named if isinstance(x, str) and x), ""), p.get("authority_effect"), p.get("no_apply") if isinstance(p.get("no_apply"), bool) else None, sorted(map(str, p))[:KEYS_MOST])
+        effect = p.get("authority_effect")
+        return {"status": str(status), "head": next((x for x in named if isinstance(x, str) and x), ""), "effect": None if effect is None else str(effect), "apply": p.get("no_apply") if isinstance(p.get("no_apply"), bool) else None, "keys": sorted(map(str, p))[:KEYS_MOST]}
 
     rows = sources.join(files, "path", "left").withColumn("_p", look("raw"))
     stale = (F.lit(head) != "") & (F.col("_p.head") != "") & (F.col("_p.head") != head)
