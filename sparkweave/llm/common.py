@@ -116,14 +116,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     logarithm of a component's size; should they run out, that is an error and not a result.
 
     Alternates large-star and small-star steps. Each step reduces every node's neighbours to their minimum
-    (partial aggregates before the shuffle) and joins it back, so no neighbourhood is gathered in one row or task.
+    (partial aggregates before the shuffle) and joins it back. The minima are a plain table by then, as the edges are, so
+    Spark splits the rows of a hub, and no neighbourhood is gathered in one row or task.
     Each round is checkpointed. Loops and repeated edges do no harm; no edges give no rows.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = checkpointed(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         joined = e.join(low, "a")
         if large:
             out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

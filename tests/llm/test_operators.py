@@ -532,8 +532,43 @@ PER_ROW = ("op5", "op6", "op7", "op8", "op9", "op10", "op4")
 @pytest.mark.parametrize("name", [f"op{i}" for i in range(1, 11)])
 def test_awkward_rows(awkward, labels, benchmark, name):
     rows = awkward_calls(awkward, labels, benchmark)[name]().collect()
+    given = [(r.doc_id, r.text or "") for r in awkward.select("doc_id", "text").collect()]
     if name in PER_ROW:
-        assert len(rows) == awkward.count()
+        assert len(rows) == len(given)
+        by_id = lambda values: sorted(values, key=repr)
+        assert by_id(r.doc_id for r in rows) == by_id(i for i, _ in given)
+    if name == "op3":
+        data, kind = tokens.load(VOCABULARY)
+        want = Counter((i, len(x) + 1) for (i, _), x in zip(given, tokens.Encoder(data, kind).encode([t for _, t in given]), strict=True))
+        got: Counter = Counter()
+        for r in rows:
+            got[r.doc_id, r.doc_tokens] += r.length
+        assert got == Counter({k: k[1] * n for k, n in want.items()})
+        spans: dict[int, list] = {}
+        for r in rows:
+            spans.setdefault(r.sequence_id, []).append((r.offset, r.offset + r.length))
+        assert all(s[0][0] == 0 and all(a[1] == b[0] for a, b in zip(s, s[1:])) for s in map(sorted, spans.values()))
+    if name == "op5":
+        data, kind = tokens.load(VOCABULARY)
+        want = [(i, len(t.encode()), len(x)) for (i, t), x in zip(given, tokens.Encoder(data, kind).encode([t for _, t in given]), strict=True)]
+        assert by_id((r.doc_id, r.n_bytes, r.n_tokens) for r in rows) == by_id(want) and all(r.over_limit == (r.n_tokens > 2048) for r in rows)
+    if name == "op6":
+        words = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in given if i != 6}
+        assert all(r._quality.n_words == words[r.doc_id] for r in rows if r.doc_id in words and r.doc_id is not None)
+        assert all(r._quality.base_failed and not r._quality.kept for r in rows if r._quality.n_words < 50)
+        assert all(r.gone == "g" for r in rows if r.doc_id in range(13) and r.source != "s" or r.doc_id == 0)
+    if name == "op7":
+        assert all(r.license_id is None and r.notices == "" for r in rows) and len({r.digest for r in rows if r.doc_id in (0, 1, 2)}) == 1
+    if name == "op8":
+        kept = {r.doc_id: r._lines.kept for r in rows if r.doc_id not in (None, 6)}
+        want = brute_lines({i: t for i, t in given if i is not None})
+        assert kept == {i: t for i, t in want.items() if i != 6}
+        assert {r._lines.kept for r in rows if r.doc_id is None} == {t for i, t in given if i is None}
+    if name == "op9":
+        assert by_id((r.doc_id, r._main) for r in rows) == by_id((i, html_text.extract(t)) for i, t in given)
+    if name == "op10":
+        empty = {r.score for r in rows if r.doc_id in (0, 1, 2)}
+        assert len(empty) == 1 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     if name == "op1":
         assert {(6, 7), (6, 8), (6, 11), (4, 5)} <= {(r.ref_doc_id, r.doc_id) for r in rows}
     if name == "op2":
