@@ -29,16 +29,41 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--depth", type=int, default=2)
         p.add_argument("--token-budget", type=int, default=4000)
         p.add_argument("--with-identity", action="store_true")
+    scan = sub.add_parser("scan", help="a code tree to payloads and a manifest that `build` takes")
+    scan.add_argument("root")
+    scan.add_argument("output")
+    scan.add_argument("--max-files", type=int, default=5000)
+    scan.add_argument("--hashes", action="store_true")
+    for p in {id(p): p for p in sub.choices.values()}.values():
+        p.add_argument("--targets-file", default="", help="a JSON list, or a line a target")
+        p.add_argument("--markdown", action="store_true", help="a table for people, not JSON lines")
+        p.add_argument("--save", default="", help="write the result to this file too")
     return out
 
 
+def shown(rows: list[dict], title: str, a: argparse.Namespace) -> None:
+    """Rows as JSON lines or Markdown: printed, and saved if a file is named."""
+    from sparkweave.sources.scan import markdown
+
+    text = markdown(title, {"rows": len(rows)}, {"Rows": rows}) if a.markdown else "".join(json.dumps(r, sort_keys=True, default=str) + "\n" for r in rows)
+    print(text, end="")
+    if a.save:
+        with open(a.save, "w", encoding="utf-8") as f:
+            f.write(text)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     from sparkweave.operators import assess, graph, pack, presets, resolve
     from sparkweave.plans import workflow
-    from sparkweave.sources import read_model
+    from sparkweave.sources import read_model, scan
 
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("sparkweave").getOrCreate()
+    if a.command == "scan":
+        shown([scan.scan(spark, a.root, a.output, a.max_files, hashes=a.hashes)["summary"]], "Scan", a)
+        return 0
+    if a.targets_file:
+        a.target = [*a.target, *scan.targets(a.targets_file)]
     if a.command in ("build", "run"):
         with open(a.manifest, encoding="utf-8") as f:
             manifest = json.load(f)
@@ -53,8 +78,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         "rank": lambda: graph.entity_rank(g, a.limit), "rank-sources": lambda: graph.source_rank(g, a.limit), "trace": lambda: graph.trace(g, presets.has(presets.entity_text(), a.match), a.depth, a.limit),
         "resolve": lambda: resolve.adjudicate(spark, g, a.target, a.limit).orderBy(F.desc("priority_score"), "target"), "pack": lambda: pack.pack(g, a.task, a.token_budget, a.limit), "doctor": lambda: assess.doctor(g), "index": lambda: graph.unified_index(g, a.match, a.limit),
     }[a.command]()
-    for line in rows.toJSON().toLocalIterator():
-        print(line)
+    shown([json.loads(line) for line in rows.toJSON().toLocalIterator()], a.command, a)
     return 0
 
 
