@@ -17,8 +17,9 @@ from .common import keyed, quoted
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Buckets of hashed words and word pairs: the model's fixed size.
 BUCKETS = 1 << 14
-#: Trusted rows that the target distribution is counted from at most: those with the least hash of their id.
-MAX_TARGET = 50_000
+#: Trusted ids that are broadcast at most (about 16 bytes each). More are joined, with as many salts a document id, so that
+#: neither null ids nor one id's many rows meet in one task. Either way all trusted rows count.
+MAX_BROADCAST, SALTS = 1_000_000, 16
 #: Counts that the corpus's own distribution adds to a bucket's target count on average, so that little evidence says little.
 PRIOR = 10
 #: A document is kept if its mean log ratio a n-gram is this or more.
@@ -54,18 +55,29 @@ def repeated(words: Column) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def model(rows: DataFrame, trusted: DataFrame, max_target: int = MAX_TARGET) -> list[int]:
-    """Thousandths of log(target share / corpus share) of each bucket. The corpus is every row; trusted has `_id`."""
-    sample = trusted.select(F.col("_id").alias("_t")).filter("_t is not null").distinct().orderBy(F.xxhash64("_t"), "_t").limit(max_target)
-    flagged = rows.join(F.broadcast(sample), F.col("_id") == F.col("_t"), "left").select(F.col("_t").isNotNull().cast("long").alias("_in"), F.explode(let(words_of(F.coalesce("_text", F.lit(""))), buckets_of)).alias("_bucket"))
-    counts = {r[0]: (r[1], r[2]) for r in flagged.groupBy("_bucket").agg(F.count("*"), F.sum("_in")).collect()}  # BUCKETS rows at most
+def flagged(rows: DataFrame, trusted: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """rows with `_in`: 1 where the id is a trusted one, otherwise 0. Null ids are in no case."""
+    ids = trusted.select(F.col("_id").alias("_t")).filter("_t is not null").distinct()
+    if ids.limit(max_broadcast + 1).count() <= max_broadcast:
+        joined = rows.join(F.broadcast(ids), F.col("_id") == F.col("_t"), "left")
+    else:
+        salted = ids.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.join(salted, (F.col("_id") == F.col("_t")) & (F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int") == F.col("_s")), "left")
+    return joined.select(F.col("_t").isNotNull().cast("long").alias("_in"), "_text")
+
+
+def model(rows: DataFrame, trusted: DataFrame, max_broadcast: int = MAX_BROADCAST) -> list[int]:
+    """Thousandths of log(target share / corpus share) of each bucket. The corpus is every row, the target every row of a
+    trusted `_id`: both counts grow with the input, and only their sums by bucket reach the driver."""
+    grams = flagged(rows, trusted, max_broadcast).select("_in", F.explode(let(words_of(F.coalesce("_text", F.lit(""))), buckets_of)).alias("_bucket"))
+    counts = {r[0]: (r[1], r[2]) for r in grams.groupBy("_bucket").agg(F.count("*"), F.sum("_in")).collect()}  # BUCKETS rows at most
     raw, target = (sum(c[i] for c in counts.values()) for i in (0, 1))
     share = [(counts.get(i, (0, 0))[0] + 1) / (raw + BUCKETS) for i in range(BUCKETS)]
     prior = PRIOR * BUCKETS
     return [round(1000 * math.log((counts.get(i, (0, 0))[1] + prior * p) / (target + prior) / p)) for i, p in enumerate(share)]
 
 
-def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_target: int = MAX_TARGET, id_col: str = "doc_id", text_col: str = "text", into: str = "_quality") -> DataFrame:
+def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_broadcast: int = MAX_BROADCAST, id_col: str = "doc_id", text_col: str = "text", into: str = "_quality") -> DataFrame:
     """docs with a struct column `into`: the base statistics, base_failed, llr (mean log ratio a n-gram) and kept. A column
     of that name gives way; all others, whatever their names, go through.
 
@@ -74,7 +86,7 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
     alone decides. Null ids are scored like others; an empty table gives no rows. Rows are scored in place: the only
     shuffle is that of the bucket counts, summed in each task first.
     """
-    weights = model(keyed(docs, id_col, text_col), labels.filter("quality = 1").select(F.col(quoted(id_col)).alias("_id")), max_target)
+    weights = model(keyed(docs, id_col, text_col), labels.filter("quality = 1").select(F.col(quoted(id_col)).alias("_id")), max_broadcast)
     table = F.from_json(F.lit(json.dumps(weights, separators=(",", ":"))), "array<int>")
     text = F.coalesce(docs[quoted(text_col)].cast("string"), F.lit(""))
 

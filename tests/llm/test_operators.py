@@ -441,6 +441,15 @@ def test_quality(spark, docs, texts):
         assert r.kept == (not failed and r.llr >= quality.THRESHOLD)
 
 
+def test_quality_counts_every_trusted_row(spark):
+    rows = spark.createDataFrame([(i if i % 3 else None, f"w{i % 7} w{i % 5} end") for i in range(60)] + [(1, None), (1, "w1 w1")], "_id long, _text string")
+    trusted = spark.createDataFrame([(i,) for i in range(1, 60, 2)] + [(None,), (1,)], "_id long")
+    wide, salted = (quality.flagged(rows, trusted, most).collect() for most in (1000, 3))
+    assert sorted((r["_in"], r["_text"] or "") for r in wide) == sorted((r["_in"], r["_text"] or "") for r in salted)
+    assert sum(r["_in"] for r in wide) == sum(i % 3 > 0 and i % 2 for i in range(60)) + 2 and len(wide) == 62
+    assert quality.model(rows, trusted, 1000) == quality.model(rows, trusted, 3)
+
+
 def test_quality_uses_no_python(spark, docs):
     plan = quality.rules(docs, common.read(spark, SF, "labels"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan) and "from_json" not in plan
