@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.operators import audits, facets, graph, handoff, project, resolve
+from sparkweave.operators import audits, contracts, facets, graph, handoff, project, resolve
 from sparkweave.plans import queries as base
 from sparkweave.plans import testbed
 from sparkweave.plans.testbed import _id
@@ -298,3 +298,18 @@ def truncated_rows(spark, d):
     from sparkweave.functions import text as tx
 
     return _t(spark, d, "conversations").select("conv_id", "turn", tx.truncated(F.coalesce("text", F.lit("")), 24).alias("short"))
+
+
+@query("""SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'manifest_compose' WHEN 1 THEN 'repo_scan' ELSE '' END AS artifact_kind,
+CASE WHEN conv_id % 3 = 2 THEN 'artifact_kind_inferred' ELSE concat_ws(',', CASE WHEN conv_id % 4 = 0 THEN '$.authority_effect:const' END, CASE WHEN conv_id % 7 = 0 THEN '$.ok:type' END, CASE WHEN conv_id % 3 = 1 AND conv_id % 2 = 0 THEN '$.outputs:required' END, CASE WHEN conv_id % 5 = 0 THEN '$.summary:required' END) END AS errors
+FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def contract_registry(spark, d):
+    """Artifacts of two kinds and an unknown one against the registry; some lack fields, some hold other types or constants."""
+    n = F.col("conv_id")
+    kind = F.when(n % 3 == 0, "manifest_compose").when(n % 3 == 1, "repo_scan").otherwise("unheard_of")
+    some = F.create_map(F.lit("n"), F.lit(1))
+    base_fields = [F.concat(F.lit('{"schema_version":"sparkweave_'), kind, F.lit('_v1","no_apply":true,"status":"pass","authority_effect":"')), F.when(n % 4 == 0, "all").otherwise("none"), F.lit('","ok":'), F.when(n % 7 == 0, '"yes"').otherwise("true")]
+    more = [F.when(n % 5 != 0, F.concat(F.lit(',"summary":'), F.to_json(some))).otherwise(""), F.when((n % 3 == 1) & (n % 2 != 0), ',"outputs":{}').otherwise(""), F.lit("}")]
+    rows = _t(spark, d, "conversations").select("conv_id").distinct().withColumn("json", F.concat(*base_fields, *more))
+    out = audits.validate(rows, "json", contracts.registry())
+    return out.select("conv_id", "artifact_kind", F.array_join(F.array_sort("errors"), ",").alias("errors"))
