@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, html_text, licenses, line_dedup, near_dup, packing, quality, substring_dedup, token_counts, tokens, toxicity
+from . import best_fit, common, decontaminate, fim, html_text, licenses, line_dedup, near_dup, packing, quality, substring_dedup, token_align, token_counts, tokens, toxicity
 
-VOCABULARY = "word_bpe_49k.json"
+VOCABULARY, BYTE_LEVEL, PIECES = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(common.read(spark, sf_dir, "documents"), common.read(spark, sf_dir, "labels"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(common.read(spark, sf_dir, "documents"), tokens.vocabulary(BYTE_LEVEL))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align(common.read(spark, sf_dir, "documents"), tokens.vocabulary(BYTE_LEVEL), tokens.vocabulary(PIECES))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(common.read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -118,9 +132,31 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents
+), cut AS (
+  SELECT *, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS units, len(regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]')) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM texts
+), formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM cut
+), parts AS (
+  SELECT *, array_to_string(units[1:lo], '') AS p, array_to_string(units[lo + 1:hi], '') AS m, array_to_string(units[hi + 1:], '') AS s FROM formed
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_packing, op4_ngram_jaccard_join, op5_token_counts, op6_quality_rules, op7_license_scan, op8_line_dedup, op9_html_extraction, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_packing, op4_ngram_jaccard_join, op5_token_counts, op6_quality_rules, op7_license_scan, op8_line_dedup, op9_html_extraction, op10_toxicity, op11_best_fit_packing, op12_token_alignment, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": op7_sql(), "op8_line_dedup": OP8_SQL}
+    return {"op7_license_scan": op7_sql(), "op8_line_dedup": OP8_SQL, "op13_fill_in_middle": OP13_SQL}
