@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from . import common, segments, tokens
 
 #: Stretches a worker remembers before it starts anew, and stretches whose groups are written out at once.
-KNOWN, BLOCK = 1_000_000, 1 << 20
+KNOWN, BLOCK = 300_000, 1 << 20
+#: UTF-8 bytes of the texts of a slice; a longer text is a slice of its own.
+SLICE_BYTES = 8 << 20
 
 
 def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -211,7 +213,7 @@ def _reader(held, product: bool):
         for batch in batches:
             ends, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)), 0
             while at < len(ends):
-                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + tokens.SLICE_BYTES, side="right")))
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
                 yield _slice(aligner, number, batch.slice(at, upto - at), names)
                 at, number = upto, number + 1
 
