@@ -1,19 +1,16 @@
 """Targets: what a graph says about each, how far to trust it, and which to review first.
 
-All targets are handled together: each row is scored against the list of targets in place, so the work is rows x targets
-without a join; only rows that score go on, grouped by target. What is kept of a relation is at most the limit for each
-target; it is checkpointed, so the relations after it read that and not what it was made of.
+All targets are handled together, in one pass over each relation (see `automaton`). What is kept of a relation is at most
+the limit for each target; it is checkpointed, so the relations after it read that and not what it was made of.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkweave.functions import text as tx
-from sparkweave.operators import presets
+from sparkweave.operators import automaton, presets
+from sparkweave.operators.automaton import terms_of  # noqa: F401  terms of one target
 from sparkweave.operators.model import Graph, chosen
 from sparkweave.sources import shared
 
@@ -23,56 +20,38 @@ VERDICT_BASES = {"blocked": 100, "no_match": 90, "advisory_only": 80, "warn": 60
 AUTHORITY_WORDS, EVIDENCE_WORDS = "truth|authority|claim|surface|policy|contract", "evidence|receipt|inventory"
 
 
-def terms_of(target: str) -> list[str]:
-    found = re.findall(r"[A-Za-z0-9_./:-]+|[一-鿿]+", target.lower())
-    return sorted({t for t in found if len(t) >= 2 and t not in tx.TARGET_STOPWORDS}, key=lambda t: (-len(t), t))
-
-
 def clean_targets(targets: list[str]) -> list[str]:
     """Trimmed, without empty ones and repeats, in order."""
     return list(dict.fromkeys(t for t in (str(x).strip() for x in targets) if t))
 
 
-def _score(text: Column, target: str) -> Column:
-    """20 a matched term, 100 for the whole target, 10 for any term."""
-    hits = sum((F.contains(text, F.lit(t)).cast("int") for t in terms_of(target)), F.lit(0))
-    return hits * 20 + F.contains(text, F.lit(target.lower())).cast("int") * 100 + F.when(hits > 0, 10).otherwise(0)
-
-
-def scored(df: DataFrame, text: Column, targets: list[str]) -> DataFrame:
-    """df's rows that match a target, a row for each: target, match_score."""
-    lower = df.withColumn("_text", F.lower(text))
-    hits = F.array(*[F.struct(F.lit(t).alias("target"), _score(F.col("_text"), t).cast("long").alias("match_score")) for t in targets])
-    return lower.withColumn("_hit", F.explode(F.filter(hits, lambda h: h["match_score"] > 0))).select(*df.columns, "_hit.target", "_hit.match_score")
-
-
 def _best(df: DataFrame, limit: int) -> DataFrame:
     """The first rows of each target by score, then id. Spark cuts each task's rows to the limit before the shuffle."""
-    w = Window.partitionBy("target").orderBy(F.desc("score"), F.asc("id"))
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n")
+    w = Window.partitionBy("target_no").orderBy(F.desc("score"), F.asc("id"))
+    return shared.checkpointed(df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit).drop("_n"))
 
 
 def matches(graph: Graph, targets: list[str], limit: int = 20) -> dict[str, DataFrame]:
-    """entity, edge, source and conflict rows of each target: (target, id, score, ...), best first, cut per target."""
+    """entity, edge, source and conflict rows of each target: (target_no, id, score, ...), best first, cut per target.
+
+    Each relation is read once, whatever the targets. An edge at a kept entity, and a source or conflict of a source that is
+    cited, gain points in that pass; so no row of a hub is joined to the targets that reach it.
+    """
     limit = max(1, limit)
-    entities = _best(scored(graph.entities.select("entity_id", "entity_type", "value", "label", "source_ids", "metadata"), presets.entity_text(), targets).select("target", F.col("entity_id").alias("id"), F.col("match_score").alias("score"), "source_ids"), limit)
-    entities = shared.checkpointed(entities)
-    ends = graph.edges.select("edge_id", "source_id", F.explode(F.array_distinct(F.array("from_entity", "to_entity"))).alias("end"))
-    touching = ends.join(entities.select("target", F.col("id").alias("end")), "end").select("target", "edge_id", "source_id", F.lit(0).cast("long").alias("match_score"), F.lit(50).alias("base"))
-    by_text = scored(graph.edges, presets.edge_text(), targets).select("target", "edge_id", "source_id", "match_score", F.lit(0).alias("base"))
-    edges = _best(touching.union(by_text).groupBy("target", F.col("edge_id").alias("id")).agg(F.max("source_id").alias("source_id"), (F.max("match_score") + F.max("base")).alias("score")), 2 * limit)
-    edges = shared.checkpointed(edges)
-    cited = entities.select("target", F.explode("source_ids").alias("source_id")).union(edges.select("target", "source_id")).distinct()
-    known = graph.sources.select("source_id", "role", "status", "required", "quality_score")
-    source_hits = scored(graph.sources, presets.source_text(), targets).select("target", "source_id", "match_score", F.lit(0).alias("base"))
-    source_cites = cited.join(known.select("source_id"), "source_id").select("target", "source_id", F.lit(0).cast("long").alias("match_score"), F.lit(70).alias("base"))
-    sources = source_hits.union(source_cites).groupBy("target", F.col("source_id").alias("id")).agg((F.max("match_score") + F.max("base")).alias("score"))
-    sources = shared.checkpointed(_best(sources, limit).join(known.withColumnRenamed("source_id", "id"), "id"))
-    cited = cited.union(sources.select("target", "id")).distinct()
-    conflict_hits = scored(graph.conflicts, presets.conflict_text(), targets).select("target", "conflict_id", "severity", "match_score", F.lit(0).alias("base"))
-    conflict_cites = graph.conflicts.select("conflict_id", "source_id", "severity").join(cited, "source_id").select("target", "conflict_id", "severity", F.lit(0).cast("long").alias("match_score"), chosen(F.col("severity"), CONFLICT_BASES, 0).alias("base"))
-    conflicts = _best(conflict_hits.union(conflict_cites).groupBy("target", F.col("conflict_id").alias("id")).agg(F.max("severity").alias("severity"), (F.max("match_score") + F.max("base")).alias("score")), limit)
-    conflicts = shared.checkpointed(conflicts)
+    none = F.lit("").alias("extra")
+    rows = graph.entities.select(F.col("entity_id").alias("id"), presets.entity_text().alias("text"), F.to_json("source_ids").alias("extra"))
+    entities = _best(automaton.best_rows(rows, targets, limit), limit)
+    entities = entities.select("target_no", "id", "score", F.from_json("extra", "array<string>").alias("source_ids"))
+    reached = entities.select(F.col("id").alias("key"), "target_no")
+    rows = graph.edges.select(F.col("edge_id").alias("id"), presets.edge_text().alias("text"), F.col("source_id").alias("extra"), F.array("from_entity", "to_entity").alias("keys"), F.lit(50).alias("base"))
+    edges = _best(automaton.best_rows(rows, targets, 2 * limit, reached), 2 * limit).withColumnRenamed("extra", "source_id")
+    cited = entities.select(F.explode("source_ids").alias("key"), "target_no").union(edges.select("source_id", "target_no")).distinct()
+    rows = graph.sources.select(F.col("source_id").alias("id"), presets.source_text().alias("text"), none, F.array("source_id").alias("keys"), F.lit(70).alias("base"))
+    known = graph.sources.select(F.col("source_id").alias("id"), "role", "status", "required", "quality_score")
+    sources = _best(automaton.best_rows(rows, targets, limit, cited), limit).drop("extra").join(known, "id")
+    cited = cited.union(sources.select("id", "target_no")).distinct()
+    rows = graph.conflicts.select(F.col("conflict_id").alias("id"), presets.conflict_text().alias("text"), F.col("severity").alias("extra"), F.array("source_id").alias("keys"), chosen(F.col("severity"), CONFLICT_BASES, 0).alias("base"))
+    conflicts = _best(automaton.best_rows(rows, targets, limit, cited), limit).withColumnRenamed("extra", "severity")
     return {"entity": entities, "edge": edges, "source": sources, "conflict": conflicts}
 
 
@@ -85,14 +64,13 @@ def adjudicate(spark: SparkSession, graph: Graph, targets: list[str], limit: int
     """One row a target: counts, status, support by tier, risk flags, confidence (0 to 100), verdict, priority (0 to 150)."""
     targets = clean_targets(targets)
     m = matches(graph, targets, limit)
-    n = lambda kind, *more: m[kind].groupBy("target").agg(F.count("*").alias(f"{kind}_count"), *more)
+    n = lambda kind, *more: m[kind].groupBy("target_no").agg(F.count("*").alias(f"{kind}_count"), *more)
     t, s = tier(), F.col("severity")
     by_tier = [F.count_if(t == k).alias(f"{k}_sources") for k in ("authority", "evidence", "advisory", "context")]
-    wanted = spark.createDataFrame([(x,) for x in targets], "target string")
-    rows = wanted
+    rows = spark.createDataFrame(list(enumerate(targets)), "target_no int, target string")
     for part in (n("entity"), n("edge"), n("source", *by_tier, F.count_if(~F.coalesce("status", F.lit("")).isin("loaded", "stale")).alias("unavailable_sources"), F.count_if(F.col("status") == "stale").alias("stale_sources")), n("conflict", F.count_if(s == "error").alias("errors"), F.count_if(s == "warning").alias("warnings"), F.count_if(s == "info").alias("infos"))):
-        rows = rows.join(part, "target", "left")
-    rows = rows.na.fill(0)
+        rows = rows.join(part, "target_no", "left")
+    rows = rows.drop("target_no").na.fill(0)
     c = F.col
     none = (c("entity_count") == 0) & (c("source_count") == 0) & (c("edge_count") == 0)
     status = F.when(none, "no_match").when((c("errors") > 0) | (c("warnings") > 0), "warn").otherwise("matched")
@@ -114,6 +92,22 @@ def adjudicate(spark: SparkSession, graph: Graph, targets: list[str], limit: int
     return rows.withColumn("priority_score", F.greatest(F.lit(0), F.least(F.lit(150), priority)).cast("long"))
 
 
+def adjudicate_all(graph: Graph, targets: DataFrame, limit: int = 20, at_once: int = 20_000) -> DataFrame:
+    """Adjudication of any number of targets, which are targets' only column. They are dealt by hash into lists of about
+    `at_once`, which the driver holds one at a time; each list reads the graph once and is written before the next one."""
+    spark = graph.sources.sparkSession
+    name = targets.columns[0]
+    cleaned = targets.select(F.btrim(F.col(name).cast("string")).alias("target")).filter("target <> ''").distinct()
+    cleaned = shared.checkpointed(cleaned)
+    lists = -(-cleaned.count() // at_once)
+    out = None
+    for i in range(max(1, lists)):
+        part = cleaned.filter(F.pmod(F.xxhash64("target"), F.lit(max(1, lists))) == i) if lists > 1 else cleaned
+        rows = shared.checkpointed(adjudicate(spark, graph, sorted(r.target for r in part.collect()), limit))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
 def review(adjudicated: DataFrame) -> DataFrame:
     """One row: how many targets of each verdict, mean confidence, greatest priority, and the review's status."""
     counted = [F.count_if(F.col("verdict") == v).alias(v) for v in VERDICT_BASES]

@@ -273,49 +273,64 @@ def terms(spark, d):
     return _table(spark, d, "conversations").select("conv_id", "turn", F.array_join(tx.terms(text), " ").alias("terms"), tx.estimate_tokens(text).alias("estimated_tokens"))
 
 
-def _match_sql(text: str, target: str) -> str:
-    hits = " + ".join(f"CAST(contains({text}, '{t}') AS INT)" for t in resolve.terms_of(target)) or "0"
-    return f"(({hits}) * 20 + CAST(contains({text}, '{target.lower()}') AS INT) * 100 + CASE WHEN ({hits}) > 0 THEN 10 ELSE 0 END)"
+def _terms_sql(targets: str) -> str:
+    """targets(target), each with its terms, and the distinct terms."""
+    stop = ", ".join(f"'{w}'" for w in tx.TARGET_STOPWORDS)
+    return f""", targets AS ({targets}), tt AS (SELECT target, list_filter(list_distinct(regexp_extract_all(lower(target), '[A-Za-z0-9_./:-]+|[\u4e00-\u9fff]+')), lambda t: length(t) >= 2 AND NOT list_contains([{stop}], t)) AS terms FROM targets),
+words AS (SELECT DISTINCT w FROM (SELECT unnest(terms) AS w FROM tt UNION ALL SELECT lower(target) FROM tt)), of_term AS (SELECT target, unnest(terms) AS w FROM tt)"""
 
 
-def _scored_sql(kind: str, columns: str, only: str = "") -> str:
-    """Rows of a relation that match a target."""
+def _scored_sql(kind: str, columns: str) -> str:
+    """Rows of a relation that match a target: its distinct words are looked for in each text, and then counted by target."""
     t, i, x = TEXTS[kind]
-    return " UNION ALL ".join(f"SELECT '{target}' AS target, {i} AS id, {_match_sql(f'lower({x})', target)} AS score{columns} FROM {t}" for target in TARGETS)
+    found = f"SELECT {i} AS id, w{columns} FROM (SELECT *, lower({x}) AS low FROM {t}) JOIN words ON contains(low, w)"
+    group = f"id{columns}"
+    return f"""SELECT target, {group}, sum(p) AS score FROM (SELECT target, {group}, 20 * count(*) + 10 AS p FROM ({found}) JOIN of_term USING (w) GROUP BY target, {group}
+      UNION ALL SELECT target, {group}, 100 FROM ({found}) JOIN tt ON lower(target) = w) GROUP BY target, {group}"""
 
 
 _best = lambda n: f"QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, id) <= {n}"
-RESOLVE_SQL = G + f""", en AS (SELECT * FROM ({_scored_sql('entity', ', source_ids')}) WHERE score > 0 {_best(20)}),
-eh AS (SELECT * FROM ({_scored_sql('edge', ', source_id')}) WHERE score > 0), et AS (SELECT DISTINCT target, edge_id AS id, source_id FROM en JOIN edges_ ON en.id IN (from_entity, to_entity)),
-ed AS (SELECT * FROM (SELECT target, id, max(source_id) AS source_id, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT target, id, source_id, score FROM eh UNION ALL SELECT target, id, source_id, 50 FROM et)) GROUP BY target, id) {_best(40)}),
+
+
+def resolve_sql(targets: str) -> str:
+    return G + _terms_sql(targets) + f""", en AS MATERIALIZED (SELECT * FROM ({_scored_sql('entity', ', source_ids')}) WHERE score > 0 {_best(20)}),
+eh AS (SELECT * FROM ({_scored_sql('edge', ', source_id')}) WHERE score > 0), et AS (SELECT target, edge_id AS id, source_id FROM en JOIN edges_ ON en.id = from_entity UNION SELECT target, edge_id, source_id FROM en JOIN edges_ ON en.id = to_entity),
+ed AS MATERIALIZED (SELECT * FROM (SELECT target, id, max(source_id) AS source_id, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT target, id, source_id, score FROM eh UNION ALL SELECT target, id, source_id, 50 FROM et)) GROUP BY target, id) {_best(40)}),
 c1 AS (SELECT target, unnest(source_ids) AS source_id FROM en UNION SELECT target, source_id FROM ed),
-so AS (SELECT * FROM (SELECT target, id, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT * FROM ({_scored_sql('source', '')}) WHERE score > 0 UNION ALL SELECT target, source_id, 70 FROM c1)) GROUP BY target, id) {_best(20)}),
+so AS MATERIALIZED (SELECT * FROM (SELECT target, id, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT target, id, score FROM ({_scored_sql('source', '')}) WHERE score > 0 UNION ALL SELECT target, source_id, 70 FROM c1)) GROUP BY target, id) {_best(20)}),
 c2 AS (SELECT * FROM c1 UNION SELECT target, id FROM so),
-co AS (SELECT * FROM (SELECT target, id, max(severity) AS severity, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT * FROM ({_scored_sql('conflict', ', severity')}) WHERE score > 0 UNION ALL SELECT target, conflict_id, CASE severity WHEN 'error' THEN 90 WHEN 'warning' THEN 60 ELSE 20 END, severity FROM c2 JOIN conflicts_ USING (source_id))) GROUP BY target, id) {_best(20)})
+co AS MATERIALIZED (SELECT * FROM (SELECT target, id, max(severity) AS severity, sum(sc) AS score FROM (SELECT *, score AS sc FROM (SELECT target, id, severity, score FROM ({_scored_sql('conflict', ', severity')}) WHERE score > 0 UNION ALL SELECT target, conflict_id, severity, CASE severity WHEN 'error' THEN 90 WHEN 'warning' THEN 60 ELSE 20 END FROM c2 JOIN conflicts_ USING (source_id))) GROUP BY target, id) {_best(20)})
 """
 
 
+FEW = "SELECT unnest([" + ", ".join(f"'{t}'" for t in TARGETS) + "]) AS target"
+MANY = "SELECT DISTINCT p_name AS target FROM part UNION SELECT p_brand || '.' || p_type FROM part UNION SELECT 'customer/' || c_custkey FROM customer UNION SELECT n_name FROM nation"
+RESOLVE_SQL = resolve_sql(FEW)
+
+
 @query(RESOLVE_SQL + "SELECT 'entity' AS kind, target, id, CAST(score AS BIGINT) AS score FROM en UNION ALL SELECT 'edge', target, id, CAST(score AS BIGINT) FROM ed UNION ALL SELECT 'source', target, id, CAST(score AS BIGINT) FROM so UNION ALL SELECT 'conflict', target, id, CAST(score AS BIGINT) FROM co")
 def resolve_targets(spark, d):
     m = resolve.matches(testbed.graph(spark, d), TARGETS)
     out = None
+    names = F.array(*map(F.lit, TARGETS))
     for kind, rows in m.items():
-        part = rows.select(F.lit(kind).alias("kind"), "target", "id", F.col("score").cast("long").alias("score"))
+        part = rows.select(F.lit(kind).alias("kind"), F.get(names, "target_no").alias("target"), "id", F.col("score").cast("long").alias("score"))
         out = part if out is None else out.union(part)
     return out
 
 
-ADJUDICATE_SQL = RESOLVE_SQL + """, st AS (SELECT target, count(*) AS n, count(*) FILTER (tier = 'authority') AS au, count(*) FILTER (tier = 'evidence') AS ev, count(*) FILTER (tier = 'advisory') AS ad, count(*) FILTER (status NOT IN ('loaded', 'stale')) AS un, count(*) FILTER (status = 'stale') AS sl
+_VERDICTS = """, st AS (SELECT target, count(*) AS n, count(*) FILTER (tier = 'authority') AS au, count(*) FILTER (tier = 'evidence') AS ev, count(*) FILTER (tier = 'advisory') AS ad, count(*) FILTER (status NOT IN ('loaded', 'stale')) AS un, count(*) FILTER (status = 'stale') AS sl
   FROM (SELECT so.target, status, CASE WHEN contains(role, 'advisory') THEN 'advisory' WHEN regexp_matches(role, 'truth|authority|claim|surface|policy|contract') THEN 'authority' WHEN regexp_matches(role, 'evidence|receipt|inventory') THEN 'evidence' ELSE 'context' END AS tier FROM so JOIN sources_ ON so.id = source_id) GROUP BY target),
 ct AS (SELECT target, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM co GROUP BY target),
 r AS (SELECT target, coalesce((SELECT count(*) FROM en WHERE en.target = t.target), 0) AS entity_count, coalesce((SELECT count(*) FROM ed WHERE ed.target = t.target), 0) AS edge_count, coalesce(n, 0) AS source_count, coalesce(au, 0) AS au, coalesce(ev, 0) AS ev, coalesce(ad, 0) AS ad, coalesce(un, 0) AS un, coalesce(sl, 0) AS sl, coalesce(e, 0) AS e, coalesce(w, 0) AS w
-  FROM (SELECT unnest([""" + ", ".join(f"'{t}'" for t in TARGETS) + """]) AS target) t LEFT JOIN st USING (target) LEFT JOIN ct USING (target)),
+  FROM targets t LEFT JOIN st USING (target) LEFT JOIN ct USING (target)),
 f AS (SELECT *, entity_count + source_count + edge_count = 0 AS none, au + ev = 0 AS bare FROM r),
 g AS (SELECT *, list_filter([CASE WHEN none THEN 'target_not_found' END, CASE WHEN e > 0 THEN 'error_conflict_present' END, CASE WHEN w > 0 THEN 'warning_conflict_present' END, CASE WHEN bare THEN 'no_authority_or_evidence_source' END, CASE WHEN ad > 0 AND au = 0 THEN 'advisory_without_authority' END, CASE WHEN un > 0 THEN 'unavailable_source_present' END, CASE WHEN sl > 0 THEN 'stale_source_present' END], lambda x: x IS NOT NULL) AS flags,
   greatest(0, least(100, CASE WHEN entity_count > 0 THEN 25 ELSE 0 END + CASE WHEN edge_count > 0 THEN 15 ELSE 0 END + least(25, au * 15) + least(20, ev * 10) + least(10, ad * 5) - least(40, e * 40) - least(25, w * 15) - CASE WHEN bare THEN 25 ELSE 0 END - CASE WHEN sl > 0 THEN 10 ELSE 0 END - CASE WHEN un > 0 THEN 15 ELSE 0 END)) AS confidence_score FROM f),
 v AS (SELECT *, CASE WHEN none THEN 'no_match' WHEN e > 0 THEN 'blocked' WHEN bare THEN 'advisory_only' WHEN confidence_score >= 70 AND len(flags) = 0 THEN 'supported' ELSE 'warn' END AS verdict FROM g),
 p AS (SELECT target, verdict, CAST(confidence_score AS BIGINT) AS confidence_score, array_to_string(flags, ',') AS risk_flags, flags, CAST(greatest(0, least(150, CASE verdict WHEN 'blocked' THEN 100 WHEN 'no_match' THEN 90 WHEN 'advisory_only' THEN 80 WHEN 'warn' THEN 60 ELSE 10 END + least(20, len(flags) * 5) + least(20, e * 10 + w * 5) + greatest(0, 50 - confidence_score) // 5)) AS BIGINT) AS priority_score FROM v)
 """
+ADJUDICATE_SQL = RESOLVE_SQL + _VERDICTS
 
 
 @query(ADJUDICATE_SQL + "SELECT target, verdict, confidence_score, risk_flags, priority_score FROM p")
@@ -328,6 +343,15 @@ def review_targets(spark, d):
     return resolve.review(resolve.adjudicate(spark, testbed.graph(spark, d), TARGETS)).select("target_count", "blocked", "no_match", "max_priority_score", "status")
 
 
+@query(resolve_sql(MANY) + _VERDICTS + "SELECT target, verdict, confidence_score, risk_flags, priority_score FROM p")
+def review_many_targets(spark, d):
+    """Thousands of targets in one pass over each relation: every part's name and symbol, every customer's path, every nation."""
+    part = _table(spark, d, "part")
+    named = [part.select("p_name"), part.select(F.concat_ws(".", "p_brand", "p_type")), _table(spark, d, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string"))), _table(spark, d, "nation").select("n_name")]
+    targets = named[0].union(named[1]).union(named[2]).union(named[3])
+    return resolve.adjudicate_all(testbed.graph(spark, d), targets).select("target", "verdict", "confidence_score", F.array_join("risk_flags", ",").alias("risk_flags"), "priority_score")
+
+
 @query(ADJUDICATE_SQL + """SELECT * FROM (VALUES ('policy_authority_effect_none', true), ('policy_no_apply_true', true), ('policy_unknown_keys_absent', true), ('policy_validation_errors_absent', true)) t(id, passed) UNION ALL SELECT 'blocked_within_limit', count(*) FILTER (verdict = 'blocked') <= 0 FROM p UNION ALL SELECT 'no_match_within_limit', count(*) FILTER (verdict = 'no_match') <= 0 FROM p
 UNION ALL SELECT 'advisory_only_within_limit', count(*) FILTER (verdict = 'advisory_only') <= 0 FROM p UNION ALL SELECT 'priority_score_within_limit', max(priority_score) <= 99 FROM p UNION ALL SELECT 'average_confidence_minimum', avg(confidence_score) >= 10 FROM p UNION ALL SELECT 'risk_flag_absent:stale_source_present', count(*) FILTER (list_contains(flags, 'stale_source_present')) = 0 FROM p UNION ALL SELECT 'required_target_reviewed:NATION_7', count(*) FILTER (target = 'NATION_7') > 0 FROM p""")
 def review_gate(spark, d):
