@@ -16,8 +16,9 @@ PROSE = "act and as disclaimer doctrine for holder holders in infringement inter
 WORD, NO_WORD = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\n]"
 #: Lines that name a holder and not a license: "copyright" and a name, a year or a sign; "(c)" and a year; rights reserved.
 HOLDER = rf"(?md)^{NO_WORD}*(?:copyright{NO_WORD}++(?={WORD})(?!(?:{'|'.join(PROSE)})(?:(?!{WORD})|$))[^\n]*|\(c\){NO_WORD}*[0-9]{{4}}[^\n]*|all rights reserved{NO_WORD}*)$"
-#: Marks of list items, and what else is no word.
-BULLET = r"(^|[ \t])\(?([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)]([ \t]|$)"
+#: Marks of list items before their item: at a line's start, or after the end of a sentence or clause where lines are joined.
+#: A number elsewhere, as that of a version at a line's end, is no mark.
+BULLET = rf"(?:^{NO_WORD}*|(?<=\p{{L}}{{4}}[.;:] )|(?<=[:;] ))\(?(?:[0-9]{{1,2}}|[a-z]|[ivx]{{2,4}})[.)]+(?:[ \t]+(?={NO_WORD}*{WORD})|(?<=[:;.] {{1,2}}\(?\w{{1,4}}[.)]{{1,2}})[ \t]*(?=\n))"
 OTHER = rf"{NO_WORD}+"
 # Lines that are a license's title, in their canonical spelling; they say no more than the text below them.
 TITLES = ["mit license", "the mit license", "mit license mit", "the mit license mit", "mit", "isc license", "the isc license", "bsd license", "the bsd license", "new bsd license", "bsd 2 clause license", "bsd 3 clause license", "bsd 2 clause simplified license", "the 2 clause bsd license", "the 3 clause bsd license", "simplified bsd license"]
@@ -42,31 +43,31 @@ KNOWN = [
 # SHA-256 of the canonical form (`digest_of`) of public license texts that are too long to write out here.
 # Each whole, and up to its last terms where it has an appendix.
 DIGESTS = [
-    ("Apache-2.0", "023f96fb12fb40659102f1ac5a680488648a960e4b5fe82f9f7e5c9a7e835af2"),
-    ("Apache-2.0", "3242e686ae9106b8db245670f30a1f0b8000adf8e210f19d9ca88349cc4132c2"),
-    ("Apache-2.0", "3744efb92633500841034a4b7c7e50eafa7143121049894051ac9faf36eac690"),
+    ("Apache-2.0", "f86c45fc72b043272de5d765793567a95363a0016be29aaee3c6a6d8b0ca5532"),
+    ("Apache-2.0", "9666d051921bc497595d01b3c5b73b1f06842a6aa072b0221619c1e6d78d99e7"),
+    ("Apache-2.0", "95ebafaabf80c10ce0c02d6506b3c942348da0561e2d2af910f930ef055bc343"),
     ("Artistic-1.0-Perl", "13caa6a0bc52f01d305d07b8139a4750d73ad358309326b68cc4acee2a5d977f"),
-    ("CC0-1.0", "b786e4dcc533745dd6e8c7df7360071e558b3cc45fb201b53e8afb199f1cd374"),
-    ("GFDL-1.2", "889ddd6810f912c1d7b6d221cabbbf9102c3e45db73689025f26a8dc1db86f60"),
-    ("GFDL-1.3", "4764573dab2d2f4bf244b73da67cc96f8cfd5aae4a64af236a5f43fd67301366"),
-    ("GPL-1.0", "7113e749dfdf7506dd47dd53bfdc6a4276b20a4e35c37a09136486cecc3e2253"),
-    ("GPL-1.0", "48622df62f9a8678fb96977afc92830fb2bd8660858438e12f0a5d8748dadfa2"),
-    ("GPL-1.0", "39610b981c1211866e87fed9f40729390949d1eb6c6b76ad8b70f483446e3a4b"),
-    ("GPL-2.0", "801f098cc8257d272b15f8278794c04ee1ee99710438336011e4892b66c1ae8f"),
-    ("GPL-2.0", "a3b0b0c6162d238e8826619c16a10b0dc315598144f5e74cb63e252037b2024a"),
-    ("GPL-2.0", "8a41ab472ec908365052deb93b8f764d46bcb4bc82554290ed45766830b2acf3"),
-    ("GPL-3.0", "750a198f7306c1d77f53ac2f9320c50494e59085a3f25593c3ca0c31ef976446"),
-    ("GPL-3.0", "f4679fe6922e45d6dfacf5a0923b133eb6d46b230d1b5a6206513d4647004533"),
-    ("GPL-3.0", "c59b6f54b83209207f2445b9b717031f1a1f855d63e8aba6a9c906700a9810de"),
-    ("LGPL-2.0", "a14daff4ce5e1e369b114a13538899b82fe3d21fcc16ce8056f4e90215efa1db"),
-    ("LGPL-2.0", "059f0e6df498352903d2adcb697f879a7940e1e1cea1979c9945bbe82da596e5"),
-    ("LGPL-2.0", "b5d82e1dbd2030aee409d55e9f39b988c91fdf37d8e96508bbf314859b765ff1"),
-    ("LGPL-2.1", "9a351d855f01170d1839724c9c99a7cb8552965a3a157ae134cd9ddb9d62c35a"),
-    ("LGPL-2.1", "ccc65075fbb1c50fefe12c30606961c4af28987ced3af31b8ef8282cde7e7053"),
-    ("LGPL-2.1", "cba27486fe484c786e116b622af41529523ebc3ed762b0b3569067da445de26a"),
-    ("LGPL-3.0", "6a1e21cb1f0adda77c68071a8eeadb804a92ffdcaa150c17f976711652333fa0"),
-    ("MPL-1.1", "859c11e6852c7be156c7a4e01d4e1cdf09a1f8c7342ccdb0df67cb116192a4a3"),
-    ("MPL-2.0", "5c0269a4931aac7ea7207dd7fd6733bf93886ff2f920b9e801acb3b6e0d15f0a"),
+    ("CC0-1.0", "fc3b7547cd22a69f533f8dc61ce0b9bba032990bd8d72935ddd5cf7045643f54"),
+    ("GFDL-1.2", "547516be957ae32fee766d10b189f587e8f2d09498906d42c05d5e2194cf2daa"),
+    ("GFDL-1.3", "16b6e40aadeb1156523cc9f5b906bbe46eee9ef7f901168bb4b81f734621eff2"),
+    ("GPL-1.0", "3e3168af67a1bdba104231c8b36efaf73e3a01fbd65c58857d49d871f8b6e343"),
+    ("GPL-1.0", "8f7dd869a7e116c1704c16ac5ccf4e410042beb8ab3d5bb8fe674ac78d08e12e"),
+    ("GPL-1.0", "a2b7ff92ef9c0f3e8dbeb0059a50c26b7f3b5e1a44b4b111fdc0c2b0eb1abeaa"),
+    ("GPL-2.0", "1bba23792086a0eb7155489ad462725aafe53bce895bce43d5f64553c0530790"),
+    ("GPL-2.0", "4fa828326963f612c7e62caa74da4d9f5ff587e2218a1e3735bddb8a924adea7"),
+    ("GPL-2.0", "205f5c49e4b467c629be9a1fce4c2e331792278864d6f72d5fa877ed7d01881a"),
+    ("GPL-3.0", "8aef70df45b1578f919d5bc01bdb1f0f5b49c46820eff532d5c0f2bb31087270"),
+    ("GPL-3.0", "b680bddc52a444e19fbe7353cf10e5a94bf71cbe416e11422b7d75645a7a2391"),
+    ("GPL-3.0", "0e2af0abdcc7b246fc3e273953f9202e896b0c9aa60cbc4e3650cf6d187a8dbe"),
+    ("LGPL-2.0", "0b394906f282c03462aa1fc067a643a6dd4ffab5d645400ec00d9302d14133a8"),
+    ("LGPL-2.0", "f1646e96e98a1602fe1d3ebfb785284902befc5e456f87a84315c547f7a8fe04"),
+    ("LGPL-2.0", "fa4d15e891c72ebd7df9288efbdf81bded9d4313d4f4b76aebf23bcf3dbbe004"),
+    ("LGPL-2.1", "9f0935edc6963a95730b9f3d877768a3c92713ab8e7aac4f5aae4bff2c13f064"),
+    ("LGPL-2.1", "df721fe1d899c37d2c281b645acde64b083e4220d1ab4da4595982795fd6fce0"),
+    ("LGPL-2.1", "ad1d5464f1082f874fa60be0171ca8fab5778488fb373a59991d64d50a05569a"),
+    ("LGPL-3.0", "cb8c0f424bdd5c42a0b18285893829d988e9fb9a00d0cd604a59ebe8da7eeb45"),
+    ("MPL-1.1", "17cb1eaaaaa315e84719e30a5eedc76ee4862885df66aa58fd657799db48ed06"),
+    ("MPL-2.0", "1b1ad9103975e4267620e04f6a9cd315e74377c35271f5ff48fbc6ebb9f1e8a9"),
 ]
 
 

@@ -73,15 +73,19 @@ def _quoted(x: str) -> str:
 
 
 def op7_sql() -> str:
-    """The same rules in SQL; the known texts are canonicalised there too, line by line."""
+    """The same rules in SQL with patterns of its own; the known texts are canonicalised there too, line by line."""
     x = "lower(text)"
     for a, b in licenses.SPELLINGS:
         x = f"replace({x}, {_quoted(a)}, {_quoted(b)})" if a != "\r" else f"replace({x}, chr(13), ' ')"
     known = ", ".join(f"({i}, {_quoted(name)}, {_quoted(text)})" for i, (name, text) in enumerate(licenses.KNOWN))
     digests = ", ".join(f"({_quoted(name)}, {_quoted(digest)})" for name, digest in licenses.DIGESTS)
-    no, word, titles = licenses.NO_WORD, licenses.WORD, ", ".join(map(_quoted, licenses.TITLES))
+    no, word, titles = r"[^\p{L}\p{N}]", r"[\p{L}\p{N}]", ", ".join(map(_quoted, licenses.TITLES))
     holder = rf"""(regexp_matches(line, '^{no}*copyright{no}+{word}') AND NOT regexp_matches(line, '^{no}*copyright{no}+({'|'.join(licenses.PROSE)})({no}|$)'))
       OR regexp_matches(line, '^{no}*\(c\){no}*[0-9]{{4}}') OR regexp_matches(line, '^{no}*all rights reserved{no}*$')"""
+    mark, ended = r"[(]?(?:[0-9][0-9]?|[a-z]|[ivx][ivx][ivx]?[ivx]?)[.)]+", r"(\p{L}\p{L}\p{L}\p{L}[.;:] |[:;] )"
+    item = rf"regexp_replace(line, '^{no}*{mark}[ \t]+({no}*{word})', ' \1')"
+    item = rf"regexp_replace({item}, '{ended}{mark}[ \t]+({no}*{word})', '\1 \2', 'g')"
+    item = rf"CASE WHEN i < n THEN regexp_replace({item}, '{ended}{mark}[ \t]*$', '\1') ELSE {item} END"
     said = f"coalesce(string_agg(c, ' ' ORDER BY i) FILTER (WHERE c <> '' AND c NOT IN ({titles})), '')"
     for a, b in licenses.PHRASES:
         said = f"replace({said}, {_quoted(a)}, {_quoted(b)})"
@@ -89,11 +93,11 @@ def op7_sql() -> str:
 WITH known(id, license, text) AS (VALUES {known}),
 texts AS (SELECT 'k' AS kind, id, {x} AS text FROM known UNION ALL SELECT 'd', doc_id, coalesce({x}, '') FROM documents),
 lines AS (
-  SELECT kind, id, u.i AS i, string_split(text, chr(10))[u.i] AS line
+  SELECT kind, id, u.i AS i, len(string_split(text, chr(10))) AS n, string_split(text, chr(10))[u.i] AS line
   FROM texts, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i) u
 ),
 canon AS (
-  SELECT kind, id, i, CASE WHEN {holder} THEN '' ELSE trim(regexp_replace(regexp_replace(line, {_quoted(licenses.BULLET)}, ' ', 'g'), {_quoted(licenses.OTHER)}, ' ', 'g')) END AS c FROM lines
+  SELECT kind, id, i, CASE WHEN {holder} THEN '' ELSE trim(regexp_replace({item}, '{no}+', ' ', 'g')) END AS c FROM lines
 ),
 whole AS (
   SELECT kind, id, sha256({said}) AS digest,

@@ -57,3 +57,29 @@ def test_rows_share_nothing(spark):
     rows = spark.createDataFrame([(None, "Licensed under CC BY 4.0."), (None, "plain"), (1, "x\nSPDX-License-Identifier: MIT\nLicensed under CC BY 4.0."), (1, "y"), (2, None), (3, "MIT License")], "doc_id long, text string")
     got = sorted((r.doc_id is None, r.license_id or "", r.notices) for r in licenses.scan(rows).collect())
     assert got == [(False, "", ""), (False, "", ""), (False, "", ""), (False, "", "CC-BY-4.0,MIT"), (True, "", ""), (True, "CC-BY-4.0", "CC-BY-4.0")]
+
+
+def test_versions_are_no_list_marks(spark):
+    said = ["This work is licensed under the GNU General Public License, version 3.", "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 7."]
+    texts = [*said, *(f"{x}\nmore" for x in said), *(f"intro\n * {x} " for x in said), "1. Licensed under CC BY 4.0.", "a) Licensed under CC BY 3.0.", "version 2. Licensed under CC BY 4.0."]
+    want = ["GPL-3.0", "GPL-2.0", ""] * 3 + ["CC-BY-4.0", "", ""]
+    assert [n for _, n in scanned(spark, texts)] == want
+    assert [x or "" for x, _ in scanned(spark, said)] == ["GPL-3.0", "GPL-2.0", ""]
+
+
+def test_known_licenses_share_no_line(spark):
+    rows = spark.createDataFrame([*licenses.KNOWN], "license string, text string")
+    whole = rows.select("license", licenses.F.array_join(licenses.lines_of(licenses.F.col("text")), " ").alias("x"), licenses.digest_of(licenses.lines_of(licenses.F.col("text"))).alias("d"))
+    for c in ("x", "d"):
+        assert whole.groupBy(c).agg(licenses.F.count_distinct("license").alias("n")).filter("n > 1").count() == 0
+    assert len({d for _, d in licenses.DIGESTS}) == len(licenses.DIGESTS)
+
+
+def test_marks_go_at_starts_and_between_sentences(spark):
+    same = [["(a) one thing", "a. one thing", "  * 12) one thing", "one thing"], ["conditions are met: 1. keep it", "conditions are met:\n1. keep it", "conditions are met: 1.\nkeep it"]]
+    other = ["version 2", "version", "version 2.", "version 3.", "see v. 2.0", "see v. 3.0", "a", "b"]
+    lists = [*same, *([x] for x in other)]
+    rows = spark.createDataFrame([(k, x) for k, of in enumerate(lists) for x in of], "k int, t string")
+    got = rows.groupBy("k").agg(licenses.F.collect_set(licenses.digest_of(licenses.lines_of(licenses.F.col("t")))).alias("d")).collect()
+    assert all(len(r.d) == 1 for r in got)
+    assert len({r.d[0] for r in got}) == len(lists) - 1  # "version 2" is "version 2."
