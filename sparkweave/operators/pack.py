@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from dataclasses import dataclass, field
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.functions import text as tx
 from sparkweave.operators.model import PACK_EDGE_SCORES, Graph, chosen, score_or
+from sparkweave.sources import shared
 
 # Words that lead to a preset.
 PRESET_WORDS = {
@@ -77,77 +78,82 @@ def candidates(graph: Graph, task: str) -> DataFrame:
     return rows.select("kind", "id", "score", "matched_terms", "row", tx.estimate_tokens(line).alias("estimated_tokens"), "a", "b")
 
 
-def fold(items: list[dict], budget: int, most: int, used: int = 0, min_score: int = 0, passes: int = 2) -> list[int]:
-    """Two passes of skip-and-continue choice. Between them, edges that touch a chosen entity gain 25 points. Returns the
-    positions chosen, in order; a (kind, id) is chosen once."""
-    chosen_keys: set[tuple[str, str]] = set()
-    out: list[int] = []
-    order = list(range(len(items)))
-    rank = lambda i: (-items[i]["score"], items[i]["estimated_tokens"], items[i]["kind"], items[i]["id"], items[i]["row"])
-    for second in (False, True)[:passes]:
-        if second:
-            ids = {items[i]["a"] for i in out if items[i]["kind"] == "entity"}
-            for x in items:
-                if x["kind"] == "edge" and (x["a"] in ids or x["b"] in ids):
-                    x["score"] += 25
-        order.sort(key=rank)
-        for i in order:
-            x = items[i]
-            if (x["kind"], x["id"]) in chosen_keys or x["score"] < min_score:
-                continue
-            if len(out) >= most:
-                break
-            if used + x["estimated_tokens"] > budget:
-                continue
-            chosen_keys.add((x["kind"], x["id"]))
-            out.append(i)
-            used += x["estimated_tokens"]
-    return out
-
-
 def header_tokens(task: str, schema: str = "context_pack_v1") -> int:
     text = json.dumps({"task": task, "schema_version": schema, "authority_effect": "none", "no_apply": True}, ensure_ascii=True, sort_keys=True)
     return max(1, (len(text) + 3) // 4)
 
 
-def choosable(rows: DataFrame, budget: int, most: int) -> DataFrame:
-    """Of candidates with one order, those that a fold can choose; exact, and at most `most` for each number of tokens.
-
-    Of rows with the same kind, id and tokens only the first can be chosen: where it doesn't fit, the others don't. Of
-    rows with the same tokens the ones after `most` others of as many (kind, id) can't be: either one of those didn't
-    fit, or a row of each of them has been chosen.
-    """
-    key = ("kind", "id", "estimated_tokens")
-    first = rows.filter(F.col("estimated_tokens") <= budget).groupBy(*key).agg(F.min(F.struct((-F.col("score")).alias("less"), "row", "a", "b")).alias("x"))
-    order = Window.partitionBy("estimated_tokens").orderBy("x.less", "kind", "id")
-    kept = first.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
-    return kept.select("kind", "id", (-F.col("x.less")).alias("score"), "estimated_tokens", "x.row", "x.a", "x.b")
+def firsts(rows: DataFrame, budget: int, min_score: int = 0) -> DataFrame:
+    """Of candidates with the same kind, id and tokens the one that comes first: where it doesn't fit, the others don't, and
+    where it is chosen, they can't be."""
+    open_rows = rows.filter((F.col("estimated_tokens") <= budget) & (F.col("score") >= min_score))
+    first = open_rows.groupBy("kind", "id", "estimated_tokens").agg(F.min(F.struct((-F.col("score")).alias("less"), "row", "a", "b")).alias("x"))
+    return first.select("x.less", "estimated_tokens", "kind", "id", "x.row", "x.a", "x.b")
+
+
+#: The order of a fold.
+RANK = ("less", "estimated_tokens", "kind", "id", "row")
+
+
+@dataclass
+class Fold:
+    """Skip-and-continue choice over rows in their rank. It is carried from one run of rows to the next: tokens used, rows and
+    keys chosen. A run is the next rows that fit and whose (kind, id) isn't chosen, `most` at most, so a fold holds no more
+    than that many rows of at most `budget` tokens, takes at least the first row of each run, and ends with the first run
+    that isn't full: no row after it can fit."""
+
+    budget: int
+    most: int
+    used: int
+    chosen: list[dict] = field(default_factory=list)
+    runs: int = 0
+
+    def over(self, rows: DataFrame) -> None:
+        after: tuple | None = None
+        while len(self.chosen) < self.most and self.used < self.budget:
+            left = rows.filter(F.col("estimated_tokens") <= self.budget - self.used)
+            if self.chosen:
+                left = left.filter(~F.struct("kind", "id").isin(*{(x["kind"], x["id"]): F.struct(F.lit(x["kind"]).alias("kind"), F.lit(x["id"]).alias("id")) for x in self.chosen}.values()))
+            if after:
+                left = left.filter((F.col("less") >= after[0]) & (F.struct(*RANK) > F.struct(*(F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(RANK, after, strict=True)))))
+            run = [r.asDict() for r in left.orderBy(*RANK).limit(self.most).collect()]
+            self.runs += 1
+            keys = {(x["kind"], x["id"]) for x in self.chosen}
+            for x in run:
+                if len(self.chosen) < self.most and self.used + x["estimated_tokens"] <= self.budget and (x["kind"], x["id"]) not in keys:
+                    keys.add((x["kind"], x["id"]))
+                    self.chosen.append(x)
+                    self.used += x["estimated_tokens"]
+            if len(run) < self.most:
+                break
+            after = tuple(run[-1][c] for c in RANK)
 
 
 def pack(graph: Graph, task: str, budget: int = 4000, most: int = 80, min_score: int = 0) -> DataFrame:
     """The rows of a context pack, in order: position, kind, id, score, estimated_tokens, row.
 
-    The choice depends on its own order, so it is a fold, over the candidates that can be chosen. The edges that gain
-    points for the second pass are an order of their own; which they are is known after a first fold, run here.
+    Candidates are scored once and written with the columns of their order. The choice is a fold in two passes, carried over
+    runs of rows (see Fold). Between the passes edges at chosen entities gain 25 points, those already chosen too; the second
+    pass goes over all candidates again with what is left of the budget.
     """
     budget, most = max(200, budget), max(1, most)
-    used = header_tokens(task)
+    fold = Fold(budget, most, header_tokens(task))
+    spark = graph.sources.sparkSession
     rows = candidates(graph, task)
-    columns = ["position", "kind", "id", "score", "estimated_tokens", "row"]
-
-    def run(batches, passes=2):
-        items = [r for pdf in batches for r in pdf.to_dict("records")]
-        if items:
-            at = fold(items, budget, most, used, min_score, passes)
-            yield pd.DataFrame([{"position": n, **{k: items[i][k] for k in columns[1:]}} for n, i in enumerate(at)], columns=columns)
-
-    folded = "position long, kind string, id string, score long, estimated_tokens long, row string"
-    open_rows = choosable(rows, budget - used, most)
-    entities = [r.id for r in open_rows.coalesce(1).mapInPandas(lambda batches: run(batches, 1), folded).filter("kind = 'entity'").select("id").collect()]
+    path = shared.fresh(spark, "pack-candidates")
+    firsts(rows, budget - fold.used, min_score).write.parquet(path)
+    stored = spark.read.parquet(path)
+    fold.over(stored)
+    entities = [x["id"] for x in fold.chosen if x["kind"] == "entity"]
     if entities:
-        gaining = rows.filter((F.col("kind") == "edge") & (F.col("a").isin(entities) | F.col("b").isin(entities)))
-        open_rows = open_rows.union(choosable(gaining, budget - used, most))
-    return open_rows.coalesce(1).mapInPandas(run, folded)
+        for x in fold.chosen:
+            if x["kind"] == "edge" and (x["a"] in entities or x["b"] in entities):
+                x["less"] -= 25
+        gaining = rows.filter((F.col("kind") == "edge") & (F.col("a").isin(entities) | F.col("b").isin(entities))).withColumn("score", F.col("score") + 25)
+        fold.over(stored.union(shared.checkpointed(firsts(gaining, budget - fold.used, min_score))))
+    shared.drop(spark, path)
+    out = [(n, x["kind"], x["id"], -x["less"], x["estimated_tokens"], x["row"]) for n, x in enumerate(fold.chosen)]
+    return spark.createDataFrame(out, "position long, kind string, id string, score long, estimated_tokens long, row string")
 
 
 def greedy(rows: DataFrame, budget: int, order: list[Column], weight: str) -> DataFrame:
@@ -160,11 +166,26 @@ def greedy(rows: DataFrame, budget: int, order: list[Column], weight: str) -> Da
     return packed.select(F.posexplode(F.aggregate("xs", start, step)["kept"]).alias("position", "row")).select("position", "row.*")
 
 
-def coverage(graph: Graph, chosen_rows: DataFrame) -> DataFrame:
-    """One row: how many sources the chosen rows are from, of how many."""
+def coverage(graph: Graph, chosen_rows: DataFrame, task: str = "") -> DataFrame:
+    """One row: the sources that the chosen rows are from and how many there are, the task's terms that they have and lack,
+    their entity types and severities as counts in the order of their names."""
     from_json = F.regexp_extract_all("row", F.lit(r'"source_id": "([^"]*)"'), F.lit(1))
     listed = F.flatten(F.transform(F.regexp_extract_all("row", F.lit(r'"source_ids": \[([^\]]*)\]'), F.lit(1)), lambda x: F.regexp_extract_all(x, F.lit('"([^"]*)"'), F.lit(1))))
-    seen = chosen_rows.select(F.explode(F.array_distinct(F.concat(from_json, listed))).alias("s")).agg(F.count_distinct("s").alias("selected_source_count"))
+    words = F.array(*map(F.lit, task_terms(task))).cast("array<string>")
+    found = F.array_sort(F.array_distinct(F.flatten(F.collect_list(tx.matched(words, F.lower("row"))))))
+    sources = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.concat(from_json, listed), lambda x: x != "")))))
+    seen = chosen_rows.agg(sources.alias("selected_source_ids"), found.alias("matched_terms"))
     total = graph.sources.agg(F.count_distinct("source_id").alias("source_count"))
-    both = seen.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").drop("k")
-    return both.withColumn("source_coverage_ratio", F.when(F.col("source_count") > 0, F.bround(F.col("selected_source_count") / F.col("source_count"), 6)).otherwise(0.0))
+    field = lambda kind, name: F.when(F.col("kind") == kind, F.coalesce(F.nullif(F.get_json_object("row", f"$.{name}"), F.lit("")), F.lit("unknown")))
+
+    def counts(kind: str, name: str, out: str) -> DataFrame:
+        n = chosen_rows.filter(F.col("kind") == kind).groupBy(field(kind, name).alias("k")).agg(F.count("*").alias("n"))
+        return n.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(out))
+
+    for part in (total, counts("entity", "entity_type", "selected_entity_type_counts"), counts("conflict", "severity", "selected_conflict_severity_counts")):
+        seen = seen.withColumn("one", F.lit(1)).join(part.withColumn("one", F.lit(1)), "one").drop("one")
+    n, have = F.size("selected_source_ids"), F.size("matched_terms")
+    return seen.withColumns({
+        "selected_source_count": n.cast("long"), "source_coverage_ratio": F.when(F.col("source_count") > 0, F.bround(n / F.col("source_count"), 6)).otherwise(0.0),
+        "missing_terms": F.array_sort(F.array_except(words, F.col("matched_terms"))), "matched_term_ratio": F.when(F.size(words) > 0, F.bround(have / F.size(words), 6)).otherwise(1.0),
+    })

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.functions import text as tx
-from sparkweave.operators import assess, audits, gates, graph, model, pack, presets, resolve
+from sparkweave.operators import assess, audits, gates, graph, model, pack, presets, resolve, search
 from sparkweave.plans import testbed
 
 TARGETS = ["NATION_7", "customer/12", "Brand#2.ECONOMY", "claim_id:77", "unheard-of"]
@@ -197,6 +197,14 @@ for _n in READ_SQL:
     _Q[f"sql_{_n.replace('-', '_')}"], _S[f"sql_{_n.replace('-', '_')}"] = _sql(_n), G + READ_SQL[_n]
 
 
+def _search(spark, d):
+    """Reads the counts and postings of the needle's grams, and the texts that hold them."""
+    return search.find(spark, testbed.search_of(spark, d), LIKE_NEEDLE)
+
+
+_Q["sql_search"] = _search
+
+
 @query(G + f"SELECT kind, CASE WHEN kind <> 'source' THEN id END AS id, status, CASE WHEN kind <> 'edge' THEN detail END AS detail FROM ({READ_SQL['stale-sources']})")
 def public_rows(spark, d):
     return presets.public(presets.sql_preset(spark, testbed.graph(spark, d), "stale-sources", None))
@@ -390,12 +398,44 @@ def pack_candidates(spark, d):
     return pack.candidates(testbed.graph(spark, d), TASK).select("kind", "id", "score", "estimated_tokens", F.sha2("row", 256).alias("row_digest"))
 
 
-@query()
+def _fold_sql(name: str, ranked: str, start: str) -> str:
+    """A recursive choice: each step takes the next row in rank that fits and whose kind and id aren't chosen."""
+    step = f"""SELECT f.step + 1, r.n, f.used + r.estimated_tokens, list_append(f.keys, r.kind || ' ' || r.id), r.kind, r.id, r.row
+  FROM {name} f JOIN {ranked} r ON r.n > f.n AND r.estimated_tokens <= 4000 - f.used AND NOT list_contains(f.keys, r.kind || ' ' || r.id)
+  WHERE f.step < 80 QUALIFY row_number() OVER (ORDER BY r.n) = 1"""
+    return f"{name}(step, n, used, keys, kind, id, row) AS ({start} UNION ALL {step})"
+
+
+_ORDER = "row_number() OVER (ORDER BY score DESC, estimated_tokens, kind, id, row) AS n"
+_LINKED = "(kind = 'edge' AND (regexp_extract(row, '\"from_entity\": \"([^\"]*)\"', 1) IN (SELECT id FROM near) OR regexp_extract(row, '\"to_entity\": \"([^\"]*)\"', 1) IN (SELECT id FROM near)))"
+_FIRST = f"SELECT 0, CAST(0 AS BIGINT), CAST({pack.header_tokens(TASK)} AS BIGINT), CAST([] AS VARCHAR[]), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)"
+PACK_SQL = CANDIDATE_SQL.replace("WITH s0", "WITH RECURSIVE s0") + f""", r1 AS MATERIALIZED (SELECT *, {_ORDER} FROM cand), {_fold_sql('f1', 'r1', _FIRST)},
+near AS MATERIALIZED (SELECT id FROM f1 WHERE kind = 'entity'),
+r2 AS MATERIALIZED (SELECT *, {_ORDER} FROM (SELECT kind, id, row, estimated_tokens, score + CASE WHEN {_LINKED} THEN 25 ELSE 0 END AS score FROM cand)),
+last AS (SELECT step, CAST(0 AS BIGINT), used, keys, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM f1 ORDER BY step DESC LIMIT 1), {_fold_sql('f2', 'r2', 'SELECT * FROM last')},
+packed AS (SELECT CAST(f.step - 1 AS BIGINT) AS position, r2.kind, r2.id, r2.score, r2.estimated_tokens, r2.row
+  FROM (SELECT step, kind, id, row FROM f1 WHERE kind IS NOT NULL UNION ALL SELECT step, kind, id, row FROM f2 WHERE kind IS NOT NULL) f JOIN r2 USING (kind, id, row))
+"""
+
+
+@query(PACK_SQL + "SELECT * FROM packed")
 def pack_context(spark, d):
-    """The two-pass choice; no SQL: the second pass depends on what the first one chose."""
     return pack.pack(testbed.graph(spark, d), TASK, 4000, 80)
 
 
+@query(PACK_SQL + f""", own AS (SELECT list_sort(list_distinct(flatten(list(list_filter(list_concat(regexp_extract_all(row, '"source_id": "([^"]*)"', 1), string_split(replace(regexp_extract(row, '"source_ids": \\[([^\\]]*)\\]', 1), '"', ''), ', ')), lambda x: x <> ''))))) AS ids FROM packed),
+hit AS (SELECT list_sort(list(DISTINCT w)) AS m FROM packed, (SELECT unnest([{_TERMS}]) AS w) WHERE contains(lower(row), w)),
+et AS (SELECT coalesce(string_agg(t || '=' || n, ',' ORDER BY t), '') AS c FROM (SELECT regexp_extract(row, '"entity_type": "([^"]*)"', 1) AS t, count(*) AS n FROM packed WHERE kind = 'entity' GROUP BY t)),
+cs AS (SELECT coalesce(string_agg(t || '=' || n, ',' ORDER BY t), '') AS c FROM (SELECT regexp_extract(row, '"severity": "([^"]*)"', 1) AS t, count(*) AS n FROM packed WHERE kind = 'conflict' GROUP BY t))
+SELECT array_to_string(ids, ',') AS sources, len(ids) AS selected_source_count, (SELECT count(*) FROM sources_) AS source_count, round(len(ids) / (SELECT count(*) FROM sources_), 6) AS source_coverage_ratio,
+  array_to_string(m, ',') AS matched_terms, array_to_string(list_sort(list_filter([{_TERMS}], lambda w: NOT list_contains(m, w))), ',') AS missing_terms, round(len(m) / {len(pack.task_terms(TASK))}, 6) AS matched_term_ratio, et.c AS entity_types, cs.c AS severities FROM own, hit, et, cs""")
+def pack_coverage(spark, d):
+    g = testbed.graph(spark, d)
+    said = lambda m: F.array_join(F.transform(F.map_entries(m), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",")
+    joined = lambda c: F.array_join(c, ",")
+    return pack.coverage(g, pack.pack(g, TASK, 4000, 80), TASK).select(joined("selected_source_ids").alias("sources"), "selected_source_count", "source_count", "source_coverage_ratio", joined("matched_terms").alias("matched_terms"), joined("missing_terms").alias("missing_terms"), "matched_term_ratio", said("selected_entity_type_counts").alias("entity_types"), said("selected_conflict_severity_counts").alias("severities"))
+
+
 @query(G.replace("WITH s0", "WITH RECURSIVE s0") + f""", o AS (SELECT entity_id, degree, row_number() OVER (ORDER BY degree DESC, entity_id) AS n FROM {DEGREES(model.RANK_WEIGHTS)} QUALIFY n <= 300),
 k(n, used, taken) AS (SELECT 0, CAST(0 AS BIGINT), false UNION ALL SELECT o.n, CASE WHEN used + degree <= 1500 THEN used + degree ELSE used END, used + degree <= 1500 FROM k JOIN o ON o.n = k.n + 1)
 SELECT entity_id, degree, CAST(row_number() OVER (ORDER BY o.n) - 1 AS INT) AS position FROM o JOIN k ON o.n = k.n WHERE taken""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions import text as tx
 from sparkweave.functions.ids import edge_id, entity_id
-from sparkweave.operators import assess
+from sparkweave.operators import assess, search
 from sparkweave.operators.model import Graph, chosen
 from sparkweave.sources import read_model, shared
 
@@ -69,6 +69,7 @@ def build(spark: SparkSession, sf_dir: str) -> Graph:
 
 #: Read models of this process, by session and tables.
 _MODELS: dict[tuple[str, str], tuple[Graph, DataFrame]] = {}
+_SEARCH: dict[tuple[str, str], str] = {}
 
 
 def read_model_of(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
@@ -82,6 +83,16 @@ def read_model_of(spark: SparkSession, sf_dir: str) -> tuple[Graph, DataFrame]:
     return _MODELS[key]
 
 
+def search_of(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the search index with its postings, written once for a session and its tables."""
+    key = spark.sparkContext.applicationId, sf_dir.rstrip("/")
+    if key not in _SEARCH:
+        index = read_model_of(spark, sf_dir)[1]
+        _SEARCH[key] = shared.fresh(spark, "search")
+        search.write(index, _SEARCH[key])
+    return _SEARCH[key]
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return read_model_of(spark, sf_dir)[0]
 

@@ -35,3 +35,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def fresh(spark: SparkSession, name: str) -> str:
     """A path that nothing uses yet."""
     return f"{folder(spark)}/sparkweave/{name}-{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """A table that is no longer read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
