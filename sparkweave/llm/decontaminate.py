@@ -19,13 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 
 K1, B = 0.9, 0.4
 #: Items of a block, and UTF-8 bytes of the item texts that one broadcast index holds (each word makes a posting of 12
-#: bytes and a block entry of 8 at most): larger benchmarks are indexed in shards, each with a scan of its own.
-BLOCK_ITEMS, SHARD_BYTES = 8, 8 << 20
+#: bytes and a block entry of 8 at most): larger benchmarks are indexed in shards, of which one pass over the documents searches AT_ONCE.
+BLOCK_ITEMS, SHARD_BYTES, AT_ONCE = 8, 8 << 20, 4
 #: Bounds (passage and block) that are held at once.
 BOUNDS = 4_000_000
 ANSWER = re.compile(r"(?:^|\n)\s*(?:answer|a)\s*[:.]\s*", re.I)
@@ -155,11 +156,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6, question
     corpus = dfs = out = None
     if shards > 1:
         corpus, dfs = _statistics(items)
+    kind = to_arrow_type(items.schema["_item"].dataType)
+    searchers = []
     for shard in range(shards):  # one for any benchmark of up to SHARD_BYTES
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("_item", "_text"), F.lit(shards)) == shard)
         texts = [tuple(r) for r in part.collect()]
-        index = index_of(texts, corpus, dfs and _frequencies(dfs, texts))
-        found = common.per_batch(rows, _searcher(spark.sparkContext.broadcast(index), threshold, question_overlap, answer_overlap), f"_id {id_type}, _item {item_type}, _score double, _q double, _a double")
+        index = index_of(texts, corpus, dfs and _frequencies(dfs, texts)) | {"type": kind}
+        searchers.append(_searcher(spark.sparkContext.broadcast(index), threshold, question_overlap, answer_overlap))
+    for lo in range(0, shards, AT_ONCE):
+        found = common.per_batch(rows, _each(searchers[lo : lo + AT_ONCE]), f"_id {id_type}, _item {item_type}, _score double, _q double, _a double")
         out = found if out is None else out.unionByName(found)
     best = out.groupBy("_id", "_item").agg(F.max("_score").alias("score"), F.max("_q").alias("question_overlap"), F.max("_a").alias("answer_overlap"))
     return best.select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "score", "question_overlap", "answer_overlap")
@@ -186,6 +191,19 @@ def _frequencies(dfs: DataFrame, texts: list[tuple]) -> dict[str, int]:
     return {r.word: r.df for r in dfs.join(own, "word").collect()}
 
 
+def _each(searchers: list):
+    """Every searcher over each batch: the corpus is read once for all of them."""
+    if len(searchers) == 1:
+        return searchers[0]
+
+    def search(batches):
+        for batch in batches:
+            for one in searchers:
+                yield from one([batch])
+
+    return search
+
+
 def _searcher(held, threshold: float, least_q: float, least_a: float):
     def search(batches):
         index = held.value
@@ -236,15 +254,11 @@ def _searcher(held, threshold: float, least_q: float, least_a: float):
                                 q, a = (overlap(p, words) for p in parts[i])
                                 if q >= least_q and a >= least_a:
                                     out.append((d, i, min(1.0, score), q, a))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array([o[0] for o in out], pa.int64())), _items([index["ids"][o[1]] for o in out], index["ids"]), *(pa.array([o[k] for o in out], pa.float64()) for k in (2, 3, 4))], ["_id", "_item", "_score", "_q", "_a"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array([o[0] for o in out], pa.int64())), pa.array([index["ids"][o[1]] for o in out], index["type"]), *(pa.array([o[k] for o in out], pa.float64()) for k in (2, 3, 4))], ["_id", "_item", "_score", "_q", "_a"])
 
     return search
 
 
-def _items(values: list, like: list) -> pa.Array:
-    return pa.array(values, pa.array(like[:1]).type if like else pa.int64())
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs without the documents that leak an item. Rows with a null id stay."""
     leaks = hits(docs, benchmark, id_col=id_col, **options).select(F.col(common.quoted(id_col)).alias("__sw_leak")).distinct()

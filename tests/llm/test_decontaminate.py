@@ -95,3 +95,13 @@ print("all ran")
 """)
     run = subprocess.run([sys.executable, "alone.py"], cwd=tmp_path, capture_output=True, text=True, timeout=300)
     assert "all ran" in run.stdout, run.stderr[-3000:]
+
+
+def test_item_ids_of_any_type(spark):
+    text = "which of these words is the one that answers the question Answer: it is this one here"
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "nothing of the kind")], "doc_id long, text string")
+    for kind, value in (("int", "7"), ("smallint", "7"), ("decimal(10,2)", "7.25"), ("date", "'2024-02-29'"), ("string", "'a'"), ("double", "0.5"), ("binary", "X'0102'")):
+        items = spark.sql(f"SELECT cast({value} AS {kind}) AS item_id, '{text}' AS text")
+        got = decontaminate.hits(docs, items)
+        assert got.schema["item_id"].dataType == items.schema["item_id"].dataType
+        assert [(r.doc_id, r.item_id) for r in got.collect()] == [(1, items.first().item_id)]
