@@ -3,7 +3,11 @@
 Text length and punctuation are summed per root-to-leaf tag path; their means a text node are smoothed along the page,
 multiplied, and averaged per path again. Paths that reach half of the page's average are content paths, and their nodes
 the content. The main text is the innermost section that holds these nodes, without the boxes in it that hold none;
-elements whose names mark menus, adverts, notices, forms or comments never take part.
+elements whose names mark menus, adverts, notices, forms or comments never take part. Within an article, names that an
+article's own parts have too (related, search, ...) only lower the ratios of what they hold, and a header is its title.
+
+Elements are numbered in page order and know their parents, paths are numbers, and what is asked of all elements around a
+node is summed from the last element to the first: time and memory grow with the page, however deep it is.
 """
 
 import html
@@ -18,7 +22,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>""", re.S)
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'"<>]++)*+)>""", re.S)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?'\"()…–—«»¿¡、。]")
 # HTML's void elements, elements whose content is raw text, block elements, and what a new block closes.
@@ -30,20 +34,27 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 NOT_CONTENT = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object svg canvas audio video map menu dialog fieldset label legend noembed noframes xmp".split())
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist "
-    "complementary consent contentinfo cookie cookies copyright dialog disqus footer footnav gdpr header login masthead menu "
+    "commenter commenters complementary consent contentinfo cookie cookies copyright dialog disqus footer footnav gdpr header login masthead menu "
     "menubar modal nav navbar navigation newsletter notice notification overlay pagination pager paywall popup privacy promo "
     "promoted promotion recommended recommendations related replies reply respond search share sharing sidebar signin signup "
-    "skip social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar widget widgets".split()
+    "skip social sponsor sponsored subscribe subscription tagcloud teaser thread threads toolbar topbar widget widgets".split()
 )
+#: Of these, the ones that an article's own parts have too: within one they make nodes count WEAK of their ratio.
+WEAK_MARKS = frozenset("banner copyright dialog login notification popup privacy recommended recommendations related respond search skip teaser".split())
+WEAK = 0.6
+#: Headings of reader comments, which go on to the end of what holds the heading.
+COMMENTS = re.compile(r"\s*(?:\d+\s+)?(?:(?:reader|user)\s+)?(?:comments?|replies|kommentare?|leserkommentare|commentaires?|comentarios?|leave a (?:reply|comment))\s*(?:\(\d+\))?\s*:?\s*", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("article main section div body html td center".split())
 #: Elements that part a page; without a content node such a one isn't part of the main text.
 BOXES = frozenset("article main section div table center".split())
 
 
 def marked(tag: str, attributes: str, inside_article: bool) -> int:
-    """2 if an element's tag says that it isn't content or it is hidden, 1 if only its class, id or role says so, or 0."""
+    """How an element is marked: 3 if its tag says that it isn't content or it is hidden, 2 if its class, id or role says so, 1
+    if that is a weak mark within an article, or 0. An article's headers are its own."""
     if tag in NOT_CONTENT or tag == "header" and not inside_article:
-        return 2
+        return 3
     if not attributes or tag in ("html", "body", "article", "main"):
         return 0
     out = 0
@@ -51,79 +62,137 @@ def marked(tag: str, attributes: str, inside_article: bool) -> int:
         name, written = name.lower(), next(filter(None, values), "")
         value = written.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return 2
-        if name in ("class", "id", "role") and any(w in MARKS for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", written).lower())):
-            out = 1
+            return 3
+        if name in ("class", "id", "role"):
+            words = MARKS.intersection(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", written).lower()))
+            if inside_article:
+                words -= {"header", "masthead"}
+            if words:
+                out = max(out, 1 if inside_article and words <= WEAK_MARKS else 2)
     return out
 
 
-def nodes(page: str, pardoned: set[int] | None = None) -> tuple[list[tuple[str, tuple[str, ...], tuple[int, ...], int]], set[int]]:
-    """(text, tag path, elements around it, block) of each text node that may be content, in page order; and the elements
-    whose class, id or role marks them. What these hold is left out but for pardoned ones; None pardons all."""
-    named: set[int] = set()
-    out, stack, at, block, number = [], [], 0, 0, 0  # stack: tag, element, marked
-
-    def text(upto: int) -> None:
-        t = page[at:upto]
-        if t and not t.isspace() and not (stack and stack[-1][2]):
-            out.append((t, tuple(s[0] for s in stack), tuple(s[1] for s in stack), block))
-        elif t and out and out[-1][3] == block and not (stack and stack[-1][2]):
-            out.append((" ", out[-1][1], out[-1][2], block))
-
-    def pop(n: int) -> None:
-        nonlocal block
-        if any(s[0] in BLOCK for s in stack[n:]):
-            block += 1
-        del stack[n:]
-
-    pos = 0
-    while m := MARKUP.search(page, pos):
-        text(m.start())
-        at = pos = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    pop(i)
-                    break
-                if stack[i][0] in SECTIONS and tag not in SECTIONS and tag not in BLOCK:
-                    break  # an inline end tag doesn't reach out of a section
-            else:
-                block += tag in BLOCK
-            continue
-        if tag == "br":
-            if out and out[-1][3] == block and not (stack and stack[-1][2]):
-                out.append((" ", out[-1][1], out[-1][2], block))
-            continue
-        if tag in BLOCK:
-            block += 1
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSED_BY.get(tag, ()):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK and stack[i][0] not in CLOSED_BY.get(tag, ()):
-                    break
-        if tag in VOID:
-            continue
-        number += 1
-        inside = any(s[0] in ("article", "main") for s in stack)
-        mark = marked(tag, m[3], inside)
-        if mark == 1:
-            named.add(number)
-        bad = bool(stack and stack[-1][2]) or mark == 2 or mark == 1 and pardoned is not None and number not in pardoned
-        if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
-            if not (bad or tag in NOT_CONTENT or tag == "title"):
-                stack.append((tag, number, bad))
-                text(end.start() if end else len(page))
-                stack.pop()
-            at = pos = end.end() if end else len(page)
-        elif not m[3].endswith("/") or tag in BLOCK:
-            stack.append((tag, number, bad))
-    text(len(page))
-    return out, named
+class Page:
+    """Text nodes in page order, (text, path, element, block), and the elements: by number from 1 (0 is the page), their tags,
+    parents, marks, the outermost article or main around them, and the element around the block that they are in."""
+
+    def __init__(self, page: str) -> None:
+        self.found: list[tuple[str, int, int, int]] = []
+        self.tags, self.parent, self.mark, self.top, self.outer, self.bad, self.path = [""], [0], [0], [0], [0], [False], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.cuts: dict[int, int] = {}  # element: the node from which on what it holds is comments
+        self.read(page)
+
+    def opened(self, tag: str, attributes: str, parent: int) -> int:
+        e = len(self.tags)
+        mark = marked(tag, attributes, bool(self.top[parent]))
+        self.tags.append(tag)
+        self.parent.append(parent)
+        self.mark.append(mark)
+        self.bad.append(self.bad[parent] or mark == 3)
+        self.top.append(self.top[parent] or (e if tag in ("article", "main") else 0))
+        self.outer.append(parent if tag in BLOCK else self.outer[parent])
+        self.path.append(self.paths.setdefault((self.path[parent], tag), len(self.paths) + 1))
+        return e
+
+    def read(self, page: str) -> None:
+        out, stack, open_tags, at, block = self.found, [0], {}, 0, 0
+        tags = self.tags
+
+        def text(upto: int) -> None:
+            t, e = page[at:upto], stack[-1]
+            if not t or self.bad[e]:
+                return
+            if not t.isspace():
+                if tags[e] in HEADINGS and COMMENTS.fullmatch(t):
+                    self.cuts.setdefault(self.parent[e], len(out))
+                out.append((t, self.path[e], e, block))
+            elif out and out[-1][3] == block:
+                out.append((" ", 0, e, block))
+
+        def cut(n: int) -> bool:
+            """Closes elements from n on; says whether a block is among them."""
+            closed = stack[n:]
+            del stack[n:]
+            for e in closed:
+                open_tags[tags[e]] -= 1
+            return any(tags[e] in BLOCK for e in closed)
+
+        pos = 0
+        while m := MARKUP.search(page, pos):
+            text(m.start())
+            at = pos = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                if not open_tags.get(tag):
+                    block += tag in BLOCK
+                    continue
+                for i in range(len(stack) - 1, 0, -1):
+                    if tags[stack[i]] == tag:
+                        block += cut(i)
+                        break
+                    if tags[stack[i]] in SECTIONS and tag not in SECTIONS and tag not in BLOCK:
+                        break  # an inline end tag doesn't reach out of a section
+                continue
+            if tag == "br":
+                if out and out[-1][3] == block and not self.bad[stack[-1]]:
+                    out.append((" ", 0, stack[-1], block))
+                continue
+            if tag in BLOCK:
+                block += 1
+                closes = CLOSED_BY.get(tag, ())
+                for i in range(len(stack) - 1, 0, -1):
+                    inner = tags[stack[i]]
+                    if inner == "p" or inner in closes:
+                        cut(i)
+                        break
+                    if inner in BLOCK:
+                        break
+            if tag in VOID:
+                continue
+            e = self.opened(tag, m[3], stack[-1])
+            if tag in RAW:
+                end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, pos)
+                if not (self.bad[e] or tag == "title"):
+                    stack.append(e)
+                    text(end.start() if end else len(page))
+                    stack.pop()
+                at = pos = end.end() if end else len(page)
+            elif not m[3].endswith("/") or tag in BLOCK:
+                stack.append(e)
+                open_tags[tag] = open_tags.get(tag, 0) + 1
+        text(len(page))
+
+    def summed(self, at: dict[int, int]) -> list[int]:
+        """For each element the sum over itself and all it holds."""
+        out = [0] * len(self.tags)
+        for e, n in at.items():
+            out[e] += n
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def down(self, first: list) -> list:
+        """For each element what is true of it or of an element around it."""
+        for e in range(1, len(first)):
+            first[e] = first[e] or first[self.parent[e]]
+        return first
+
+    def without(self, dropped: set[int]) -> None:
+        """Leaves out what these elements hold."""
+        if dropped:
+            gone = self.down([e in dropped for e in range(len(self.tags))])
+            self.found = [x for x in self.found if not gone[x[2]]]
+
+    def without_comments(self) -> None:
+        """Leaves out headed comments: from the heading on, what the element around the heading holds."""
+        if self.cuts:
+            from_node = [self.cuts.get(e, 1 << 62) for e in range(len(self.tags))]
+            for e in range(1, len(from_node)):
+                from_node[e] = min(from_node[e], from_node[self.parent[e]])
+            self.found = [x for n, x in enumerate(self.found) if n < from_node[x[2]]]
 
 
 def smooth(x: np.ndarray) -> np.ndarray:
@@ -148,76 +217,79 @@ def fused(found: list) -> tuple[list, list[float]]:
     return real, [total[x[1]] / count[x[1]] for x in real]
 
 
-def selected(found: list) -> tuple[list, list[bool]]:
-    """Text nodes without spacers, and which of them lie on content paths: half the page's mean ratio or more."""
-    real, ratio = fused(found)
+def selected(page: Page) -> list[tuple]:
+    """The content nodes: those whose ratio, lowered by weak marks around them, reaches half the page's mean."""
+    real, ratio = fused(page.found)
     least = 0.5 * sum(ratio) / len(ratio)
-    return real, [r >= least for r in ratio]
+    weak = page.down([m == 1 for m in page.mark]) if 1 in page.mark else None
+    return [x for x, r in zip(real, ratio, strict=True) if (r * WEAK if weak and weak[x[2]] else r) >= least]
 
 
-def wrappers(found: list, named: set[int]) -> set[int]:
+def wrappers(page: Page, named: set[int]) -> set[int]:
     """Named elements that hold most of the selected text, in blocks of their own, and all that articles hold: the page's
     layout and no part of it."""
-    real, content = selected(found)
-    total, chars = 0, dict.fromkeys(named, 0)
-    for x, good in zip(real, content, strict=True):
-        if good:
-            total += len(x[0])
-            for i, element in enumerate(x[2]):
-                if element in chars and any(tag in BLOCK for tag in x[1][i + 1 :]):
-                    chars[element] += len(x[0])
-    out = {e for e, n in chars.items() if 2 * n > total}
-    for x in real:
-        if out and ("article" in x[1] or "main" in x[1]):
-            if named.isdisjoint(set(x[2]) - out):
-                out.intersection_update(x[2])
+    at: dict[int, int] = {}
+    content = selected(page)
+    for x in content:
+        around = page.outer[x[2]]
+        at[around] = at.get(around, 0) + len(x[0])
+    held, total = page.summed(at), sum(len(x[0]) for x in content)
+    out = {e for e in named if 2 * held[e] > total}
+    if out:
+        other = page.down([e in named and e not in out for e in range(len(page.tags))])
+        inside: dict[int, int] = {}
+        for x in page.found:
+            if x[0] != " " and page.top[x[2]] and not other[x[2]]:
+                inside[x[2]] = inside.get(x[2], 0) + 1
+        n = page.summed(inside)
+        out = {e for e in out if n[e] == n[0]}
     return out
 
 
-def extract(page: str | None) -> str:
+def extract(text: str | None) -> str:
     """The main text of a page: blocks in page order, one to a line. A null or empty page has an empty one."""
-    found, named = nodes(page or "")
-    if found and named:
-        found, _ = nodes(page, wrappers(found, named))
-    if not found:
+    page = Page(text or "")
+    page.without_comments()
+    named = {e for e, m in enumerate(page.mark) if m == 2}
+    if page.found and named:
+        page.without(named - wrappers(page, named))
+    if not page.found:
         return ""
-    real, content = selected(found)
-    chars: dict[int, int] = {}
-    total, tags, tops = 0, {}, {}
-    for x, good in zip(real, content, strict=True):
-        if good:
-            total += len(x[0])
-            for tag, element in zip(x[1], x[2], strict=True):
-                chars[element] = chars.get(element, 0) + len(x[0])
-                tags[element] = tag
-            top = next((i for i, tag in enumerate(x[1]) if tag in ("article", "main")), None)
-            if top is not None:
-                tops[x[2][top]] = x[2][: top + 1]
+    content = selected(page)
+    at: dict[int, int] = {}
+    for x in content:
+        at[x[2]] = at.get(x[2], 0) + len(x[0])
+    chars, total = page.summed(at), sum(at.values())
+    page.without({e for e, m in enumerate(page.mark) if m == 1 and not chars[e]})
+    tops = {page.top[x[2]] for x in content} - {0}
     if tops and 2 * sum(chars[e] for e in tops) >= total:  # the one article, or what holds all of them
-        root = max(set.intersection(*map(set, tops.values())), default=None)
+        held = page.summed(dict.fromkeys(tops, 1))
+        root = max((e for e in range(1, len(held)) if held[e] == len(tops)), default=0)
     else:  # the innermost section that holds all of it
-        root = max((e for e in chars if chars[e] == total and tags[e] in SECTIONS), default=None)
+        root = max((e for e in range(1, len(chars)) if chars[e] == total and page.tags[e] in SECTIONS), default=0)
+    kept = _within(page, root, chars)
     blocks: dict[int, list[str]] = {}
-    for t, path, elements, block in found:
-        if root in elements if root is not None else True:
-            top = elements.index(root) + 1 if root is not None else 0
-            if not boxed_off(path[:top], [*zip(path[top:], elements[top:], strict=True)], chars):
-                blocks.setdefault(block, []).append(t)
+    for t, _, e, block in page.found:
+        if kept[e]:
+            blocks.setdefault(block, []).append(t)
     lines = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 
 
-def boxed_off(above: tuple[str, ...], below: list[tuple[str, int]], chars: dict[int, int]) -> bool:
-    """Whether a text node of the main section lies in a box of its own that holds no content node. What is within an
-    article or main element that holds some is part of it."""
-    if "article" in above or "main" in above:
-        return False
-    for tag, element in below:
-        if element not in chars:
-            return tag in BOXES
-        if tag in ("article", "main"):
-            return False
-    return False
+def _within(page: Page, root: int, chars: list[int]) -> list[bool]:
+    """Which elements are in the root and in no box of their own that holds no content node. What is within an article or
+    main element that holds some is part of it."""
+    kept, settled = [False] * len(page.tags), [False] * len(page.tags)
+    kept[root], settled[root] = True, bool(page.top[root])
+    for e in range(root + 1, len(page.tags)):
+        parent, tag = page.parent[e], page.tags[e]
+        if parent < root or not (kept[parent] or settled[parent]):
+            continue
+        kept[e], settled[e] = kept[parent], settled[parent]
+        if not settled[e] and (not chars[e] or tag in ("article", "main")):
+            settled[e] = True
+            kept[e] = bool(chars[e]) or tag not in BOXES
+    return kept
 
 
 def main_text(pages: DataFrame, html_col: str = "html", into: str = "_main") -> DataFrame:

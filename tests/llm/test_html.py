@@ -125,3 +125,47 @@ def test_articles_of_all_pages_are_whole(spark):
     for r in html_text.main_text(common.read(spark, "/root/testdata/sf0.01", "pages")).collect():
         inside = r.html.split("<article>")[1].split("</article>")[0]
         assert r._main == html_text.extract(f"<article>{inside}</article>")
+
+
+STORY = [f"A long paragraph of the story, number {i}, which goes on and on, and then ends here." for i in range(5)]
+PROSE = "".join(f"<p>{x}</p>" for x in STORY)
+
+
+def lines_of(page):
+    return html_text.extract(page).split("\n")
+
+
+def test_titles_and_sections_within_an_article_stay():
+    head = '<header class="entry-header"><h1 class="entry-title">The Title</h1><div id="page-header-sub">By line</div></header>'
+    assert lines_of(f"<body><header class='site-header'>Site</header><article>{head}{PROSE}</article></body>") == ["The Title", "By line", *STORY]
+    related = "<div class='related-work'><p>Related work, which is a section of the paper, and is as long as the others are.</p></div>"
+    assert lines_of(f"<main>{PROSE}{related}{PROSE}</main>")[5].startswith("Related work")
+    links = "<div class='related-posts'><ul><li>One</li><li>Two</li></ul></div>"
+    assert lines_of(f"<main>{PROSE}{links}{PROSE}</main>") == STORY * 2
+    assert lines_of(f"<body><div>{PROSE}</div>{related}</body>") == STORY  # outside an article the name decides
+
+
+def test_reader_comments_go_with_and_without_marks():
+    said = "<p>I read this and must say, with respect, that all of it is wrong, as any reader can see.</p>" * 2
+    for box in (f"<div class='thread'>{said}</div>", f"<div><h3>2 Comments</h3>{said}</div>", f"<section><h2>Kommentare (2)</h2><div>{said}</div></section>", f"<h2>Comments:</h2>{said}<div>{said}</div>"):
+        assert lines_of(f"<body><article><h1>T</h1>{PROSE}{box}</article></body>") == ["T", *STORY], box
+        assert lines_of(f"<body><div><h1>T</h1>{PROSE}{box}</div></body>") == ["T", *STORY], box
+    discussion = f"<h2>Comments on the method</h2>{PROSE}"
+    assert len(lines_of(f"<article>{PROSE}{discussion}</article>")) == 11
+
+
+def test_ratios_decide_within_one_article_too(monkeypatch):
+    page = f"<article>{PROSE}<div class='search-results'><span>7 hits</span></div>{PROSE}</article>"
+    assert lines_of(page) == STORY * 2
+    monkeypatch.setattr(html_text, "WEAK", 1.0)
+    monkeypatch.setattr(html_text, "fused", lambda found: ([x for x in found if x[0] != " "], [1.0 for x in found if x[0] != " "]))
+    assert "7 hits" in lines_of(page)
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<a ", "<b>x", "<div>x<span>", "</p>y<div>", "<p>x", "<li>x<ul>", "<", "<div class='ad'>x", '<a href="'])
+def test_time_grows_with_the_page(part):
+    import time
+
+    began = time.process_time()
+    html_text.extract(part * 50_000)
+    assert time.process_time() - began < 8  # some seconds even on a slow machine; quadratic steps would take minutes
