@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sparkweave.functions import text as tx
 from sparkweave.operators import gates
 from sparkweave.operators.project import load
+from sparkweave.sources import shared
 
 # Defaults of the efficiency and context policies. None: the check is off.
 EFFICIENCY_POLICY = {"require_report_ok": True, "max_missing_required": 0, "max_warnings": 0, "min_baseline_tokens": 1, "max_read_first_tokens": None, "max_gate_pass_tokens": None, "max_read_first_ratio": 0.5, "max_gate_pass_ratio": 1.0, "min_read_first_savings_percent": 50.0, "min_gate_pass_savings_percent": None, "require_artifact_roles": ["read_first", "baseline"]}
@@ -210,3 +211,30 @@ def advantage(integration: Column, savings: Column, errors: Column, warnings: Co
 def pretty(value: dict) -> str:
     """An artifact as it is written: ASCII, keys in order, two spaces, a line end."""
     return json.dumps(value, ensure_ascii=True, indent=2, sort_keys=True) + "\n"
+
+
+def merkle(rows: DataFrame, line: Column, depth: int = 2) -> DataFrame:
+    """(level, prefix, digest, rows): a tree of digests over rows, whatever their order and partitions.
+
+    A row's leaf is the digest of its line; equal lines are counted, and no line's bucket depends on a key that many rows
+    share. The buckets of level `depth` are the leaves' first 2 x depth digits, a bucket's digest is that of its leaves and
+    their counts in order, and a node's that of its 256 children. Level 0 is the root. Two trees differ where their nodes do,
+    so a comparison goes down only where digests differ. Rows per bucket are the rows divided by 256 ** depth.
+    """
+    level = rows.select(F.sha2(F.coalesce(line, F.lit("null")), 256).alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n"))
+    level = level.select(F.col("leaf").alias("prefix"), F.concat_ws(":", "leaf", F.col("n").cast("string")).alias("said"), "n")
+    out = None
+    for k in range(depth, -1, -1):
+        inner = level.groupBy(F.left("prefix", F.lit(2 * k)).alias("prefix")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("said")), "\n"), 256).alias("digest"), F.sum("n").alias("n"))
+        inner = shared.checkpointed(inner) if k == depth else inner
+        level = inner.select("prefix", F.concat_ws(":", "prefix", "digest").alias("said"), "n")
+        nodes = inner.select(F.lit(k).alias("level"), "prefix", "digest", F.col("n").alias("rows"))
+        out = nodes if out is None else out.union(nodes)
+    return out
+
+
+def merkle_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(prefix, rows_before, rows_after): buckets of the deepest level whose digests differ."""
+    deepest = lambda df: df.join(df.agg(F.max("level").alias("_m")), F.col("level") == F.col("_m")).select("prefix", "digest", "rows")
+    a, b = deepest(before).toDF("prefix", "_a", "rows_before"), deepest(after).toDF("prefix", "_b", "rows_after")
+    return a.join(b, "prefix", "full").filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("prefix", F.coalesce("rows_before", F.lit(0)).alias("rows_before"), F.coalesce("rows_after", F.lit(0)).alias("rows_after"))

@@ -88,11 +88,15 @@ def conflict_facets(graph: Graph, limit: int | None = 200) -> DataFrame:
     return top(out, limit, F.desc("score"), F.asc("facet"), F.asc("value"))
 
 
-def unified_index(graph: Graph, query: str = "", limit: int = 200) -> DataFrame:
-    """Facet rows of all kinds, cut per kind before the query's terms filter them, then merged and cut."""
+def unified_index(graph: Graph, query: str = "", limit: int = 200, more: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Facet rows of all kinds, cut per kind before the query's terms filter them, then merged and cut. more: rows of further
+    kinds (memory, commands, capabilities: see `facets`), each cut to the limit by its own order; columns that a kind lacks
+    are null."""
     rows = entity_facets(graph, limit).unionByName(conflict_facets(graph, limit))
+    for other in more:
+        rows = rows.unionByName(other, allowMissingColumns=True)
     words = [t.lower() for t in query.replace("/", " ").replace("_", " ").split() if len(t) >= 2]
-    text = F.lower(F.concat_ws(" ", "row_id", "facet", "label", "value", "entity_type"))
+    text = F.lower(F.concat_ws(" ", *(c for c in ("row_id", "facet", "label", "value", "entity_type", "artifact_kind") if c in rows.columns)))
     score = sum((F.contains(text, F.lit(w)).cast("long") for w in words), F.lit(0).cast("long"))
     rows = rows.withColumn("query_match_score", score)
     if words:

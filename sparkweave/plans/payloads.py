@@ -244,6 +244,43 @@ def command_and_capability_facets(spark, d):
     return facets.commands(commands, None).union(facets.capabilities(able, None))
 
 
+_ALL_FACETS = base.G + base.FACET_SQL + ", " + _LEDGER.removeprefix("WITH ") + """, k1 AS (SELECT row_id, facet, label, value, entity_type, NULL AS artifact_kind, score FROM facets ORDER BY score DESC, facet, label LIMIT 50),
+k2 AS (SELECT 'urow:' || left(sha256('["conflict","' || conflict_type || '","' || conflict_id || '"]'), 16) AS row_id, 'conflict' AS facet, conflict_type AS label, conflict_id AS value, 'conflict' AS entity_type, NULL AS artifact_kind, CAST(CASE severity WHEN 'error' THEN 300 WHEN 'warning' THEN 200 ELSE 100 END AS BIGINT) AS score FROM conflicts_ ORDER BY score DESC, value LIMIT 50),
+k3 AS (SELECT 'urow:' || left(sha256('["memory","' || artifact_kind || '","' || path || '","' || task || '","' || model_prompt_source || '"]'), 16) AS row_id, 'memory' AS facet, coalesce(nullif(task, ''), artifact_kind) AS label, path AS value, NULL AS entity_type, artifact_kind,
+  CAST(CASE WHEN reusable THEN 140 ELSE 60 END + round_even(savings, 0) AS BIGINT) AS score FROM l ORDER BY score DESC, artifact_kind, label, row_id LIMIT 50),
+k4 AS (SELECT 'urow:' || left(sha256('["command","' || p_type || '"]'), 16) AS row_id, 'command' AS facet, p_type AS label, 'i' || n AS value, NULL AS entity_type, NULL AS artifact_kind, CAST(85 AS BIGINT) AS score FROM (SELECT p_type, count(*) AS n FROM part GROUP BY p_type)
+  UNION ALL SELECT 'urow:' || left(sha256('["command","unify-context"]'), 16), 'command', 'unify-context', 'u', NULL, NULL, 120 ORDER BY score DESC, label LIMIT 50),
+k5 AS (SELECT 'urow:' || left(sha256('["capability","' || p_brand || '"]'), 16) AS row_id, 'capability' AS facet, p_brand AS label, p_brand AS value, NULL AS entity_type, NULL AS artifact_kind, CAST(CASE WHEN p_brand < 'Brand#3' THEN 130 ELSE 90 END AS BIGINT) AS score FROM (SELECT DISTINCT p_brand FROM part) ORDER BY score DESC, value LIMIT 50),
+k AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2 UNION ALL SELECT * FROM k3 UNION ALL SELECT * FROM k4 UNION ALL SELECT * FROM k5),
+q AS (SELECT *, (SELECT count(*) FROM (SELECT unnest(['context', 'brand', 'handoff', 'claim', 'without']) AS w) WHERE contains(lower(concat_ws(' ', row_id, facet, label, value, entity_type, artifact_kind)), w)) AS query_match_score FROM k)
+SELECT row_id, facet, label, value, score, query_match_score FROM q WHERE query_match_score > 0 ORDER BY score DESC, query_match_score DESC, facet, label, row_id LIMIT 50"""
+
+
+@query(_ALL_FACETS)
+def unified_index_all(spark, d):
+    """Entities, conflicts, remembered artifacts, commands and capabilities in one index, filtered by a query's terms."""
+    part = _t(spark, d, "part")
+    commands = part.groupBy(F.col("p_type").alias("command")).agg(F.concat(F.lit("i"), F.count("*").cast("string")).alias("intent")).union(spark.createDataFrame([("unify-context", "u")], "command string, intent string"))
+    able = part.select(F.col("p_brand").alias("capability_id"), F.lit("").alias("capability_name"), F.when(F.col("p_brand") < "Brand#3", "native_available").otherwise("native_partial").alias("integration_status")).distinct()
+    more = (facets.memory(_ledger(spark, d), 50), facets.commands(commands, 50), facets.capabilities(able, 50))
+    return graph.unified_index(testbed.graph(spark, d), "context/brand handoff claim_without", 50, more).select("row_id", "facet", "label", "value", "score", "query_match_score")
+
+
+def _line(spark, d):
+    rows = _t(spark, d, "lineitem")
+    return rows, F.concat_ws("|", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))
+
+
+@query("""WITH leaves AS (SELECT sha256(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_returnflag, l_linestatus)) AS leaf, count(*) AS n FROM lineitem GROUP BY leaf),
+two AS (SELECT left(leaf, 4) AS prefix, sha256(string_agg(leaf || ':' || n, chr(10) ORDER BY leaf || ':' || n)) AS digest, sum(n) AS n FROM leaves GROUP BY prefix),
+one AS (SELECT left(prefix, 2) AS prefix, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest, sum(n) AS n FROM two GROUP BY ALL),
+root AS (SELECT '' AS prefix, sha256(string_agg(prefix || ':' || digest, chr(10) ORDER BY prefix)) AS digest, sum(n) AS n FROM one)
+SELECT 2 AS level, prefix, digest, CAST(n AS BIGINT) AS rows FROM two UNION ALL SELECT 1, prefix, digest, CAST(n AS BIGINT) FROM one UNION ALL SELECT 0, prefix, digest, CAST(n AS BIGINT) FROM root""")
+def input_fingerprint(spark, d):
+    """One digest of a whole input, with the tree below it that finds what has changed."""
+    return audits.merkle(*_line(spark, d))
+
+
 _TEXTS = "SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id"
 
 

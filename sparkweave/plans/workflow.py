@@ -8,11 +8,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkweave.operators import assess, gates, pack, presets, project, resolve
 from sparkweave.operators.model import Graph
 from sparkweave.sources import manifest as mf
-from sparkweave.sources import read_model
+from sparkweave.sources import read_model, scan
 
 
 @dataclass
@@ -23,8 +24,9 @@ class Step:
     detail: dict = field(default_factory=dict)
 
 
-def build(spark: SparkSession, manifest: dict, root: str, head: str = "", folder: str | None = None) -> Graph:
-    """A manifest's sources as a graph; written as a read model if a folder is named, and read back from it."""
+def build(spark: SparkSession, manifest: dict, root: str, head: str = "", folder: str | None = None, memory: bool = False, cache_dir: str = "") -> Graph:
+    """A manifest's sources, and the optional memory's pseudo-source with its policy conflicts, as a graph; written as a read
+    model if a folder is named, and read back from it. The memory itself is never read."""
     bad = [i for i, ok in mf.checks(manifest) if not ok]
     if bad:
         raise ValueError(f"invalid manifest: {', '.join(bad)}")
@@ -32,7 +34,12 @@ def build(spark: SparkSession, manifest: dict, root: str, head: str = "", folder
     rows = mf.loaded(mf.specs(spark, sources), mf.payloads(spark, root), head)
     checked = assess.with_quality(rows)
     entities, edges, conflicts = project.build(rows)
-    graph = Graph(checked.drop("raw"), entities, edges, conflicts.unionByName(assess.source_conflicts(checked)))
+    known, broken = scan.memory_source(memory, cache_dir, root, scan.tracked_memory(root) if "://" not in root else [])
+    fields = "source_id string, role string, required boolean, status string, path string, verifier string, authority_effect string, no_apply boolean"
+    pseudo = assess.with_quality(spark.createDataFrame([known], fields))
+    checked = checked.drop("raw").unionByName(pseudo, allowMissingColumns=True)
+    policy = spark.createDataFrame(broken, "conflict_id string, conflict_type string, severity string, source_id string, detail string").withColumn("entity_id", F.lit(None).cast("string"))
+    graph = Graph(checked, entities, edges, conflicts.unionByName(assess.source_conflicts(checked)).unionByName(policy))
     if folder is None:
         return graph
     read_model.write(graph, folder)

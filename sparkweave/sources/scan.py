@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import subprocess
 import time
 from datetime import UTC, datetime
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkweave.sources import tree
 
 # Suffixes of text files, owners of surfaces, and the sources of a scan (id, role, required, file).
-TEXT_SUFFIXES = (".py", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".json", ".md", ".txt", ".toml", ".cfg", ".ini", ".yaml", ".yml", ".html", ".css", ".sql", ".sh")
+TEXT_SUFFIXES = (".cfg", ".css", ".html", ".ini", ".js", ".jsx", ".json", ".mjs", ".md", ".py", ".toml", ".ts", ".tsx", ".txt", ".yaml", ".yml")
 OWNERS = {"configuration": "config_owner", "documentation": "docs_owner", "examples": "example_owner", "github_automation": "automation_owner", "operations_scripts": "ops_owner", "repo_root": "repo_owner", "source_code": "source_owner", "test_suite": "test_owner"}
 SOURCES = [("repo_file_inventory", "evidence_index", True, "inventory.json"), ("repo_code_symbols", "advisory_source_symbol_graph", False, "symbols.json"), ("repo_dependency_graph", "advisory_dependency_graph", False, "dependencies.json"), ("repo_surface_map", "project_surface", True, "surfaces.json")]
 
@@ -58,20 +59,42 @@ def git(root: str) -> dict:
     return {"branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "head_commit": ask("rev-parse", "HEAD"), "head_short_commit": ask("rev-parse", "--short", "HEAD"), "dirty": bool(changed), "dirty_count": len(changed)}
 
 
-def memory_source(include: bool = False, cache_dir: str = "", root: str = "", tracked: list[str] | None = None) -> tuple[dict, list[dict]]:
-    """The optional memory's pseudo-source and its policy conflicts: it must be neither tracked nor kept inside the tree."""
-    status, conflicts = "optional_disabled", []
-    conflict = lambda kind, **detail: {"conflict_id": f"memory_{kind}", "conflict_type": "memory_policy_violation", "severity": "error", "source_id": "memory", "detail": json.dumps(detail, sort_keys=True)}
+# The optional memory's source, its program, and the type of its policy conflicts.
+MEMORY_SOURCE, MEMORY_ROLE, MEMORY_PROGRAM, MEMORY_POLICY = "codebase_memory_mcp", "optional_advisory_code_memory", "codebase-memory-mcp", "codebase_memory_policy_violation"
+MEMORY_VERIFIER, MEMORY_GRAPH = "safe_adapter_policy_only", ".codebase-memory/graph.db.zst"
+
+
+def memory_source(include: bool = False, cache_dir: str = "", root: str = "", tracked: list[str] | None = None, program: str | None = None) -> tuple[dict, list[dict]]:
+    """The optional memory's pseudo-source and its policy conflicts. Its graph must not be tracked; if it is included and its
+    program is there (`program`, else the one on the path), its cache must be named and lie outside the tree. Nothing is run."""
+    found: list[dict] = []
+
+    def conflict(kind: str, **detail) -> None:
+        found.append({"conflict_id": f"codebase_memory_{kind}", "conflict_type": MEMORY_POLICY, "severity": "error", "source_id": MEMORY_SOURCE, "detail": json.dumps(detail, sort_keys=True)})
+
     if tracked:
-        conflicts.append(conflict("tracked_graph", tracked_paths=sorted(tracked)))
-    if include:
-        inside = bool(cache_dir and root) and os.path.commonpath([os.path.abspath(cache_dir), os.path.abspath(root)]) == os.path.abspath(root)
-        if inside:
+        conflict("tracked_graph", tracked_paths=sorted(tracked))
+    status, path = "optional_disabled", ""
+    if include and not (program or shutil.which(MEMORY_PROGRAM)):
+        status = "optional_unavailable"
+    elif include and not cache_dir:
+        status = "error"
+        conflict("cache_missing", required_env="CBM_CACHE_DIR")
+    elif include:
+        path, base = os.path.realpath(os.path.expanduser(cache_dir)), os.path.realpath(root or ".")
+        status = "loaded"
+        if os.path.commonpath([path, base]) == base:
             status = "error"
-            conflicts.append(conflict("repo_local_cache", cache_dir=os.path.abspath(cache_dir)))
-        else:
-            status = "loaded" if cache_dir and os.path.isdir(cache_dir) else "optional_unavailable"
-    return {"source_id": "memory", "role": "optional_memory", "required": False, "status": status, "path": cache_dir}, conflicts
+            conflict("repo_local_cache", cache_dir=path)
+    return {"source_id": MEMORY_SOURCE, "role": MEMORY_ROLE, "required": False, "status": status, "path": path, "verifier": MEMORY_VERIFIER, "authority_effect": "none", "no_apply": True}, found
+
+
+def tracked_memory(root: str) -> list[str]:
+    """The memory's graph, if the tree's git tracks it."""
+    try:
+        return subprocess.run(["git", "ls-files", MEMORY_GRAPH], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    except (OSError, subprocess.CalledProcessError):
+        return []
 
 
 def language(suffix) -> F.Column:

@@ -38,8 +38,12 @@ def test_driver_side_sources(tmp_path):
     assert scan.git(str(tmp_path))["head_commit"] == "" and not scan.git(str(tmp_path))["dirty"]
     subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
     assert scan.git(str(tmp_path))["dirty_count"] == 2
-    assert scan.memory_source()[0]["status"] == "optional_disabled" and scan.memory_source(True)[0]["status"] == "optional_unavailable"
-    assert scan.memory_source(True, str(tmp_path / "m"), str(tmp_path))[1][0]["conflict_type"] == "memory_policy_violation" and scan.memory_source(tracked=["x"])[1]
+    status = lambda *a, **k: scan.memory_source(*a, **k)[0]["status"]
+    assert status() == "optional_disabled" and status(True, "/m", str(tmp_path), program="/bin/p") == "loaded"
+    broken = [scan.memory_source(True, str(tmp_path / "m"), str(tmp_path), program="/bin/p"), scan.memory_source(True, "", str(tmp_path), program="/bin/p"), scan.memory_source(tracked=["x"])]
+    assert [s["status"] for s, _ in broken] == ["error", "error", "optional_disabled"]
+    assert [c["conflict_id"] for _, found in broken for c in found] == ["codebase_memory_repo_local_cache", "codebase_memory_cache_missing", "codebase_memory_tracked_graph"]
+    assert {c["conflict_type"] for _, found in broken for c in found} == {"codebase_memory_policy_violation"}
     text = scan.markdown("T", {"a": 1}, {"Rows": [{"x": i} for i in range(100)], "None": []})
     assert text.startswith("# T\n\n- a: `1`\n") and text.count("| `") == 80 and text.endswith("- none\n")
 
