@@ -116,6 +116,25 @@ def test_a_passage_whose_parts_come_earlier(spark):
     assert got == {(4, 70, 130, 3, 4, 64), (15, 0, 90, 14, 2, 92), (16, 1, 91, 14, 2, 92), (16, 95, 185, 14, 2, 92)}
 
 
+def test_fuzzy_passages_behind_earlier_pieces(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"n{rng.getrandbits(60)}" for _ in range(n)]
+    rows, wanted = [], set()
+    for k in range(40):
+        a, b = new(40), new(40)
+        fuzzy = list(a + b)
+        for i in rng.sample(range(80), 6):
+            fuzzy[i] = new(1)[0]
+        rows += [(10 * k + 1, new(20) + a + new(9)), (10 * k + 2, new(5) + b), (10 * k + 3, new(30) + a + b + new(8)), (10 * k + 4, new(100) + fuzzy)]
+        wanted.add((10 * k + 4, 10 * k + 3))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    got = substring_dedup.passages(df).collect()
+    pairs = {(r.doc_id, r.ref_doc_id) for r in got}
+    assert pairs <= wanted and len(pairs) >= 0.9 * len(wanted)
+    found = [r for r in got if r.end - r.start >= 70 and r.start >= 95 and r.identity >= 0.9]
+    assert len(found) >= 0.9 * len(pairs)
+
+
 def test_stretches_cover_all_that_reach_the_identity():
     rng = np.random.default_rng(4)
     for _ in range(200):
