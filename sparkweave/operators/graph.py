@@ -141,10 +141,14 @@ def changes(before: DataFrame, after: DataFrame, key: str, fields: list[str]) ->
     return both.select(key, kind.alias("change"), F.when(kind == "changed", F.array_join(fields_changed, ",")).otherwise("").alias("changed_fields")).filter("change is not null")
 
 
+def fingerprint(columns: list[str]) -> Column:
+    """A digest of the columns' canonical JSON."""
+    return F.sha2(tx.json_object({c: tx.or_null(tx.quoted(F.col(c).cast("string"))) for c in columns}), 256)
+
+
 def fingerprints(sources: DataFrame, columns: list[str], key: str = "source_id") -> DataFrame:
     """key, fingerprint: a digest of the columns' canonical JSON."""
-    q = {c: tx.or_null(tx.quoted(F.col(c).cast("string"))) for c in columns}
-    return sources.select(key, F.sha2(tx.json_object(q), 256).alias("fingerprint"))
+    return sources.select(key, fingerprint(columns).alias("fingerprint"))
 
 
 def compare_fingerprints(current: DataFrame, previous: DataFrame, key: str = "source_id") -> DataFrame:

@@ -167,9 +167,9 @@ def project(source_id: str, role: str, status: str, path: str, payload: dict) ->
             yield edge(edge_name(scalar(first(e, "edge_type", "relation", "type"))), a, b, scalar(e.get("evidence")) or source_id)
 
 
-def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """entities, edges, conflicts of sources(ordinal, source_id, role, status, path, raw). Payloads are read where they lie; an
-    entity keeps the label and metadata of its first sighting, in the order of sources and of their documents."""
+def facts(sources: DataFrame) -> DataFrame:
+    """Rows of `project` for sources(ordinal, source_id, role, status, path, raw), numbered in each source (ord); payloads are
+    read where they lie."""
     schema = "ordinal long, ord long, source_id string, what string, a string, b string, c string, d string, e string, f string"
 
     def run(batches):
@@ -180,11 +180,33 @@ def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                     out.append((r.ordinal, n, r.source_id, *x, *[None] * (7 - len(x))))
             yield pd.DataFrame(out, columns=[s.split()[0] for s in schema.split(", ")])
 
-    rows = sources.select("ordinal", "source_id", "role", "status", "path", "raw").mapInPandas(run, schema)
+    return sources.select("ordinal", "source_id", "role", "status", "path", "raw").mapInPandas(run, schema)
+
+
+def sightings(rows: DataFrame) -> DataFrame:
+    """source_id, ordinal, ord, entity_id, entity_type, value, label, metadata: the entities that facts name."""
+    named = rows.filter("what = 'entity'").select("source_id", "ordinal", "ord", F.col("a").alias("entity_type"), F.col("b").alias("value"), F.col("c").alias("label"), F.col("d").alias("metadata")).filter("value <> ''")
+    return named.withColumn("entity_id", entity_id("entity_type", "value"))
+
+
+def merged(seen: DataFrame) -> DataFrame:
+    """Entities of sightings: the label and metadata of the first one, in the order of sources and of their documents."""
     at = F.struct("ordinal", "ord")
-    ends = rows.filter("what = 'entity'").select("source_id", F.col("a").alias("entity_type"), F.col("b").alias("value"), F.col("c").alias("label"), F.col("d").alias("metadata"), at.alias("at")).filter("value <> ''")
-    entities = ends.groupBy(entity_id("entity_type", "value").alias("entity_id")).agg(F.min_by("entity_type", "at").alias("entity_type"), F.min_by("value", "at").alias("value"), F.min_by("label", "at").alias("label"), F.array_sort(F.collect_set("source_id")).alias("source_ids"), F.min_by("metadata", "at").alias("metadata"))
+    first_of = lambda c: F.min_by(c, at).alias(c)
+    return seen.groupBy("entity_id").agg(first_of("entity_type"), first_of("value"), first_of("label"), F.array_sort(F.collect_set("source_id")).alias("source_ids"), first_of("metadata"))
+
+
+def edges_of(rows: DataFrame) -> DataFrame:
+    """The edges that facts name, each once."""
     e = rows.filter(F.col("what") == "edge").filter(F.col("a").isin(*EDGE_KINDS)).select(F.col("a").alias("edge_type"), entity_id("b", F.trim("c")).alias("from_entity"), entity_id("d", F.trim("e")).alias("to_entity"), "source_id", F.coalesce("f", F.lit("")).alias("evidence"))
-    edges = e.select(edge_id("edge_type", "from_entity", "to_entity", F.concat("source_id", "evidence")).alias("edge_id"), "*").dropDuplicates(["edge_id"])
-    conflicts = rows.filter("what = 'conflict'").select(F.concat_ws(":", "a", "d").alias("conflict_id"), F.col("a").alias("conflict_type"), F.col("b").alias("severity"), "source_id", entity_id("c", "d").alias("entity_id"), F.col("e").alias("detail"))
-    return entities, edges, conflicts
+    return e.select(edge_id("edge_type", "from_entity", "to_entity", F.concat("source_id", "evidence")).alias("edge_id"), "*").dropDuplicates(["edge_id"])
+
+
+def conflicts_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("what = 'conflict'").select(F.concat_ws(":", "a", "d").alias("conflict_id"), F.col("a").alias("conflict_type"), F.col("b").alias("severity"), "source_id", entity_id("c", "d").alias("entity_id"), F.col("e").alias("detail"))
+
+
+def build(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities, edges, conflicts of sources(ordinal, source_id, role, status, path, raw)."""
+    rows = facts(sources)
+    return merged(sightings(rows)), edges_of(rows), conflicts_of(rows)

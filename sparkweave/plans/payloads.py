@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.operators import audits, contracts, facets, graph, handoff, project, resolve
+from sparkweave.operators.model import RANK_WEIGHTS
 from sparkweave.plans import queries as base
 from sparkweave.plans import testbed
 from sparkweave.plans.testbed import _id
-from sparkweave.sources import manifest, scan, tree
+from sparkweave.sources import incremental, manifest, scan, shared, tree
 
 query = base.query
 
@@ -76,6 +77,48 @@ def project_conflicts(spark, d):
     return _projected(spark, d)[2]
 
 
+_KEPT: dict[tuple[str, str], tuple[str, DataFrame]] = {}
+
+
+def _kept(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """The folder of a read model that was built of the nations' former payloads and then brought up to date, and what the
+    update found; made once for a session and its tables. Formerly some nations had other customers, some were no sources yet,
+    and some had a second source that has gone since."""
+    at = spark.sparkContext.applicationId, d.rstrip("/")
+    if at not in _KEPT:
+        now, k, folder = _payloads(spark, d).withColumn("status", F.lit("loaded")), F.col("ordinal"), shared.fresh(spark, "kept")
+        former = now.filter(k % 7 != 3).withColumn("raw", F.when(k % 5 == 1, F.regexp_replace("raw", "cust-", "gone-")).otherwise(F.col("raw")))
+        gone = now.filter(k % 6 == 0).withColumn("source_id", F.concat(F.lit("x"), k.cast("string"))).withColumn("ordinal", k + 1000)
+        incremental.update(former.union(gone), folder)
+        _KEPT[at] = folder, incremental.update(now, folder)
+    return _KEPT[at]
+
+
+@query(_NATIONS + """SELECT sid AS source_id, CASE WHEN n_nationkey % 7 = 3 THEN 'new' WHEN n_nationkey % 5 = 1 AND sid IN (SELECT sid FROM c) THEN 'changed' ELSE 'unchanged' END AS change FROM n
+UNION ALL SELECT 'x' || k, 'removed' FROM n WHERE n_nationkey % 6 = 0""")
+def incremental_changes(spark, d):
+    """What an update of the stored model found; only new and changed sources were projected, removed ones were emptied."""
+    return _kept(spark, d)[1]
+
+
+@query(base._S["project_entities"])
+def incremental_entities(spark, d):
+    """The entities of the updated model are those of a full build."""
+    return incremental.entities(spark, _kept(spark, d)[0]).select("entity_id", "entity_type", "value", "label", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+@query(base._S["project_edges"])
+def incremental_edges(spark, d):
+    return incremental.edges(spark, _kept(spark, d)[0]).select("edge_id", "edge_type", "from_entity", "to_entity", "source_id", "evidence")
+
+
+@query(_NATIONS + f"""SELECT entity_id, count(*) AS degree, CAST(sum({base.WEIGHT(RANK_WEIGHTS)}) AS BIGINT) AS weighted_degree
+FROM (SELECT e AS edge_type, unnest([{_id('ft', 'fv')}, {_id('tt', 'tv')}]) AS entity_id FROM raw) GROUP BY entity_id""")
+def incremental_degrees(spark, d):
+    """Degrees summed over the sources' own, of which an update writes the touched sources' only."""
+    return incremental.degrees(spark, _kept(spark, d)[0])
+
+
 @query(_NATIONS + """SELECT sid AS source_id, 'status' AS key, 'ready' AS scalar, 'status' AS json_path FROM n UNION ALL SELECT sid, 'head_commit', 'h' || r, 'head_commit' FROM n
 UNION ALL SELECT sid, 'surface_id', name, 'surfaces[0].surface_id' FROM n UNION ALL SELECT sid, 'surface_id', name, 'symbols[0].surface_id' FROM n UNION ALL SELECT sid, 'owner', owner, 'surfaces[0].owner' FROM n WHERE owned
 UNION ALL SELECT sid, 'path', 'n/' || name, 'surfaces[0].path' FROM n UNION ALL SELECT sid, 'path', 'src/' || k || '.py', 'symbols[0].path' FROM n UNION ALL SELECT sid, 'path', 'src/' || k || '.py', 'nodes[0].path' FROM n
