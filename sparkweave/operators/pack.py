@@ -6,6 +6,9 @@ import json
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,18 +86,54 @@ def header_tokens(task: str, schema: str = "context_pack_v1") -> int:
     return max(1, (len(text) + 3) // 4)
 
 
-def firsts(rows: DataFrame, budget: int, min_score: int = 0) -> DataFrame:
-    """Of candidates with the same kind, id and tokens the one that comes first: where it doesn't fit, the others don't, and
-    where it is chosen, they can't be."""
-    open_rows = rows.filter((F.col("estimated_tokens") <= budget) & (F.col("score") >= min_score))
-    first = open_rows.groupBy("kind", "id", "estimated_tokens").agg(F.min(F.struct((-F.col("score")).alias("less"), "row", "a", "b")).alias("x"))
-    return first.select("x.less", "estimated_tokens", "kind", "id", "x.row", "x.a", "x.b")
-
-
 #: The order of a fold.
 RANK = ("less", "estimated_tokens", "kind", "id", "row")
 
 
+#: Candidates as a fold reads them; rows that a task gathers before it reduces them.
+FOLD, GATHERED = "less long, estimated_tokens long, kind string, id string, row string, a string, b string", 50_000
+
+
+def _changes(rows: pa.Table, columns: tuple[str, ...]) -> np.ndarray:
+    """Which rows differ from the one before in any of the columns."""
+    out = np.ones(rows.num_rows, bool)
+    out[1:] = np.logical_or.reduce([pc.not_equal(rows[c].slice(1), rows[c].slice(0, rows.num_rows - 1)).to_numpy() for c in columns])
+    return out
+
+
+def _first(rows: pa.Table, most: int) -> pa.Table:
+    """Of each number of tokens the first `most` rows by rank, each with a (kind, id) of its own."""
+    if not rows.num_rows:
+        return rows
+    up = lambda *columns: [(c, "ascending") for c in columns]
+    rows = rows.take(pc.sort_indices(rows, up("estimated_tokens", "kind", "id", "less", "row")))
+    rows = rows.filter(pa.array(_changes(rows, ("estimated_tokens", "kind", "id"))))
+    rows = rows.take(pc.sort_indices(rows, up("estimated_tokens", "less", "kind", "id", "row")))
+    at, new = np.arange(rows.num_rows), _changes(rows, ("estimated_tokens",))
+    return rows.filter(pa.array(at - np.maximum.accumulate(np.where(new, at, 0)) < most)).combine_chunks()
+
+
+def firsts(rows: DataFrame, budget: int, most: int, min_score: int = 0) -> DataFrame:
+    """The candidates that a fold of `most` rows can choose, as each task finds them among its own: what it holds and hands on
+    doesn't grow with its rows, and nothing is shuffled or sorted as a whole.
+
+    Of rows with the same kind, id and tokens only the one that comes first: where it doesn't fit, the others don't, and
+    where it is chosen, they can't be. Of those with the same tokens only the first `most`: where one doesn't fit, those
+    after it don't either, and each one that is passed over has a key that is chosen."""
+
+    def reduced(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            # Here and not in Spark, which would make each row's text once more to filter by it.
+            held.append(batch.filter(pc.and_(pc.less_equal(batch["estimated_tokens"], budget), pc.less_equal(batch["less"], -min_score))))
+            if sum(x.num_rows for x in held) >= GATHERED:
+                held = _first(pa.Table.from_batches(held), most).to_batches()
+        if held:
+            yield from _first(pa.Table.from_batches(held), most).to_batches()
+
+    return rows.select((-F.col("score")).alias("less"), "estimated_tokens", "kind", "id", "row", "a", "b").mapInArrow(reduced, FOLD)
+
+
 @dataclass
 class Fold:
     """Skip-and-continue choice over rows in their rank. It is carried from one run of rows to the next: tokens used, rows and
@@ -132,7 +171,7 @@ class Fold:
 def pack(graph: Graph, task: str, budget: int = 4000, most: int = 80, min_score: int = 0) -> DataFrame:
     """The rows of a context pack, in order: position, kind, id, score, estimated_tokens, row.
 
-    Candidates are scored once and written with the columns of their order. The choice is a fold in two passes, carried over
+    Candidates are scored once, and those that can be chosen are written with the columns of their order. The choice is a fold in two passes, carried over
     runs of rows (see Fold). Between the passes edges at chosen entities gain 25 points, those already chosen too; the second
     pass goes over all candidates again with what is left of the budget.
     """
@@ -141,7 +180,7 @@ def pack(graph: Graph, task: str, budget: int = 4000, most: int = 80, min_score:
     spark = graph.sources.sparkSession
     rows = candidates(graph, task)
     path = shared.fresh(spark, "pack-candidates")
-    firsts(rows, budget - fold.used, min_score).write.parquet(path)
+    firsts(rows, budget - fold.used, most, min_score).write.parquet(path)
     stored = spark.read.parquet(path)
     fold.over(stored)
     entities = [x["id"] for x in fold.chosen if x["kind"] == "entity"]
@@ -150,7 +189,7 @@ def pack(graph: Graph, task: str, budget: int = 4000, most: int = 80, min_score:
             if x["kind"] == "edge" and (x["a"] in entities or x["b"] in entities):
                 x["less"] -= 25
         gaining = rows.filter((F.col("kind") == "edge") & (F.col("a").isin(entities) | F.col("b").isin(entities))).withColumn("score", F.col("score") + 25)
-        fold.over(stored.union(shared.checkpointed(firsts(gaining, budget - fold.used, min_score))))
+        fold.over(stored.union(shared.checkpointed(firsts(gaining, budget - fold.used, most, min_score))))
     shared.drop(spark, path)
     out = [(n, x["kind"], x["id"], -x["less"], x["estimated_tokens"], x["row"]) for n, x in enumerate(fold.chosen)]
     return spark.createDataFrame(out, "position long, kind string, id string, score long, estimated_tokens long, row string")
