@@ -17,9 +17,9 @@ from .common import keyed, quoted
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Buckets of hashed words and word pairs: the model's fixed size.
 BUCKETS = 1 << 14
-#: Trusted ids that are broadcast at most (about 16 bytes each). More are joined, with as many salts a document id, so that
+#: Trusted ids that are broadcast at most (some 70 bytes each). More are joined, with as many salts a document id, so that
 #: neither null ids nor one id's many rows meet in one task. Either way all trusted rows count.
-MAX_BROADCAST, SALTS = 1_000_000, 16
+MAX_BROADCAST, SALTS = 50_000, 16
 #: Counts that the corpus's own distribution adds to a bucket's target count on average, so that little evidence says little.
 PRIOR = 10
 #: A document is kept if its mean log ratio a n-gram is this or more.
@@ -62,7 +62,8 @@ def flagged(rows: DataFrame, trusted: DataFrame, max_broadcast: int = MAX_BROADC
         joined = rows.join(F.broadcast(ids), F.col("_id") == F.col("_t"), "left")
     else:
         salted = ids.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.join(salted, (F.col("_id") == F.col("_t")) & (F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int") == F.col("_s")), "left")
+        # By merging: ids with salts pack so well in a shuffle that Spark would take them for small and broadcast them.
+        joined = rows.join(salted.hint("merge"), (F.col("_id") == F.col("_t")) & (F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int") == F.col("_s")), "left")
     return joined.select(F.col("_t").isNotNull().cast("long").alias("_in"), "_text")
 
 
