@@ -21,14 +21,15 @@ def counts(needles: DataFrame, texts: DataFrame) -> DataFrame:
 
     Needles of less than PIECE characters meet the texts' substrings of their length, summed before the join. A longer
     one meets only the texts that have its rarest piece, and those are held against the whole needle; a needle with a
-    piece that no text has meets none. So the work follows the matches, not needles times texts.
+    piece that no text has meets none. So the work follows the matches, not needles times texts. Needles and pieces pack so
+    well in a shuffle that Spark would take them for small and build them on the driver; so joins are by merging.
     """
     short = needles.filter(F.length("needle") < PIECE).distinct()
     lengths = [r[0] for r in short.select(F.length("needle")).distinct().collect()]  # PIECE at most
     cut = texts.select(F.explode(F.flatten(F.array(*[pieces(F.col("text"), k) for k in lengths]))).alias("needle"), "n", "level") if lengths else None
     total = [F.sum("n").alias("n"), F.max("level").alias("level")]
     out = pairs(needles, texts).groupBy("needle").agg(*total)
-    return out if cut is None else out.union(cut.join(short, "needle", "left_semi").groupBy("needle").agg(*total))
+    return out if cut is None else out.union(cut.join(short.hint("merge"), "needle", "left_semi").groupBy("needle").agg(*total))
 
 
 def pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
@@ -36,6 +37,6 @@ def pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
     long = needles.filter(F.length("needle") >= PIECE).distinct()
     have = texts.select(F.explode(pieces(F.col("text"), PIECE)).alias("piece"), "text", "n", "level")
     often = have.groupBy("piece").agg(F.count("*").alias("often"))
-    asked = long.select("needle", F.explode(pieces(F.col("needle"), PIECE)).alias("piece")).join(often, "piece", "left")
+    asked = long.select("needle", F.explode(pieces(F.col("needle"), PIECE)).alias("piece")).join(often.hint("merge"), "piece", "left")
     rarest = asked.groupBy("needle").agg(F.min_by("piece", F.struct("often", "piece")).alias("piece"), F.min(F.col("often").isNotNull()).alias("all")).filter("all").select("needle", "piece")
-    return have.join(rarest, "piece").filter(F.contains("text", F.col("needle"))).select("needle", "text", "n", "level")
+    return have.join(rarest.hint("merge"), "piece").filter(F.contains("text", F.col("needle"))).select("needle", "text", "n", "level")

@@ -60,9 +60,9 @@ def conflict_hits(graph: Graph) -> DataFrame:
     level = chosen(F.col("severity"), {"error": 3, "warning": 2, "info": 1}, 0)
     texts = graph.conflicts.select(F.explode(F.array("conflict_id", "conflict_type", "severity", "entity_id")).alias("text"), level.alias("level")).filter("text is not null").groupBy("text").agg(F.count("*").alias("n"), F.max("level").alias("level"))
     keys = graph.entities.select("entity_id", F.coalesce(F.nullif("value", F.lit("")), F.col("entity_id")).alias("needle")).filter("entity_id <> ''")
-    hits = keys.join(containment.counts(keys.select("needle"), texts), "needle").select("entity_id", "n", "level")
+    hits = keys.join(containment.counts(keys.select("needle"), texts).hint("merge"), "needle").select("entity_id", "n", "level")
     apart = keys.filter(~F.contains("entity_id", F.col("needle")))  # else a text with the id has the value too
-    by_id = containment.pairs(apart.select(F.col("entity_id").alias("needle")), texts).withColumnRenamed("needle", "_id").join(apart, F.col("_id") == F.col("entity_id"))
+    by_id = containment.pairs(apart.select(F.col("entity_id").alias("needle")), texts).withColumnRenamed("needle", "_id").join(apart.hint("merge"), F.col("_id") == F.col("entity_id"))
     hits = hits.union(by_id.filter(~F.contains("text", F.col("needle"))).select("entity_id", "n", "level"))
     return hits.groupBy("entity_id").agg(F.sum("n").alias("conflict_count"), F.max("level").alias("level"))
 
@@ -71,7 +71,7 @@ def entity_facets(graph: Graph, limit: int | None = 200) -> DataFrame:
     """Entities as facet rows: weighted degree x 12 + degree x 4 + sources x 8, + 30 for surfaces, claims and symbols, - 15 for
     each text of a conflict that has the entity's id or value in it."""
     hits = conflict_hits(graph)
-    rows = graph.entities.join(degrees(graph.edges, INDEX_WEIGHTS), "entity_id", "left").join(hits, "entity_id", "left")
+    rows = graph.entities.join(degrees(graph.edges, INDEX_WEIGHTS).hint("merge"), "entity_id", "left").join(hits.hint("merge"), "entity_id", "left")
     d, w, n = (F.coalesce(c, F.lit(0)).cast("long") for c in ("degree", "weighted_degree", "conflict_count"))
     facet, evidence = chosen(F.col("entity_type"), FACETS, "entity"), F.size("source_ids").cast("long")
     score = w * 12 + d * 4 + evidence * 8 + F.when(facet.isin("surface", "claim", "symbol"), 30).otherwise(0) - n * 15

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from sparkweave.functions import text as tx
-from sparkweave.operators import automaton, pack, project, resolve
+from sparkweave.operators import automaton, graph, pack, project, resolve
 from sparkweave.plans import queries, testbed
 from sparkweave.sources import read_model, shared
 
@@ -75,3 +75,11 @@ def test_a_fold_over_what_tasks_hand_on_is_one_over_all_rows(spark):
         fold.over(handed)
         assert [(x["kind"], x["id"], -x["less"], x["estimated_tokens"], x["row"]) for x in fold.chosen] == want
     assert pack.firsts(df.limit(0), 50, 3).count() == 0
+
+
+def test_needles_are_not_built_on_the_driver(spark):
+    g = testbed.graph(spark, SF)
+    hits = graph.conflict_hits(g)
+    hits.foreach(lambda r: None)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
