@@ -92,8 +92,8 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
 
     Texts with equal n-gram sets are one node, so a group of copies costs one comparison however large it is. Nodes
     that share a band form candidate groups by stars to the least node, never by pairs. A group's nodes are compared in
-    blocks, each pair of blocks in one task, which emits counts and a spanning forest and no pairs. Every pair of a
-    group is verified, so links are lost only with the banding's miss rate (1 - recall at the threshold).
+    blocks, each pair of blocks in one task, which emits counts and a spanning forest of stars and no pairs; only the forests of
+    groups of several blocks are put together. Every pair of a group is verified, so links are lost only with the banding's miss rate (1 - recall at the threshold).
 
     A text without words, or a row with a null id, links to nothing and is its own class (null ids: a null class).
     An empty table gives no rows.
@@ -122,17 +122,17 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
                 if xxhash.xxh3_128_digest(x.tobytes()) == w:  # else another row with this id
                     nb, own = batch.column("_nb")[i].as_py(), batch.column("_block")[i].as_py()
                     k = nb
-                    one = [batch.column(c).slice(i, 1).take(pa.array([0] * k)) for c in ("root", "node", "_copies", "_block")]
-                    yield pa.RecordBatch.from_arrays([*one, pa.array([min(own, j) for j in range(nb)], pa.int32()), pa.array([max(own, j) for j in range(nb)], pa.int32()), pa.array([x.tobytes()] * k, pa.binary())], ["root", "node", "copies", "block", "i", "j", "grams"])
+                    one = [batch.column(c).slice(i, 1).take(pa.array([0] * k)) for c in ("root", "node", "_copies", "_nb", "_block")]
+                    yield pa.RecordBatch.from_arrays([*one, pa.array([min(own, j) for j in range(nb)], pa.int32()), pa.array([max(own, j) for j in range(nb)], pa.int32()), pa.array([x.tobytes()] * k, pa.binary())], ["root", "node", "copies", "nb", "block", "i", "j", "grams"])
 
     def verify(batches):
         def close(members):
             members = list(dict((m[0], m) for m in members).values())
-            first = [m for m in members if m[2] == key[1]]
-            second = [m for m in members if m[2] == key[2]] if key[1] != key[2] else first
+            first = [m for m in members if m[3] == key[1]]
+            second = [m for m in members if m[3] == key[2]] if key[1] != key[2] else first
             if not first or not second:
                 return
-            x, y = ([np.frombuffer(m[3], np.uint64) for m in side] for side in (first, second))
+            x, y = ([np.frombuffer(m[4], np.uint64) for m in side] for side in (first, second))
             inter = _overlaps(x, y)
             nx, ny = np.array([len(g) for g in x]), np.array([len(g) for g in y])
             near = inter * exact.denominator >= exact.numerator * (nx[:, None] + ny[None, :] - inter)
@@ -157,30 +157,36 @@ def links(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0
                 u, v = top(first[p][0]), top(second[q][0])
                 if u != v:
                     up[max(u, v)] = min(u, v)
-                    edges.append((first[p][0], second[q][0], 0))
-            edges.extend((k, None, w) for k, w in counts.items() if w)
+            whole = members[0][2] == 1  # a group of one block: its classes are known here
+            edges.extend((v, top(v), 0, whole) for v in list(up))
+            edges.extend((k, None, w, whole) for k, w in counts.items() if w)
+
+        def batch_of(edges):
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.bool_()))], ["a", "b", "w", "whole"])
 
         key, members, edges = None, [], []
         for batch in batches:
-            for root, node, copies, block, i, j, g in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            for root, node, copies, nb, block, i, j, g in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
                 if (root, i, j) != key:
                     if members:
                         close(members)
                     key, members = (root, i, j), []
-                members.append((node, copies, block, g))
+                members.append((node, copies, nb, block, g))
             if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary()), pa.array([e[2] for e in edges], pa.int64())], ["a", "b", "w"])
+                yield batch_of(edges)
                 edges.clear()
         if members:
             close(members)
         if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.binary()), pa.array([e[1] for e in edges], pa.binary()), pa.array([e[2] for e in edges], pa.int64())], ["a", "b", "w"])
+            yield batch_of(edges)
 
     texts = rows.join(nodes.withColumnRenamed("_least", "_want"), F.col("_id") == F.col("_want")).select("_text", "root", "node", "_copies", "_nb", "_block")
-    gathered = common.per_batch(texts, with_grams, "root binary, node binary, copies bigint, block int, i int, j int, grams binary").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    found = common.checkpointed(common.per_batch(gathered, verify, "a binary, b binary, w bigint"))
+    gathered = common.per_batch(texts, with_grams, "root binary, node binary, copies bigint, nb int, block int, i int, j int, grams binary").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    found = common.checkpointed(common.per_batch(gathered, verify, "a binary, b binary, w bigint, whole boolean"))
     counts = found.filter("b is null").groupBy(F.col("a").alias("_node")).agg(F.sum("w").alias("_w"))
-    classes = common.components(found.filter("b is not null").select("a", "b"))
+    linked = found.filter("b is not null")
+    known = linked.filter("whole").select("a", "b")  # stars already
+    classes = common.components(linked.filter("not whole").select("a", "b")).union(known.union(known.select("b", "b").distinct()))
     least = classes.join(nodes.select("node", "_least"), "node").groupBy("root").agg(F.min("_least").alias("_class"))
     classes = classes.join(least, "root").select(F.col("node").alias("_node"), "_class").join(counts, "_node")
     per_set = sets.select("_set", "_least", "_copies").join(classes, F.col("_set") == F.col("_node"), "left").select("_set", F.coalesce("_class", "_least").alias("class_id"), (F.col("_copies") - 1 + F.coalesce("_w", F.lit(0))).alias("n_links"))
