@@ -17,9 +17,10 @@ from .common import keyed, quoted
 SPACE, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Buckets of hashed words and word pairs: the model's fixed size.
 BUCKETS = 1 << 14
-#: Trusted ids that are broadcast at most (some 70 bytes each). More are joined, with as many salts a document id, so that
-#: neither null ids nor one id's many rows meet in one task. Either way all trusted rows count.
-MAX_BROADCAST, SALTS = 50_000, 16
+#: Trusted ids that are broadcast at most (some 70 bytes each): none, unless a caller knows its ids to be few, as a text's way
+#: may not change with the number of ids. Ids are joined, with as many salts a document id, so that neither null ids nor one
+#: id's many rows meet in one task. Either way all trusted rows count.
+MAX_BROADCAST, SALTS = 0, 16
 #: Counts that the corpus's own distribution adds to a bucket's target count on average, so that little evidence says little.
 PRIOR = 10
 #: A document is kept if its mean log ratio a n-gram is this or more.
@@ -58,7 +59,7 @@ def repeated(words: Column) -> Column:
 def flagged(rows: DataFrame, trusted: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
     """rows with `_in`: 1 where the id is a trusted one, otherwise 0. Null ids are in no case."""
     ids = trusted.select(F.col("_id").alias("_t")).filter("_t is not null").distinct()
-    if ids.limit(max_broadcast + 1).count() <= max_broadcast:
+    if max_broadcast and ids.limit(max_broadcast + 1).count() <= max_broadcast:
         joined = rows.join(F.broadcast(ids), F.col("_id") == F.col("_t"), "left")
     else:
         salted = ids.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -84,8 +85,8 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_
 
     Trusted are labels' rows of quality 1. A null text has no words and fails the base; so do texts of under 50 words
     and texts half of whose words or more lie in repeated windows. With no trusted row every ratio is 0 and the base
-    alone decides. Null ids are scored like others; an empty table gives no rows. Rows are scored in place: the only
-    shuffle is that of the bucket counts, summed in each task first.
+    alone decides. Null ids are scored like others; an empty table gives no rows. Each text is shuffled once to meet the
+    trusted ids, and the bucket counts, summed in each task first; rows are scored in place.
     """
     weights = model(keyed(docs, id_col, text_col), labels.filter("quality = 1").select(F.col(quoted(id_col)).alias("_id")), max_broadcast)
     table = F.from_json(F.lit(json.dumps(weights, separators=(",", ":"))), "array<int>")
