@@ -16,8 +16,11 @@ K, WINNOW = 6, 5
 GAP_COST, AROUND = 0.1, 64
 #: Words between seeds of two references that may be of one passage; seeds on either side of such a border that are paired.
 NEAR, BORDER = 24, 3
-#: Added to the places of paired seeds, so that they are told from runs of min_words; no text has so many words.
+#: Added to the places of paired seeds, so that they are told from runs of min_words, and of spaced seeds, which may have a
+#: difference in them; no text has so many words.
 PAIRED = 1 << 30
+#: Words of either half of a spaced seed, and one in how many of these is a seed, by its hash.
+HALF, SPACED = 3, 2
 
 
 def seeds_of(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,20 +112,52 @@ def borders(py: np.ndarray, ref: np.ndarray, min_words: int) -> list[tuple[int,
     return [(int(max(a, y[c] - NEAR)), int(min(b, y[c + 1] + NEAR))) for a, b, c in zip(lo[short], hi[short], change[short], strict=True)]
 
 
-def pair_seeds(h: np.ndarray, pos: np.ndarray, windows: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of both seeds of each pair of a text's seeds that lie in one of the windows, BORDER + 1 apart at most."""
+def pair_seeds(h: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place) of both seeds of each pair of seeds that lie in one of the windows lo to hi, BORDER + 1 apart at most.
+
+    Places ascend, and those of another text are beyond any window, so all texts of a flush are handled at once."""
+    start, end = np.searchsorted(place, lo), np.searchsorted(place, hi, side="right")
+    reach = np.zeros(len(h) + 1, np.int64)  # the end of the windows that a seed is in
+    np.maximum.at(reach, start, end)
+    reach = np.maximum.accumulate(reach)
     keys, places = [], []
-    for lo, hi in sorted(set(windows)):
-        at = np.arange(*np.searchsorted(pos, [lo, hi + 1]))
-        for gap in range(1, BORDER + 2):
-            a, b = at[:-gap], at[gap:]
-            both = common.mixed(h[a] * np.uint64(0xD6E8FEB86659FD93) + h[b])
-            keys += [common.mixed(both + np.uint64(1)), common.mixed(both + np.uint64(2))]
-            places += [pos[a], pos[b]]
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    both = np.unique(np.stack([np.concatenate(keys).view(np.int64), np.concatenate(places)], 1), axis=0)
-    return both[:, 0].copy().view(np.uint64), both[:, 1].copy()
+    for gap in range(1, BORDER + 2):
+        a = np.flatnonzero(np.arange(len(h)) + gap < reach[:-1])
+        both = common.mixed(h[a] * np.uint64(0xD6E8FEB86659FD93) + h[a + gap])
+        keys += [common.mixed(both + np.uint64(1)), common.mixed(both + np.uint64(2))]
+        places += [place[a], place[a + gap]]
+    keys, places = np.concatenate(keys), np.concatenate(places)
+    order = np.lexsort((keys, places))
+    keys, places = keys[order], places[order]
+    new = np.append(True, (keys[1:] != keys[:-1]) | (places[1:] != places[:-1]))[: len(keys)]
+    return keys[new], places[new]
+
+
+def spaced_seeds(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, position) of HALF words, any one word and HALF words: of every SPACED such the one whose hash says so, in
+    whatever text it is. Where each run of equal words is too short for a seed, these lie across the differences."""
+    span = 2 * HALF + 1
+    if len(flat) < span:
+        return flat[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    half = common.shingles(flat, HALF)
+    h = common.mixed(half[: -HALF - 1] * np.uint64(0xD6E8FEB86659FD93) + half[HALF + 1 :] + np.uint64(3))
+    text = np.repeat(np.arange(len(sizes)), sizes)[: len(h)]
+    inside = np.arange(len(h)) - (np.cumsum(sizes) - sizes)[text]
+    at = np.flatnonzero((inside + span <= sizes[text]) & ((h >> np.uint64(17)) % np.uint64(SPACED) == 0))
+    return h[at], text[at], inside[at]
+
+
+def equal_runs(x: np.ndarray, y: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """A chain with matches only of words that are equal: a match from a spaced seed is parted at its difference."""
+    out = []
+    for px, py, n in chain.tolist():
+        same = x[px : px + n] == y[py : py + n]
+        if same.all():
+            out.append((px, py, n))
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+        out += [(px + a, py + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return np.array(out, np.int64).reshape(-1, 3)
 
 
 class Fenwick:
@@ -307,7 +342,7 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
     a second round, so each exact run that an earlier document has is in a row. Where the reference of seeds changes within a
     stretch, seeds from both sides of the border are tied in pairs, so that a fuzzy copy of a passage whose pieces occur in
     earlier documents is tied to the first that has the pieces together. Of the passages of two documents
-    those that the others cover are left out.
+    those that the others cover are left out. Spaced seeds tie copies whose differences leave no run of K words.
     Words are runs without white space, in lower case. Null, empty and short texts and rows with a null id have no
     passages; rows that share an id are one document, and don't repeat themselves; an empty table gives no rows.
     """
@@ -339,9 +374,13 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
                     flat += texts[at].lower().split()
                     sizes.append(len(flat) - before)
                     at += 1
-                h, row, pos = seeds_of(words.of(flat), np.array(sizes, np.int64))
+                hashes, sizes = words.of(flat), np.array(sizes, np.int64)
+                h, row, pos = seeds_of(hashes, sizes)
                 if len(h):
                     yield spread(batch.column(0).slice(first, at - first), h, row, pos)
+                h, row, pos = spaced_seeds(hashes, sizes)
+                if len(h):
+                    yield spread(batch.column(0).slice(first, at - first), h, row, pos + PAIRED)
 
     def tie(batches):
         """In order of the hash: each row with a row of its hash's first id, where several ids have it, here or in a flush;
@@ -392,6 +431,10 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
 
         def close():
             py, px, ref = (np.concatenate(v) for v in zip(*held, strict=True))
+            if not (plain := py < PAIRED).all():  # spaced seeds may have a difference in them: no run is known by them
+                py, px, ref = py[plain], px[plain], ref[plain]
+            if not len(py):
+                return
             out.extend((key, a, b) for a, b in doubts(py, px, ref, min_words))
             out.extend((key, -1 - a, b) for a, b in borders(py, ref, min_words))
 
@@ -429,13 +472,12 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
             batch = batch.take(pc.sort_indices(batch.column(0)))
             texts, wanted, at = batch.column(1).to_pylist(), batch.column(2).to_pylist(), 0
             while at < len(texts):
-                flat, row, start, size, low, paired = [], [], [], 0, at, []
+                flat, row, start, size, low, whole, windows = [], [], [], 0, at, [], []
                 while at < len(texts) and size < common.FLAT_WORDS:
                     w = words.of(texts[at].lower().split())
-                    if at_borders := [(-1 - x["_lo"], x["_hi"]) for x in wanted[at] if x["_lo"] < 0]:
-                        h, _, pos = seeds_of(w, np.array([len(w)], np.int64))
-                        h, pos = pair_seeds(h, pos, at_borders)
-                        paired.append((h, np.full(len(h), at - low), pos + PAIRED))
+                    if at_borders := [(at - low << 32 | -1 - x["_lo"], at - low << 32 | x["_hi"]) for x in wanted[at] if x["_lo"] < 0]:
+                        whole.append((at - low, w))
+                        windows += at_borders
                     for x in sorted((x for x in wanted[at] if x["_lo"] >= 0), key=lambda x: x["_lo"]):
                         part = w[x["_lo"] : x["_hi"] + min_words]
                         if len(part) >= min_words:
@@ -443,8 +485,13 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
                             row.append(at - low)
                             start.append(x["_lo"])
                     size, at = size + len(w), at + 1
-                if paired and sum(len(h) for h, _, _ in paired):
-                    yield spread(batch.column(0).slice(low, at - low), *(np.concatenate(v) for v in zip(*paired, strict=True)))
+                if whole:
+                    texts_at = np.array([i for i, _ in whole])
+                    h, of, pos = seeds_of(np.concatenate([w for _, w in whole]), np.array([len(w) for _, w in whole], np.int64))
+                    lo, hi = np.array(windows, np.int64).T
+                    h, place = pair_seeds(h, texts_at[of] << 32 | pos, lo, hi)
+                    if len(h):
+                        yield spread(batch.column(0).slice(low, at - low), h, place >> 32, (place & 0xFFFFFFFF) + PAIRED)
                 if flat:
                     n = np.array([len(part) for part in flat])
                     h, inside = common.shingles(np.concatenate(flat), min_words), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -519,6 +566,8 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
                 c, x, y = np.frombuffer(c, "<i4").reshape(-1, 3), np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 if c[-1, 0] + c[-1, 2] > len(x) or c[-1, 1] + c[-1, 2] > len(y):
                     continue  # the window of another row with this id
+                if not len(c := equal_runs(x, y, c)):
+                    continue
                 for xs, xe, ys, ye, matches, columns in aligned(x, y, c, min_words, identity):
                     at.append(i)
                     out.append((y0 + ys, y0 + ye, x0 + xs, x0 + xe, ye - ys, matches / columns))
@@ -554,7 +603,7 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
     again = bloom.possible(rows, "_id", loose.select("_w")).join(loose, F.col("_id") == F.col("_w")).select("_id", "_text", "_windows")
     place = lambda c: F.when(F.col(c) >= PAIRED, F.col(c) - PAIRED).otherwise(F.col(c)).cast("int").alias(c)
     second = tied(common.per_batch(again, long_seed, seeds)).select("_y", place("_py"), "_x", place("_px"), (F.col("_py") < PAIRED).alias("_long"))
-    both_rounds = ties.withColumn("_long", F.lit(False)).union(second).filter("_x < _y")
+    both_rounds = ties.select("_y", place("_py"), "_x", place("_px"), F.lit(False).alias("_long")).union(second).filter("_x < _y")
     found = common.written(common.per_batch(both_rounds.repartition("_y").sortWithinPartitions("_y", "_x", "_py"), chain, f"_x {id_type}, _y {id_type}, _x0 int, _x1 int, _y0 int, _y1 int, _chain binary"), "chains")
     x_side = found.select(F.col("_x").alias("_id"), F.col("_x0").alias("_lo"), F.col("_x1").alias("_hi"))
     y_side = found.select(F.col("_y").alias("_id"), F.col("_y0").alias("_lo"), F.col("_y1").alias("_hi"))
