@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import bloom, common
 
@@ -21,6 +25,102 @@ NEAR, BORDER = 24, 3
 PAIRED = 1 << 30
 #: Words of either half of a spaced seed, and one in how many of these is a seed, by its hash.
 HALF, SPACED = 3, 2
+#: Bytes of a seed's hash that are kept beside the number of its part, and of a place in a text.
+HASH_BYTES, PLACE_BYTES = 6, 4
+#: Characters of texts that are handled in one go, and of words that are hashed at once; base of a word's hash.
+FLUSH, BLOCK, BASE = 3_000_000, 1 << 18, 0x9E3779B97F4A7C15
+#: What str.split() parts words at; the last place stands for all characters beyond.
+SPACE = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """1, base, base ** 2 and so on, modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+POWERS, INVERSE = powers(BLOCK, BASE), powers(BLOCK, pow(BASE, -1, 1 << 64))
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the words of texts one after another, words of each); words are runs without white space, in lower case.
+
+    A word's hash is a polynomial of its characters, read from running sums over blocks of words."""
+    low = [t.lower() for t in texts]
+    flat = np.frombuffer("\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+    space = SPACE[np.minimum(flat, len(SPACE) - 1)]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edge[::2], edge[1::2]
+    ends_of_texts = np.cumsum(np.array([len(t) + 1 for t in low], np.int64))
+    sizes = np.diff(np.searchsorted(start, ends_of_texts), prepend=0)
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + BLOCK, side="right")))
+        a, b = start[at:to] - start[at], end[at:to] - start[at]
+        n = int(b[-1])
+        up, down = (POWERS, INVERSE) if n <= BLOCK else (powers(n, BASE), powers(n, pow(BASE, -1, 1 << 64)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((flat[start[at] : start[at] + n] + np.uint64(1)) * up[:n], out=sums[1:])
+        out[at:to] = common.mixed((sums[b] - sums[a]) * down[a])
+        at = to
+    return out, sizes
+
+
+def flushes(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first text, word hashes, words of each text) of runs of texts of about FLUSH characters."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= FLUSH or i == len(texts) - 1:
+            yield first, *word_hashes(texts[first : i + 1])
+            first, size = i + 1, 0
+
+
+def planes(x: np.ndarray, width: int, ends: np.ndarray) -> list[bytes]:
+    """The low bytes of numbers, all lowest bytes of a section first: places in order compress well like that."""
+    low = np.ascontiguousarray(np.asarray(x, np.uint64).view(np.uint8).reshape(-1, 8)[:, :width].T)
+    ends = ends.tolist()
+    return [low[:, i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def numbers(parts: list[bytes], width: int) -> np.ndarray:
+    """What planes() was given, one after another."""
+    out, at = np.zeros((sum(map(len, parts)) // width, 8), np.uint8), 0
+    for part in parts:
+        n = len(part) // width
+        out[at : at + n, :width] = np.frombuffer(part, np.uint8).reshape(width, n).T
+        at += n
+    return out.view(np.int64).ravel()
+
+
+def ranked(ids: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(place of each id among the different ones in order, these)."""
+    rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    first = np.zeros(int(rank.max()) + 1 if len(rank) else 0, np.int64)
+    first[rank] = np.arange(len(rank))
+    return rank, ids.take(pa.array(first))
+
+
+def part_of(ids: pa.Array, parts: int) -> np.ndarray:
+    """The part that the rows of an id are in."""
+    if pa.types.is_integer(ids.type):
+        h = common.mixed(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    else:
+        h = np.array([xxhash.xxh3_64_intdigest(str(v).encode("utf-8", "surrogatepass")) for v in ids.to_pylist()], np.uint64)
+    return (h >> np.uint64(20)) % np.uint64(parts)
+
+
+def parts_for(size: int) -> int:
+    """Parts that the seeds of texts of so many bytes are dealt over: one for 2 MB, beyond 1,024 of these one for 8 MB, so that a
+    part of any input fits a task (a megabyte has some 140,000 seeds) and a task's rows for the parts don't get too short."""
+    return max(64, min(size >> 21, 1024), size >> 23)
+
+
+def run_lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, length) of each run of equal numbers."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return first, np.diff(np.append(first, len(x)))
 
 
 def seeds_of(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,12 +294,16 @@ def runs(px: np.ndarray, py: np.ndarray) -> np.ndarray:
 
 
 def chains(px: np.ndarray, py: np.ndarray) -> list[np.ndarray]:
-    """Collinear chains of matches, best first: each as rows (x, y, words), in order in both texts.
+    """Collinear chains of seeds, best first: each as rows (x, y, words), in order in both texts."""
+    return chained(runs(px, py))
+
+
+def chained(m: np.ndarray) -> list[np.ndarray]:
+    """Collinear chains of matches (x, y, words), best first, each in order in both texts.
 
     A match extends the best earlier one that ends before it in both texts, at GAP_COST a word between them. The cost
     is a sum of ends and starts, so the best is a prefix maximum over y: a Fenwick tree, filled as x advances.
     """
-    m = runs(px, py)
     if len(m) == 1:
         return [m]
     ends = np.unique(m[:, 1] + m[:, 2])
@@ -228,22 +332,37 @@ def chains(px: np.ndarray, py: np.ndarray) -> list[np.ndarray]:
 
 
 def edit(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(matches, columns) of a least-cost alignment of two runs of words."""
+    """(matches, columns) of a least-cost alignment of two runs of words; equal words at both ends are matches at no cost."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    front = int(differ[0]) if len(differ) else n
+    back = np.flatnonzero(a[len(a) - n + front :][::-1] != b[len(b) - n + front :][::-1])
+    back = int(back[0]) if len(back) else n - front
+    a, b = a[front : len(a) - back], b[front : len(b) - back]
     if len(a) > len(b):
         a, b = b, a
     if not len(a):
-        return 0, len(b)
+        return front + back, front + back + len(b)
     one = 1 << 32  # an error; matches on the way are packed below it
-    state = step = np.arange(len(b) + 1) * one
-    for i, x in enumerate(a):
-        diagonal = state[:-1] + np.where(b == x, -1, one)
-        new = np.empty_like(state)
-        new[0] = (i + 1) * one
-        new[1:] = np.minimum(diagonal, state[1:] + one)
-        state = np.minimum.accumulate(new - step) + step
+    if len(a) * len(b) <= 200:
+        state, row = [j * one for j in range(len(b) + 1)], b.tolist()
+        for i, x in enumerate(a.tolist()):
+            left, new = (i + 1) * one, [(i + 1) * one]
+            for j, y in enumerate(row):
+                left = min(left + one, state[j + 1] + one, state[j] + (-1 if x == y else one))
+                new.append(left)
+            state = new
+    else:
+        state = step = np.arange(len(b) + 1) * one
+        for i, x in enumerate(a):
+            diagonal = state[:-1] + np.where(b == x, -1, one)
+            new = np.empty_like(state)
+            new[0] = (i + 1) * one
+            new[1:] = np.minimum(diagonal, state[1:] + one)
+            state = np.minimum.accumulate(new - step) + step
     errors = -(-int(state[-1]) // one)
     matches = errors * one - int(state[-1])
-    return matches, matches + errors
+    return front + back + matches, front + back + matches + errors
 
 
 def extended(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -330,6 +449,26 @@ def aligned(x: np.ndarray, y: np.ndarray, chain: np.ndarray, min_words: int, ide
     return [found for _, _, found in out]
 
 
+def hopeful(chain: pa.Array, x: pa.Array, y: pa.Array, least: float) -> np.ndarray:
+    """Whether each chain of several matches, or of one with enough equal words on its diagonal, may be a passage; x and y are the
+    words around it. All chains of one match are looked at together."""
+    sizes = [pc.binary_length(v).to_numpy(zero_copy_only=False).astype(np.int64) // n for v, n in ((chain, 12), (x, 4), (y, 4))]
+    one = np.flatnonzero(sizes[0] == 1)
+    out = np.ones(len(chain), bool)
+    if len(one):
+        begins = [(np.cumsum(n) - n)[one] for n in sizes]
+        flat = [np.frombuffer(b"".join(v.to_pylist()), t) for v, t in ((chain, "<i4"), (x, "<u4"), (y, "<u4"))]
+        sx, sy = (flat[0][3 * begins[0] + k].astype(np.int64) for k in (0, 1))
+        before = np.minimum(sx, sy)
+        n = np.maximum(before + np.minimum(sizes[1][one] - sx, sizes[2][one] - sy), 0)
+        ends = np.cumsum(n)
+        inside = np.arange(n.sum()) + np.repeat(n - ends, n)
+        same = flat[1][inside + np.repeat(begins[1] + sx - before, n)] == flat[2][inside + np.repeat(begins[2] + sy - before, n)]
+        total = np.append(0, np.cumsum(same))
+        out[one] = total[ends] - total[ends - n] >= least - 1e-9
+    return out
+
+
 def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage of a document that an earlier one has too: id, start and end (words), ref_<id>, ref_start,
     ref_end, n_words, identity (matches a column of the alignment).
@@ -343,225 +482,226 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
     stretch, seeds from both sides of the border are tied in pairs, so that a fuzzy copy of a passage whose pieces occur in
     earlier documents is tied to the first that has the pieces together. Of the passages of two documents
     those that the others cover are left out. Spaced seeds tie copies whose differences leave no run of K words.
+    Seeds and ties move in rows of one part each (by hash, or by text), as many as the texts' size asks for; Spark deals the parts.
     Words are runs without white space, in lower case. Null, empty and short texts and rows with a null id have no
     passages; rows that share an id are one document, and don't repeat themselves; an empty table gives no rows.
     """
     rows = common.keyed(docs, id_col, text_col).filter("_id is not null and _text is not null")
-    id_type = rows.schema["_id"].dataType.simpleString()
+    id_type, id_kind = rows.schema["_id"].dataType.simpleString(), to_arrow_type(rows.schema["_id"].dataType)
+
+    parts = parts_for(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
 
     def spread(ids, h, row, pos):
-        """Rows of one flush, texts in order of their ids: what its first owner of a hash has goes on to the hash's task, the
-        others are tied to that owner here. _px: null, -1 where others here have the seed, or the place in text _x."""
+        """Rows of one flush, texts in order of their ids: what its first owner of a hash has goes on to the hash's part, the
+        others are tied to that owner here and go on as ties. Seeds of a part are one row, so that Spark moves and sorts
+        few rows; a seed is shared where others here have it."""
         values, owner = ids.to_pylist(), np.zeros(len(ids), np.int64)
         for i in range(1, len(values)):
             owner[i] = owner[i - 1] + (values[i] != values[i - 1])
         to, shared = tied_here(h, owner[row])
         mine = to == np.arange(len(to))
-        px = np.where(mine, np.where(shared, -1, -2), pos[to])
-        h = np.where(mine, h, common.mixed(h + row.astype(np.uint64)))  # anywhere: these need no task of their own
-        at, ref = pa.array(row), pa.array(row[to], mask=mine)
-        return pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), ids.take(at), pa.array(pos.astype(np.int32)), ids.take(ref), pa.array(px.astype(np.int32), mask=px == -2)], ["_h", "_id", "_p", "_x", "_px"])
+        if not mine.all():
+            done = np.flatnonzero(~mine)
+            yield ties_of(ids, row[done], pos[done], row[to[done]], pos[to[done]], -1)
+        part = ((h >> np.uint64(8 * HASH_BYTES)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+        keep = np.flatnonzero(mine)
+        keep = keep[np.argsort(part[keep], kind="stable")]
+        h, row, pos, part, kept = h[keep], row[keep], pos[keep], part[keep], shared[keep]
+        first, _ = run_lengths(part)
+        run, size = run_lengths(part.astype(np.int64) << 32 | row)
+        inside = np.searchsorted(run, np.append(first, len(row)))
+        ends = np.append(first, len(row))
+        yield batch_of_parts(part[first], (ids, row[run], inside, size), None, planes(h, HASH_BYTES, ends), planes(pos, PLACE_BYTES, ends), planes(kept, 1, ends))
+
+    def batch_of_parts(part, y, x, h, p, q):
+        """y, x: (ids, places among them, ends of the rows in these places, how often each is repeated)."""
+        columns = [pa.array(part, pa.int32())]
+        for side in (y, x):
+            if side is None:
+                columns += [pa.array([[]] * len(part), pa.list_(id_kind)), pa.array([b""] * len(part), pa.binary())]
+                continue
+            ids, at, ends, size = side
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(at)))
+            columns += [lists.cast(pa.list_(id_kind)), pa.array(planes(size, PLACE_BYTES, ends), pa.binary())]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(v, pa.binary()) for v in (h, p, q))], ["_b", "_y", "_ny", "_x", "_nx", "_h", "_p", "_q"])
+
+    def ties_of(ids, y, py, x, px, sign):
+        """Ties of texts y to texts x (places among ids), a row for each part of texts; sign -1: still on its way to the ties."""
+        part = part_of(ids, parts).astype(np.int64)[y]
+        order = np.lexsort((x, y, part))
+        y, py, x, px, part = y[order], py[order], x[order], px[order], part[order]
+        first, _ = run_lengths(part)
+        ends, sides = np.append(first, len(part)), []
+        for v in (y, x):
+            run, size = run_lengths(part << 32 | v)
+            sides.append((ids, v[run], np.searchsorted(run, ends), size))
+        return batch_of_parts(part[first] if sign > 0 else -1 - part[first], *sides, [b""] * len(first), planes(py, PLACE_BYTES, ends), planes(px, PLACE_BYTES, ends))
+
+    def whole_parts(batches):
+        """(part, its rows) of each part, in order of the parts."""
+        held = []
+        for batch in batches:
+            b = batch.column(0).to_numpy()
+            for i, k in zip(*(v.tolist() for v in run_lengths(b)), strict=True):
+                if held and held[-1][0] != b[i]:
+                    yield held[0][0], [r for _, r in held]
+                    held = []
+                held.append((int(b[i]), batch.slice(i, k)))
+        if held:
+            yield held[0][0], [r for _, r in held]
+
+    def column(rows, k):
+        return [v for r in rows for v in r.column(k).to_pylist()]
+
+    def ids_in(rows, k):
+        return pa.concat_arrays([r.column(k).flatten() for r in rows])
+
+    def ties_in(rows) -> tuple:
+        """(y, py, x, px, ids) of the ties in rows of parts; y and x are places among the ids, which are in order."""
+        ys, xs = ids_in(rows, 1), ids_in(rows, 3)
+        rank, ids = ranked(pa.concat_arrays([ys, xs]))
+        y, x = np.repeat(rank[: len(ys)], numbers(column(rows, 2), PLACE_BYTES)), np.repeat(rank[len(ys) :], numbers(column(rows, 4), PLACE_BYTES))
+        return y, numbers(column(rows, 6), PLACE_BYTES), x, numbers(column(rows, 7), PLACE_BYTES), ids
 
     def seed(batches):
-        words = common.Words()
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                flat, sizes, first = [], [], at
-                while at < len(texts) and len(flat) < common.FLAT_WORDS:
-                    before = len(flat)
-                    flat += texts[at].lower().split()
-                    sizes.append(len(flat) - before)
-                    at += 1
-                hashes, sizes = words.of(flat), np.array(sizes, np.int64)
-                h, row, pos = seeds_of(hashes, sizes)
-                if len(h):
-                    yield spread(batch.column(0).slice(first, at - first), h, row, pos)
-                h, row, pos = spaced_seeds(hashes, sizes)
-                if len(h):
-                    yield spread(batch.column(0).slice(first, at - first), h, row, pos + PAIRED)
+            for first, hashes, sizes in flushes(batch.column(1).to_pylist()):
+                ids = batch.column(0).slice(first, len(sizes))
+                for (h, row, pos), mark in ((seeds_of(hashes, sizes), 0), (spaced_seeds(hashes, sizes), PAIRED)):
+                    if len(h):
+                        yield from spread(ids, h, row, pos + mark)
 
     def tie(batches):
-        """In order of the hash: each row with a row of its hash's first id, where several ids have it, here or in a flush;
-        the n-th place in a text goes with the n-th place in the first one, over and over. Rows tied before pass.
-
-        A hash's rows may fill many batches: only its first id's rows so far are carried on, and they are tied in turn if
-        a batch has an earlier one.
-        """
-        held = None  # the last hash's rows of its first id so far: ids, places, whether others have it
-        for batch in batches:
-            direct = pc.fill_null(pc.greater_equal(batch.column(4), 0), False)
-            if (done := batch.filter(direct)).num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(k) for k in (1, 2, 3, 4)], ["_y", "_py", "_x", "_px"])
-            batch = batch.filter(pc.invert(direct))
-            if not batch.num_rows:
+        """Each seed with a seed of its hash's first id, where several ids have it, here or in a flush; the n-th place in a
+        text goes with the n-th place in the first one, over and over. Seeds tied before pass."""
+        for part, rows in whole_parts(batches):
+            if part < 0:
+                for r in rows:
+                    yield r.set_column(0, "_b", pa.array(-1 - r.column(0).to_numpy(), pa.int32()))
                 continue
-            h, ids, p = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
-            shared, old = pc.is_valid(batch.column(4)).to_numpy(zero_copy_only=False), 0
-            if held is not None and held[0] == h[0]:
-                old = len(held[2])
-                h, ids, p, shared = np.append(np.full(old, h[0]), h), pa.concat_arrays([held[1], ids]), np.append(held[2], p), np.append(held[3], shared)
-            again = np.append(h[1:] == h[:-1], False)
+            h, shared = numbers(column(rows, 5), HASH_BYTES), np.frombuffer(b"".join(column(rows, 7)), bool)
+            order = np.argsort(h)
+            g = h[order]
+            again = np.append(g[1:] == g[:-1], False)
             again[1:] |= again[:-1]
-            again |= shared
-            again |= h == h[-1]
-            keep = np.nonzero(again)[0]  # the hashes of one row alone are done with
-            h, p, shared, ids = h[keep], p[keep], shared[keep], ids.take(pa.array(keep))
-            order = pc.sort_indices(pa.table({"h": h, "i": ids, "p": p}), [("h", "ascending"), ("i", "ascending"), ("p", "ascending")]).to_numpy()
-            h, p, shared, ids = h[order], p[order], shared[order], ids.take(pa.array(order))
+            keep = order[again | shared[order]]  # the hashes of one seed alone are done with
+            if not len(keep):
+                continue
+            rank, ids = ranked(ids_in(rows, 1))
+            owner = np.repeat(rank, numbers(column(rows, 2), PLACE_BYTES))[keep]
+            h, p, shared = h[keep], numbers(column(rows, 6), PLACE_BYTES)[keep], shared[keep]
+            order = np.lexsort((p, owner, h))
+            h, owner, p, shared = h[order], owner[order], p[order], shared[order]
             n, at = len(h), np.arange(len(h))
             new = np.append(True, h[1:] != h[:-1])
-            other = new | np.append(True, pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).to_numpy(zero_copy_only=False))
-            group = np.maximum.accumulate(np.where(new, at, 0))
-            own = np.maximum.accumulate(np.where(other, at, 0))
+            other = new | np.append(True, owner[1:] != owner[:-1])
+            group, own = np.maximum.accumulate(np.where(new, at, 0)), np.maximum.accumulate(np.where(other, at, 0))
             size = np.bincount(group[own == group], minlength=n)[group]
             several = np.bincount(group[(own != group) | shared], minlength=n)[group] > 0
             to = np.where(own == group, at, group + (at - own) % size)
-            i = np.nonzero(several)[0]
+            i = np.flatnonzero(several)
             if len(i):
-                mine, ref = pa.array(i), pa.array(to[i])
-                yield pa.RecordBatch.from_arrays([ids.take(mine), pa.array(p[i], pa.int32()), ids.take(ref), pa.array(p[to[i]], pa.int32())], ["_y", "_py", "_x", "_px"])
-            last = slice(group[-1], group[-1] + size[-1])
-            held = h[-1], ids.take(pa.array(at[last])), p[last].copy(), np.full(size[-1], several[-1])
+                yield ties_of(ids, owner[i], p[i], owner[to[i]], p[to[i]], 1)
 
     def doubt(batches):
-        """In order of (text, reference, position): the runs of each text that a second round must tie."""
-        held, key, number, out = [], None, 0, []
-
-        def close():
-            py, px, ref = (np.concatenate(v) for v in zip(*held, strict=True))
-            if not (plain := py < PAIRED).all():  # spaced seeds may have a difference in them: no run is known by them
-                py, px, ref = py[plain], px[plain], ref[plain]
-            if not len(py):
-                return
-            out.extend((key, a, b) for a, b in doubts(py, px, ref, min_words))
-            out.extend((key, -1 - a, b) for a, b in borders(py, ref, min_words))
-
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            y, x = batch.column(0), batch.column(2)
-            py, px = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 3))
-            change = lambda v: pc.not_equal(v.slice(1), v.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-            ref = number + 1 + np.cumsum(np.append(0, change(x)))
-            number = int(ref[-1])
-            starts = np.append(0, np.nonzero(change(y))[0] + 1).tolist()
-            for a, b in zip(starts, [*starts[1:], n], strict=True):
-                if (mine := y[a].as_py()) != key and held:
-                    close()
-                    held = []
-                key = mine
-                held.append((py[a:b], px[a:b], ref[a:b]))
+        """The runs of each text that a second round must tie."""
+        for _, rows in whole_parts(batches):
+            y, py, x, px, ids = ties_in(rows)
+            plain = py < PAIRED  # spaced seeds may have a difference in them: no run is known by them
+            y, py, x, px = y[plain], py[plain], x[plain], px[plain]
+            order, out = np.lexsort((py, x, y)), []
+            y, py, x, px = y[order], py[order], x[order], px[order]
+            for a, n in zip(*(v.tolist() for v in run_lengths(y)), strict=True):
+                mine = slice(a, a + n)
+                out.extend((y[a], lo, hi) for lo, hi in doubts(py[mine], px[mine], x[mine], min_words))
+                out.extend((y[a], -1 - lo, hi) for lo, hi in borders(py[mine], x[mine], min_words))
             if out:
-                yield windows_of(out, y.type)
-                out = []
-        if held:
-            close()
-        if out:
-            yield windows_of(out, y.type)
-
-    def windows_of(out, kind):
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), *(pa.array([o[k] for o in out], pa.int32()) for k in (1, 2))], ["_id", "_lo", "_hi"])
+                at, lo, hi = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], ["_id", "_lo", "_hi"])
 
     def long_seed(batches):
         """All runs of min_words that start in the wanted windows, and the paired seeds of windows at borders."""
-        words = common.Words()
         for batch in batches:
             batch = batch.take(pc.sort_indices(batch.column(0)))
-            texts, wanted, at = batch.column(1).to_pylist(), batch.column(2).to_pylist(), 0
-            while at < len(texts):
-                flat, row, start, size, low, whole, windows = [], [], [], 0, at, [], []
-                while at < len(texts) and size < common.FLAT_WORDS:
-                    w = words.of(texts[at].lower().split())
-                    if at_borders := [(at - low << 32 | -1 - x["_lo"], at - low << 32 | x["_hi"]) for x in wanted[at] if x["_lo"] < 0]:
-                        whole.append((at - low, w))
+            wanted = batch.column(2).to_pylist()
+            for low, hashes, sizes in flushes(batch.column(1).to_pylist()):
+                ids, ends = batch.column(0).slice(low, len(sizes)), np.cumsum(sizes).tolist()
+                flat, row, start, whole, windows = [], [], [], [], []
+                for i, end in enumerate(ends):
+                    w = hashes[end - sizes[i] : end]
+                    if at_borders := [(i << 32 | -1 - x["_lo"], i << 32 | x["_hi"]) for x in wanted[low + i] if x["_lo"] < 0]:
+                        whole.append((i, w))
                         windows += at_borders
-                    for x in sorted((x for x in wanted[at] if x["_lo"] >= 0), key=lambda x: x["_lo"]):
+                    for x in sorted((x for x in wanted[low + i] if x["_lo"] >= 0), key=lambda x: x["_lo"]):
                         part = w[x["_lo"] : x["_hi"] + min_words]
                         if len(part) >= min_words:
                             flat.append(part)
-                            row.append(at - low)
+                            row.append(i)
                             start.append(x["_lo"])
-                    size, at = size + len(w), at + 1
                 if whole:
                     texts_at = np.array([i for i, _ in whole])
                     h, of, pos = seeds_of(np.concatenate([w for _, w in whole]), np.array([len(w) for _, w in whole], np.int64))
                     lo, hi = np.array(windows, np.int64).T
                     h, place = pair_seeds(h, texts_at[of] << 32 | pos, lo, hi)
                     if len(h):
-                        yield spread(batch.column(0).slice(low, at - low), h, place >> 32, (place & 0xFFFFFFFF) + PAIRED)
+                        yield from spread(ids, h, place >> 32, (place & 0xFFFFFFFF) + PAIRED)
                 if flat:
                     n = np.array([len(part) for part in flat])
                     h, inside = common.shingles(np.concatenate(flat), min_words), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     keep = np.nonzero(inside <= np.repeat(n, n) - min_words)[0]  # the others go over a window's end
-                    yield spread(batch.column(0).slice(low, at - low), h[keep], np.repeat(row, n)[keep], (np.repeat(start, n) + inside)[keep])
+                    yield from spread(ids, h[keep], np.repeat(row, n)[keep], (np.repeat(start, n) + inside)[keep])
 
     def chain(batches):
-        def close():
-            px, py = np.concatenate(xs), np.concatenate(ys)
-            for c in chains(px, py):
-                x0, x1, y0, y1 = c[0, 0], c[-1, 0] + c[-1, 2], c[0, 1], c[-1, 1] + c[-1, 2]
-                if y1 - y0 >= least:
-                    wx, wy = ((max(0, a - AROUND) // 64 * 64, -(-(b + AROUND) // 64) * 64) for a, b in ((x0, x1), (y0, y1)))
-                    out.append((*key, *map(int, (*wx, *wy)), (c - [wx[0], wy[0], 0]).astype("<i4").tobytes()))
-
-        least = K  # one seed: the alignment around it decides
+        """The chains of each pair of texts, with the windows of both that are aligned: on a grid of 64 words. Most pairs have one
+        match; all of these are handled at once."""
         inner = np.array(sorted({*range(0, min_words - K + 1, K), max(0, min_words - K)}))  # short seeds that make up a long one
-        key, xs, ys, out = None, [], [], []
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
+        for _, rows in whole_parts(batches):
+            y, py, x, px, ids = ties_in(rows)
+            long = np.repeat(np.array(column(rows, 8)), [len(p) // PLACE_BYTES for p in column(rows, 6)]) & (py < PAIRED)
+            seeds = np.stack([y, x, py & PAIRED - 1, px & PAIRED - 1])
+            whole = seeds[:, long][:, :, None] + np.array([[0], [0], [1], [1]])[:, :, None] * inner
+            seeds = np.concatenate([seeds[:, ~long], whole.reshape(4, -1)], axis=1)
+            y, x, py, px = seeds[:, seeds[1] < seeds[0]]
+            order = np.lexsort((px, px - py, x, y))
+            y, x, py, px = y[order], x[order], py[order], px[order]
+            if not len(y):
                 continue
-            y, x = batch.column(0), batch.column(2)
-            py, px = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (1, 3))
-            long = batch.column(4).to_numpy(zero_copy_only=False)
-            change = [pc.not_equal(v.slice(1), v.slice(0, n - 1)).to_numpy(zero_copy_only=False) for v in (y, x)]
-            starts = np.append(0, np.nonzero(change[0] | change[1])[0] + 1).tolist()
-            for a, b in zip(starts, [*starts[1:], n], strict=True):
-                if (mine := (x[a].as_py(), y[a].as_py())) != key:
-                    if xs:
-                        close()
-                    key, xs, ys = mine, [], []
-                part = long[a:b]
-                if part.any():
-                    for v, into in ((px, xs), (py, ys)):
-                        into += [v[a:b][~part], (v[a:b][part][:, None] + inner).ravel()]
-                else:
-                    xs.append(px[a:b])
-                    ys.append(py[a:b])
-            if out:
-                yield batch_of(out, y.type)
-                out = []
-        if xs:
-            close()
-        if out:
-            yield batch_of(out, kind_of(out))
-
-    def kind_of(out):
-        return pa.array([out[0][0]]).type
-
-    def batch_of(out, kind):
-        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], kind), pa.array([o[1] for o in out], kind), *(pa.array([o[k] for o in out], pa.int32()) for k in range(2, 6)), pa.array([o[6] for o in out], pa.binary())], ["_x", "_y", "_x0", "_x1", "_y0", "_y1", "_chain"])
+            pair = np.append(True, (y[1:] != y[:-1]) | (x[1:] != x[:-1]))
+            first = np.flatnonzero(pair | np.append(True, ((px - py)[1:] != (px - py)[:-1]) | (px[1:] > px[:-1] + K)))
+            m = np.stack([px[first], py[first], px[np.append(first[1:], len(y)) - 1] + K - px[first]], axis=1)
+            start, n = run_lengths(np.cumsum(pair)[first])
+            one, at, chain_of = start[n == 1], [], []
+            for i, k in zip(start[n > 1].tolist(), n[n > 1].tolist(), strict=True):
+                for c in chained(m[i : i + k]):
+                    at.append(i)
+                    chain_of.append(c)
+            at, matches = np.append(one, np.array(at, np.int64)), np.concatenate([m[one], *chain_of])
+            ends = np.cumsum(np.append(np.ones(len(one), np.int64), np.array([len(c) for c in chain_of], np.int64)))
+            head, tail = matches[ends - np.diff(ends, prepend=0)], matches[ends - 1]
+            low = np.maximum(head[:, :2] - AROUND, 0) // 64 * 64
+            high = -(-(tail[:, :2] + tail[:, 2:] + AROUND) // 64) * 64
+            matches[:, :2] -= np.repeat(low, np.diff(ends, prepend=0), axis=0)
+            packed = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, 12 * ends).astype(np.int32)), pa.py_buffer(matches.astype("<i4").tobytes())])
+            windows = [pa.array(v, pa.int32()) for v in (low[:, 0], high[:, 0], low[:, 1], high[:, 1])]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[first][at])), ids.take(pa.array(y[first][at])), *windows, packed], ["_x", "_y", "_x0", "_x1", "_y0", "_y1", "_chain"])
 
     def cut(batches):
         """The wanted windows of each text, as 32-bit word hashes."""
-        words = common.Words()
         for batch in batches:
-            at, lo, hi, got = [], [], [], []
-            for i, (t, wanted) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                h = (words.of(t.lower().split()) >> np.uint64(32)).astype("<u4")
-                for w in wanted:
-                    at.append(i)
-                    lo.append(w["_lo"])
-                    hi.append(w["_hi"])
-                    got.append(h[w["_lo"] : w["_hi"]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(got, pa.binary())], ["_id", "_lo", "_hi", "_words"])
+            wanted = batch.column(2)
+            for first, hashes, sizes in flushes(batch.column(1).to_pylist()):
+                mine = wanted.slice(first, len(sizes))
+                at = np.repeat(np.arange(len(sizes)), pc.list_value_length(mine).to_numpy(zero_copy_only=False))
+                lo, hi = (v.to_numpy(zero_copy_only=False) for v in mine.flatten().flatten())
+                words, ends = (hashes >> np.uint64(32)).astype("<u4"), np.cumsum(sizes)[at]
+                begin = ends - sizes[at]
+                got = [words[i:j].tobytes() for i, j in zip(np.minimum(begin + lo, ends).tolist(), np.minimum(begin + hi, ends).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + first)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(got, pa.binary())], ["_id", "_lo", "_hi", "_words"])
 
     def align(batches):
         for batch in batches:
-            at, out = [], []
+            at, out, batch = [], [], batch.filter(pa.array(hopeful(*(batch.column(k) for k in (4, 5, 6)), identity * min_words)))
             for i, (x0, y0, c, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True)):
                 c, x, y = np.frombuffer(c, "<i4").reshape(-1, 3), np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
                 if c[-1, 0] + c[-1, 2] > len(x) or c[-1, 1] + c[-1, 2] > len(y):
@@ -592,19 +732,15 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
         if kept:
             yield pa.RecordBatch.from_pylist(kept, schema)
 
-    def tied(seeds):
-        sorted_seeds = seeds.repartition("_h").sortWithinPartitions("_h")
-        return common.per_batch(sorted_seeds, tie, f"_y {id_type}, _py int, _x {id_type}, _px int")
-
-    seeds = f"_h bigint, _id {id_type}, _p int, _x {id_type}, _px int"
-    ties = common.written(tied(common.per_batch(rows, seed, seeds)), "ties")
-    loose = common.per_batch(ties.repartition("_y").sortWithinPartitions("_y", "_x", "_py"), doubt, f"_id {id_type}, _lo int, _hi int")
+    seeds = f"_b int, _y array<{id_type}>, _ny binary, _x array<{id_type}>, _nx binary, _h binary, _p binary, _q binary"
+    parted = lambda df: df.repartition("_b").sortWithinPartitions("_b")
+    ties = common.written(common.per_batch(parted(common.per_batch(rows, seed, seeds)), tie, seeds), "ties")
+    loose = common.per_batch(parted(ties), doubt, f"_id {id_type}, _lo int, _hi int")
     loose = common.checkpointed(loose.groupBy(F.col("_id").alias("_w")).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_windows")))
     again = bloom.possible(rows, "_id", loose.select("_w")).join(loose, F.col("_id") == F.col("_w")).select("_id", "_text", "_windows")
-    place = lambda c: F.when(F.col(c) >= PAIRED, F.col(c) - PAIRED).otherwise(F.col(c)).cast("int").alias(c)
-    second = tied(common.per_batch(again, long_seed, seeds)).select("_y", place("_py"), "_x", place("_px"), (F.col("_py") < PAIRED).alias("_long"))
-    both_rounds = ties.select("_y", place("_py"), "_x", place("_px"), F.lit(False).alias("_long")).union(second).filter("_x < _y")
-    found = common.written(common.per_batch(both_rounds.repartition("_y").sortWithinPartitions("_y", "_x", "_py"), chain, f"_x {id_type}, _y {id_type}, _x0 int, _x1 int, _y0 int, _y1 int, _chain binary"), "chains")
+    second = common.per_batch(parted(common.per_batch(again, long_seed, seeds)), tie, seeds)
+    both_rounds = ties.withColumn("_long", F.lit(False)).union(second.withColumn("_long", F.lit(True)))
+    found = common.written(common.per_batch(parted(both_rounds), chain, f"_x {id_type}, _y {id_type}, _x0 int, _x1 int, _y0 int, _y1 int, _chain binary"), "chains")
     x_side = found.select(F.col("_x").alias("_id"), F.col("_x0").alias("_lo"), F.col("_x1").alias("_hi"))
     y_side = found.select(F.col("_y").alias("_id"), F.col("_y0").alias("_lo"), F.col("_y1").alias("_hi"))
     wanted = x_side.union(y_side).distinct().groupBy(F.col("_id").alias("_w")).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_windows"))  # of one text, on a grid of 64 words
