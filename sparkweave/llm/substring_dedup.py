@@ -25,8 +25,8 @@ NEAR, BORDER = 24, 3
 PAIRED = 1 << 30
 #: Words of either half of a spaced seed, and one in how many of these is a seed, by its hash.
 HALF, SPACED = 3, 2
-#: Bytes of a seed's hash that are kept beside the number of its part, and of a place in a text.
-HASH_BYTES, PLACE_BYTES = 6, 4
+#: Bytes of a seed's hash that are kept beside the number of its part, of a place in a text, and of a step between ids.
+HASH_BYTES, PLACE_BYTES, STEP_BYTES = 6, 4, 8
 #: Characters of texts that are handled in one go, and of words that are hashed at once; base of a word's hash.
 FLUSH, BLOCK, BASE = 3_000_000, 1 << 18, 0x9E3779B97F4A7C15
 #: What str.split() parts words at; the last place stands for all characters beyond.
@@ -94,6 +94,23 @@ def numbers(parts: list[bytes], width: int) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def steps(x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The differences of numbers, each section's first from 0, as unsigned ones that are small for small steps either way."""
+    d = x.astype(np.int64)
+    first = ends[:-1][np.diff(ends) > 0]
+    d[1:] -= x[:-1]
+    d[first] = x[first]
+    return ((d << 1) ^ (d >> 63)).view(np.uint64)
+
+
+def walked(d: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """What steps() was given."""
+    u = d.view(np.uint64)
+    x = np.cumsum((u >> np.uint64(1)).view(np.int64) ^ -(u & np.uint64(1)).view(np.int64))
+    before = np.append(0, x)[ends[:-1]]
+    return x - np.repeat(before, np.diff(ends))
+
+
 def ranked(ids: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(place of each id among the different ones in order, these)."""
     rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64) - 1
@@ -449,15 +466,16 @@ def aligned(x: np.ndarray, y: np.ndarray, chain: np.ndarray, min_words: int, ide
     return [found for _, _, found in out]
 
 
-def hopeful(chain: pa.Array, x: pa.Array, y: pa.Array, least: float) -> np.ndarray:
+def hopeful(chain: pa.Array, x: pa.Array, y: pa.Array, least: float, word: str = "<u4") -> np.ndarray:
     """Whether each chain of several matches, or of one with enough equal words on its diagonal, may be a passage; x and y are the
-    words around it. All chains of one match are looked at together."""
-    sizes = [pc.binary_length(v).to_numpy(zero_copy_only=False).astype(np.int64) // n for v, n in ((chain, 12), (x, 4), (y, 4))]
-    one = np.flatnonzero(sizes[0] == 1)
+    words around it, null if unknown. All chains of one match are looked at together."""
+    known = pc.and_(pc.is_valid(x), pc.is_valid(y)).to_numpy(zero_copy_only=False)
+    sizes = [pc.fill_null(pc.binary_length(v), 0).to_numpy(zero_copy_only=False).astype(np.int64) // n for v, n in ((chain, 12), (x, np.dtype(word).itemsize), (y, np.dtype(word).itemsize))]
+    one = np.flatnonzero((sizes[0] == 1) & known)
     out = np.ones(len(chain), bool)
     if len(one):
         begins = [(np.cumsum(n) - n)[one] for n in sizes]
-        flat = [np.frombuffer(b"".join(v.to_pylist()), t) for v, t in ((chain, "<i4"), (x, "<u4"), (y, "<u4"))]
+        flat = [np.frombuffer(b"".join(pc.fill_null(v, b"").to_pylist()), t) for v, t in ((chain, "<i4"), (x, word), (y, word))]
         sx, sy = (flat[0][3 * begins[0] + k].astype(np.int64) for k in (0, 1))
         before = np.minimum(sx, sy)
         n = np.maximum(before + np.minimum(sizes[1][one] - sx, sizes[2][one] - sy), 0)
@@ -482,6 +500,7 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
     stretch, seeds from both sides of the border are tied in pairs, so that a fuzzy copy of a passage whose pieces occur in
     earlier documents is tied to the first that has the pieces together. Of the passages of two documents
     those that the others cover are left out. Spaced seeds tie copies whose differences leave no run of K words.
+    Chains of one match are tested on a byte a word first, so that chance seeds, whose share grows with the documents, move few bytes.
     Seeds and ties move in rows of one part each (by hash, or by text), as many as the texts' size asks for; Spark deals the parts.
     Words are runs without white space, in lower case. Null, empty and short texts and rows with a null id have no
     passages; rows that share an id are one document, and don't repeat themselves; an empty table gives no rows.
@@ -489,6 +508,7 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
     rows = common.keyed(docs, id_col, text_col).filter("_id is not null and _text is not null")
     id_type, id_kind = rows.schema["_id"].dataType.simpleString(), to_arrow_type(rows.schema["_id"].dataType)
 
+    numbered = pa.types.is_integer(id_kind)  # such ids move as steps from one to the next
     parts = parts_for(rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0)
 
     def spread(ids, h, row, pos):
@@ -518,11 +538,15 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
         columns = [pa.array(part, pa.int32())]
         for side in (y, x):
             if side is None:
-                columns += [pa.array([[]] * len(part), pa.list_(id_kind)), pa.array([b""] * len(part), pa.binary())]
+                columns += [pa.array([b""] * len(part), pa.binary()) if numbered else pa.array([[]] * len(part), pa.list_(id_kind)), pa.array([b""] * len(part), pa.binary())]
                 continue
             ids, at, ends, size = side
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(at)))
-            columns += [lists.cast(pa.list_(id_kind)), pa.array(planes(size, PLACE_BYTES, ends), pa.binary())]
+            here = ids.take(pa.array(at))
+            if numbered:
+                columns.append(pa.array(planes(steps(here.cast(pa.int64()).to_numpy(), ends), STEP_BYTES, ends), pa.binary()))
+            else:
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), here).cast(pa.list_(id_kind)))
+            columns.append(pa.array(planes(size, PLACE_BYTES, ends), pa.binary()))
         return pa.RecordBatch.from_arrays([*columns, *(pa.array(v, pa.binary()) for v in (h, p, q))], ["_b", "_y", "_ny", "_x", "_nx", "_h", "_p", "_q"])
 
     def ties_of(ids, y, py, x, px, sign):
@@ -554,6 +578,10 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
         return [v for r in rows for v in r.column(k).to_pylist()]
 
     def ids_in(rows, k):
+        if numbered:
+            packed = column(rows, k)
+            ends = np.cumsum([0, *(len(v) // STEP_BYTES for v in packed)])
+            return pa.array(walked(numbers(packed, STEP_BYTES), ends)).cast(id_kind)
         return pa.concat_arrays([r.column(k).flatten() for r in rows])
 
     def ties_in(rows) -> tuple:
@@ -568,9 +596,11 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
             batch = batch.take(pc.sort_indices(batch.column(0)))
             for first, hashes, sizes in flushes(batch.column(1).to_pylist()):
                 ids = batch.column(0).slice(first, len(sizes))
-                for (h, row, pos), mark in ((seeds_of(hashes, sizes), 0), (spaced_seeds(hashes, sizes), PAIRED)):
-                    if len(h):
-                        yield from spread(ids, h, row, pos + mark)
+                (h, row, pos), (more, more_row, more_pos) = seeds_of(hashes, sizes), spaced_seeds(hashes, sizes)
+                h, row, pos = np.append(h, more), np.append(row, more_row), np.append(pos, more_pos + PAIRED)
+                if len(h):
+                    order = np.lexsort((pos, row))
+                    yield from spread(ids, h[order], row[order], pos[order])
 
     def tie(batches):
         """Each seed with a seed of its hash's first id, where several ids have it, here or in a flush; the n-th place in a
@@ -686,6 +716,18 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
             windows = [pa.array(v, pa.int32()) for v in (low[:, 0], high[:, 0], low[:, 1], high[:, 1])]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[first][at])), ids.take(pa.array(y[first][at])), *windows, packed], ["_x", "_y", "_x0", "_x1", "_y0", "_y1", "_chain"])
 
+    def short(batches):
+        """A byte of each word's hash: enough to tell texts that differ."""
+        for batch in batches:
+            for first, hashes, sizes in flushes(batch.column(1).to_pylist()):
+                packed, ends = (hashes >> np.uint64(32)).astype(np.uint8).tobytes(), np.append(0, np.cumsum(sizes)).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(sizes)), pa.array([packed[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["_id", "_bytes"])
+
+    def likely(batches):
+        """The chains that may be passages, as far as a byte a word tells: equal words are never taken for different ones."""
+        for batch in batches:
+            yield batch.filter(pa.array(hopeful(*(batch.column(k) for k in (6, 7, 8)), identity * min_words, "u1"))).select(range(7))
+
     def cut(batches):
         """The wanted windows of each text, as 32-bit word hashes."""
         for batch in batches:
@@ -732,24 +774,37 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
         if kept:
             yield pa.RecordBatch.from_pylist(kept, schema)
 
-    seeds = f"_b int, _y array<{id_type}>, _ny binary, _x array<{id_type}>, _nx binary, _h binary, _p binary, _q binary"
+    id_list = "binary" if numbered else f"array<{id_type}>"
+    seeds = f"_b int, _y {id_list}, _ny binary, _x {id_list}, _nx binary, _h binary, _p binary, _q binary"
+    spots, col = f"_x {id_type}, _y {id_type}, _x0 int, _x1 int, _y0 int, _y1 int, _chain binary", F.col
     parted = lambda df: df.repartition("_b").sortWithinPartitions("_b")
-    ties = common.written(common.per_batch(parted(common.per_batch(rows, seed, seeds)), tie, seeds), "ties")
-    loose = common.per_batch(parted(ties), doubt, f"_id {id_type}, _lo int, _hi int")
-    loose = common.checkpointed(loose.groupBy(F.col("_id").alias("_w")).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_windows")))
-    again = bloom.possible(rows, "_id", loose.select("_w")).join(loose, F.col("_id") == F.col("_w")).select("_id", "_text", "_windows")
-    second = common.per_batch(parted(common.per_batch(again, long_seed, seeds)), tie, seeds)
-    both_rounds = ties.withColumn("_long", F.lit(False)).union(second.withColumn("_long", F.lit(True)))
-    found = common.written(common.per_batch(parted(both_rounds), chain, f"_x {id_type}, _y {id_type}, _x0 int, _x1 int, _y0 int, _y1 int, _chain binary"), "chains")
-    x_side = found.select(F.col("_x").alias("_id"), F.col("_x0").alias("_lo"), F.col("_x1").alias("_hi"))
-    y_side = found.select(F.col("_y").alias("_id"), F.col("_y0").alias("_lo"), F.col("_y1").alias("_hi"))
-    wanted = x_side.union(y_side).distinct().groupBy(F.col("_id").alias("_w")).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_windows"))  # of one text, on a grid of 64 words
-    wanted = common.checkpointed(wanted)
-    near = bloom.possible(rows, "_id", wanted.select("_w"))  # most texts have no chain and needn't move
-    windows = common.written(common.per_batch(near.join(wanted, F.col("_id") == F.col("_w")).select("_id", "_text", "_windows"), cut, f"_id {id_type}, _lo int, _hi int, _words binary").dropDuplicates(["_id", "_lo", "_hi"]), "windows")
-    side = lambda s: windows.select(F.col("_id").alias(f"_i{s}"), F.col("_lo").alias(f"_l{s}"), F.col("_hi").alias(f"_h{s}"), F.col("_words").alias(f"_words{s}"))
-    both = found.join(side("x"), (F.col("_x") == F.col("_ix")) & (F.col("_x0") == F.col("_lx")) & (F.col("_x1") == F.col("_hx"))).join(side("y"), (F.col("_y") == F.col("_iy")) & (F.col("_y0") == F.col("_ly")) & (F.col("_y1") == F.col("_hy")))
+    with common.shuffles_dropped(docs.sparkSession):
+        ties = common.written(common.per_batch(parted(common.per_batch(rows, seed, seeds)), tie, seeds), "ties")
+        loose = common.per_batch(parted(ties), doubt, f"_id {id_type}, _lo int, _hi int")
+        loose = common.checkpointed(loose.groupBy(col("_id").alias("_w")).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_windows")))
+        again = bloom.possible(rows, "_id", loose.select("_w")).join(loose, col("_id") == col("_w")).select("_id", "_text", "_windows")
+        second = common.written(common.per_batch(parted(common.per_batch(again, long_seed, seeds)), tie, seeds), "ties")
+        both_rounds = ties.withColumn("_long", F.lit(False)).union(second.withColumn("_long", F.lit(True)))
+        found = common.written(common.per_batch(parted(both_rounds), chain, spots), "chains")
+        common.dropped(ties, second)
+        # Most chains are chance: a byte a word turns them away before any window of words moves. An id of several texts has no bytes.
+        in_chains = found.select(F.explode(F.array("_x", "_y")).alias("_w")).distinct()
+        whole = common.per_batch(bloom.possible(rows, "_id", in_chains), short, f"_id {id_type}, _bytes binary").groupBy("_id").agg(F.min("_bytes").alias("_a"), F.max("_bytes").alias("_z"))
+        whole = whole.select("_id", F.when(col("_a") == col("_z"), col("_a")).alias("_bytes"))
+        near = lambda s: F.substring("_bytes", col(f"_{s}0") + 1, col(f"_{s}1") - col(f"_{s}0")).alias(f"_bytes{s}")
+        shown = found.join(whole, col("_x") == col("_id")).select(*found.columns, near("x"))
+        shown = shown.join(whole, col("_y") == col("_id")).select(*shown.columns, near("y"))
+        every, found = found, common.written(common.per_batch(shown, likely, spots), "chains")
+        common.dropped(every)
+        x_side = found.select(col("_x").alias("_id"), col("_x0").alias("_lo"), col("_x1").alias("_hi"))
+        y_side = found.select(col("_y").alias("_id"), col("_y0").alias("_lo"), col("_y1").alias("_hi"))
+        wanted = x_side.union(y_side).distinct().groupBy(col("_id").alias("_w")).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_windows"))  # of one text, on a grid of 64 words
+        wanted = common.checkpointed(wanted)
+        of_chains = bloom.possible(rows, "_id", wanted.select("_w"))  # most texts have no chain and needn't move
+        windows = common.written(common.per_batch(of_chains.join(wanted, col("_id") == col("_w")).select("_id", "_text", "_windows"), cut, f"_id {id_type}, _lo int, _hi int, _words binary").dropDuplicates(["_id", "_lo", "_hi"]), "windows")
+    side = lambda s: windows.select(col("_id").alias(f"_i{s}"), col("_lo").alias(f"_l{s}"), col("_hi").alias(f"_h{s}"), col("_words").alias(f"_words{s}"))
+    both = found.join(side("x"), (col("_x") == col("_ix")) & (col("_x0") == col("_lx")) & (col("_x1") == col("_hx"))).join(side("y"), (col("_y") == col("_iy")) & (col("_y0") == col("_ly")) & (col("_y1") == col("_hy")))
     schema = f"`{id_col}` {id_type}, start bigint, end bigint, `ref_{id_col}` {id_type}, ref_start bigint, ref_end bigint, n_words bigint, identity double"
-    pair = [F.col(f"`{id_col}`"), F.col(f"`ref_{id_col}`")]
+    pair = [col(f"`{id_col}`"), col(f"`ref_{id_col}`")]
     out = common.per_batch(both.select("_x", "_y", "_x0", "_y0", "_chain", "_wordsx", "_wordsy"), align, schema)
-    return common.per_batch(out.repartition(*pair).sortWithinPartitions(*pair, "start", F.desc("end")), needed, schema)
+    return common.per_batch(out.repartition(*pair).sortWithinPartitions(*pair, "start", F.desc("end"), F.desc("identity"), "ref_start", "ref_end"), needed, schema)
