@@ -40,11 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: cuts lineage and outlives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sparkweave/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -779,13 +779,13 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
     spots, col = f"_x {id_type}, _y {id_type}, _x0 int, _x1 int, _y0 int, _y1 int, _chain binary", F.col
     parted = lambda df: df.repartition("_b").sortWithinPartitions("_b")
     with common.shuffles_dropped(docs.sparkSession):
-        ties = common.written(common.per_batch(parted(common.per_batch(rows, seed, seeds)), tie, seeds), "ties")
+        ties = common.written(common.per_batch(parted(common.per_batch(rows, seed, seeds)), tie, seeds), "ties", "zstd")
         loose = common.per_batch(parted(ties), doubt, f"_id {id_type}, _lo int, _hi int")
         loose = common.checkpointed(loose.groupBy(col("_id").alias("_w")).agg(F.collect_list(F.struct("_lo", "_hi")).alias("_windows")))
         again = bloom.possible(rows, "_id", loose.select("_w")).join(loose, col("_id") == col("_w")).select("_id", "_text", "_windows")
-        second = common.written(common.per_batch(parted(common.per_batch(again, long_seed, seeds)), tie, seeds), "ties")
+        second = common.written(common.per_batch(parted(common.per_batch(again, long_seed, seeds)), tie, seeds), "ties", "zstd")
         both_rounds = ties.withColumn("_long", F.lit(False)).union(second.withColumn("_long", F.lit(True)))
-        found = common.written(common.per_batch(parted(both_rounds), chain, spots), "chains")
+        found = common.written(common.per_batch(parted(both_rounds), chain, spots), "chains", "zstd")
         common.dropped(ties, second)
         # Most chains are chance: a byte a word turns them away before any window of words moves. An id of several texts has no bytes.
         in_chains = found.select(F.explode(F.array("_x", "_y")).alias("_w")).distinct()
@@ -794,7 +794,7 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8, id_col
         near = lambda s: F.substring("_bytes", col(f"_{s}0") + 1, col(f"_{s}1") - col(f"_{s}0")).alias(f"_bytes{s}")
         shown = found.join(whole, col("_x") == col("_id")).select(*found.columns, near("x"))
         shown = shown.join(whole, col("_y") == col("_id")).select(*shown.columns, near("y"))
-        every, found = found, common.written(common.per_batch(shown, likely, spots), "chains")
+        every, found = found, common.written(common.per_batch(shown, likely, spots), "chains", "zstd")
         common.dropped(every)
         x_side = found.select(col("_x").alias("_id"), col("_x0").alias("_lo"), col("_x1").alias("_hi"))
         y_side = found.select(col("_y").alias("_id"), col("_y0").alias("_lo"), col("_y1").alias("_hi"))
